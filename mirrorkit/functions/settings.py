@@ -21,7 +21,8 @@ def rule_fingerprint() -> Column:
 
 def uid_window(uid: Column, lo: Column, size: Column) -> Column:
     """Number of the scan window a uid falls into, counting from ``lo``."""
-    return F.floor((uid - lo) / size).cast("long")
+    past = uid - lo
+    return F.call_function("div", past - F.pmod(past, size), size)
 
 
 def meta_status(value: Column) -> Column:
