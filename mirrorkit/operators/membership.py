@@ -81,7 +81,10 @@ def row_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_first_scan(changes: DataFrame, members: DataFrame) -> DataFrame:
-    """Mark changes of folders that had no stored rows. Those activate the folder and cause no operations."""
+    """Mark changes of folders that had no stored rows. Those activate the folder and cause no operations.
+
+    Only a full scan (first scan or new epoch) asks this. Inside one epoch every change counts.
+    """
     stored = members.select("mirror", "folder").distinct().withColumn("_stored", F.lit(True))
     return changes.join(stored, ["mirror", "folder"], "left").withColumn(
         "first_scan", F.col("_stored").isNull()
@@ -91,7 +94,9 @@ def with_first_scan(changes: DataFrame, members: DataFrame) -> DataFrame:
 def gate_ops(changes: DataFrame, watch: DataFrame, ledger: DataFrame) -> DataFrame:
     """Changes that cause an operation: the folder has a kind, the key is real and already copied."""
     kinds = watch.filter(F.col("kind").isNotNull()).select("mirror", "folder", "kind")
-    asked = changes.filter(F.col("op").isin("add", "remove") & ~F.col("is_synth")).join(kinds, ["mirror", "folder"])
+    asked = changes.filter(
+        F.col("op").isin("add", "remove") & ~F.col("is_synth") & ~F.col("first_scan")
+    ).join(kinds, ["mirror", "folder"])
     # The ledger is the large side: cut it to the keys asked for, then keep changes among those.
     copied = ledger.select(*KEY).join(asked.select(*KEY), KEY, "left_semi").distinct()
     return asked.join(copied, KEY, "left_semi").select("mirror", "kind", "key", "folder", "op", "uid")

@@ -109,12 +109,15 @@ _FACT_RULES = (
 )
 
 
-def key_facts(members: DataFrame, specs: DataFrame) -> DataFrame:
+def key_facts(members: DataFrame, specs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Everything placement and tagging need to know about a key, in one shuffle.
 
     Gives ``mirror, key, in_inbox, in_sent, labels`` with labels distinct and sorted. Map-side
-    aggregation keeps at most one row per key and folder in flight.
+    aggregation keeps at most one row per key and folder in flight. With ``keys`` the members are
+    first cut to the keys asked for, so a small pass does not shuffle every membership there is.
     """
+    if keys is not None:
+        members = members.join(keys.select("mirror", "key"), ["mirror", "key"], "left_semi")
     rules = specs.select("mirror", "inbox", "sent_on", "sent_source")
     sent = F.coalesce(F.col("folder") == F.col("sent_source"), F.lit(False))
     return (
