@@ -9,20 +9,28 @@ from mirrorkit.operators.dedup import classify, first_per_key
 from mirrorkit.operators.routing import key_facts, with_placement
 
 
-def ingest_plan(
-    keyed: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame,
-    stage=lambda name, df: df,
+def plan_candidates(
+    first: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame
 ) -> DataFrame:
-    """One row per candidate key: ``mirror, key, uid, n_records, is_synth, status, wanted, tags``.
+    """Status, bucket and tags of candidates that are already unique on (mirror, key).
 
-    Duplicates inside the batch collapse first, so everything after works on unique keys. ``stage``
-    may write the candidates, which then have a known size and are broadcast while small.
+    When ``first`` was written before, its size is known: while it is small it is broadcast into
+    the ledger, the destination and the members, and none of the three is shuffled.
     """
-    first = stage("candidates", first_per_key(keyed))
     plan = classify(first, ledger, dest_keys, specs)
     return with_placement(plan, key_facts(members, specs, keys=first), specs)
 
 
+def ingest_plan(
+    keyed: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame
+) -> DataFrame:
+    """One row per candidate key: ``mirror, key, uid, n_records, is_synth, status, wanted, tags``.
+
+    Duplicates inside the batch collapse first, so everything after works on unique keys.
+    """
+    return plan_candidates(first_per_key(keyed), ledger, dest_keys, members, specs)
+
+
 def source_candidates(
     messages: DataFrame, specs: DataFrame, status: DataFrame, marks: DataFrame,
     full: bool = False, max_uids: int | None = None,
