@@ -35,19 +35,22 @@ class MembershipChange:
 def watch_state(watch: DataFrame, status: DataFrame, folder_state: DataFrame) -> DataFrame:
     """Per watched folder: stored mark, current epoch, and whether a full scan is due.
 
-    A folder without any record has no status; its stored epoch then still holds.
+    A folder without any record has no status; its stored epoch then still holds. Epoch 0 stands
+    for a folder that was scanned while empty: whatever appears in it later is an addition.
     """
     stored = folder_state.select(*FOLDER, F.col("epoch").alias("_stored"), F.col("last_uid").alias("_last"))
     last = F.coalesce(F.col("_last"), F.lit(0).cast("long"))
+    now = F.coalesce("epoch", "_stored", F.lit(0).cast("long"))
+    known = F.col("_stored") != 0
     return (
         watch.select(*FOLDER).distinct()
         .join(status.select(*FOLDER, "epoch", "uid_next"), FOLDER, "left").join(stored, FOLDER, "left")
         .select(
             *FOLDER,
-            F.coalesce("epoch", "_stored", F.lit(0).cast("long")).alias("epoch"),
+            now.alias("epoch"),
             last.alias("last_uid"),
             F.coalesce(F.col("uid_next") - 1, last).alias("top_uid"),
-            (F.col("_stored").isNull() | (F.coalesce("epoch", "_stored") != F.col("_stored"))).alias("rescan"),
+            (F.col("_stored").isNull() | (known & (now != F.col("_stored")))).alias("rescan"),
         )
     )
 

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType, TimestampType
 
-MESSAGES = StructType.fromDDL(
+_TYPES = {
+    "string": StringType(), "long": LongType(), "int": IntegerType(), "boolean": BooleanType(),
+    "timestamp": TimestampType(), "array<string>": ArrayType(StringType()),
+}
+
+
+def columns(text: str) -> StructType:
+    """Schema from ``name type, ...``; unlike ``fromDDL`` it needs no running session."""
+    schema = StructType()
+    for column in text.split(","):
+        name, kind = column.split()
+        schema.add(name, _TYPES[kind])
+    return schema
+
+
+MESSAGES = columns(
     "mirror string, folder string, epoch long, uid long, message_id string, sender string, "
     "subject string, internal_date timestamp, size long, flags array<string>"
 )
-BODIES = StructType.fromDDL("mirror string, folder string, uid long, raw string")
-FOLDERS = StructType.fromDDL("mirror string, folder string, attrs array<string>, list_pos long")
-FOLDER_STATUS = StructType.fromDDL("mirror string, folder string, epoch long, uid_next long, n long")
+BODIES = columns("mirror string, folder string, uid long, raw string")
+FOLDERS = columns("mirror string, folder string, attrs array<string>, list_pos long")
+FOLDER_STATUS = columns("mirror string, folder string, epoch long, uid_next long, n long")
 
 # State tables. Every one also carries the partition columns ``batch_id`` and ``attempt``.
 STATE_TABLES = {
-    name: StructType.fromDDL(ddl)
+    name: columns(ddl)
     for name, ddl in {
         "ledger": "mirror string, key string, is_synth boolean, uid long, copied_at long, source string",
         "member_log": "mirror string, folder string, key string, is_synth boolean, uid long, op string",

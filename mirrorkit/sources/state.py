@@ -18,11 +18,11 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from mirrorkit.operators.changes import dest_current, queue_remaining
 from mirrorkit.operators.dedup import KEY
-from mirrorkit.schemas import STATE_TABLES
+from mirrorkit.schemas import STATE_TABLES, columns
 from mirrorkit.session import work_dir
 
 LAYOUT_VERSION = 2
-COMMITS = StructType.fromDDL("batch_id long, attempt string, members_base long, layout int")
+COMMITS = columns("batch_id long, attempt string, members_base long, layout int")
 # Tables small enough to be written whole by every batch: the newest batch is the state.
 CURRENT_TABLES = ("folder_state", "mirror_state")
 
@@ -84,10 +84,10 @@ class StateStore:
         With ``keys``, records and logs are cut to those keys before they are joined, so a small
         pass reads the tables but shuffles only what it asks for.
         """
-        columns = [c for c in STATE_TABLES["dest_messages"].names if c != "raw"]
-        records = self.read("dest_messages").select(*columns, F.lit(True).alias("managed"))
+        described = [c for c in STATE_TABLES["dest_messages"].names if c != "raw"]
+        records = self.read("dest_messages").select(*described, F.lit(True).alias("managed"))
         if foreign is not None:
-            records = records.unionByName(foreign.select(*columns, F.lit(False).alias("managed")))
+            records = records.unionByName(foreign.select(*described, F.lit(False).alias("managed")))
         moves, tags = self.read("placement_log"), self.read("tag_log")
         if placement_extra is not None:
             moves = moves.unionByName(placement_extra.select(*moves.columns))
@@ -127,9 +127,9 @@ class Attempt:
         Files are sorted by mirror and key where there is one, so later reads can skip row groups.
         """
         path = f"{self.store.root}/{table}/batch_id={self.batch_id}/attempt={self.name}"
-        columns = STATE_TABLES[table].names
-        order = [c for c in ("mirror", "key", "folder") if c in columns]
-        rows.select(*columns).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+        names = STATE_TABLES[table].names
+        order = [c for c in ("mirror", "key", "folder") if c in names]
+        rows.select(*names).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
         if self.store.on_write:
             self.store.on_write(table)
         return self.store.spark.read.schema(STATE_TABLES[table]).parquet(path).withColumn(
