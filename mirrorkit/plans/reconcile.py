@@ -123,32 +123,44 @@ def _repair_phase(attempt: Attempt, rules, source: Source, members, marks) -> tu
 def _copy_phase(
     attempt: Attempt, spec_list, rules, source: Source, members, status, marks, now: int, full: bool, max_uids
 ) -> DataFrame:
-    """Copy new records; destination rows are written before ledger rows."""
+    """Copy the records of the source folders that are above their marks."""
+    candidates = source_candidates(source.messages, rules, status, marks, full, max_uids)
+    newest = source.messages.join(status.select("mirror", "folder", "epoch"), ["mirror", "folder", "epoch"])
+    return copy_records(
+        attempt, rules, with_key(candidates, spec_list), newest, source.bodies, members, source.foreign, now
+    )
+
+
+def copy_records(
+    attempt: Attempt, rules: DataFrame, keyed: DataFrame, messages: DataFrame, bodies: DataFrame,
+    members: DataFrame, foreign: DataFrame | None, now: int,
+) -> DataFrame:
+    """Copy what neither the ledger nor the destination holds, and record it. Returns the plan.
+
+    Destination rows are written before ledger rows, and the ledger rows come from what was written,
+    so a record whose body is gone stays a candidate.
+    """
     state = attempt.store
-    messages = source_candidates(source.messages, rules, status, marks, full, max_uids)
-    keyed = with_key(messages, spec_list).select("mirror", "key", "uid", "is_synth")
     first = attempt.scratch("candidates", first_per_key(keyed))
-    dest_keys = scan_buckets(state.dest(source.foreign, keys=first), rules)
-    planned = plan_candidates(first, state.read("ledger"), dest_keys, members, rules)
-    plan = attempt.scratch("plan", planned)
+    dest_keys = scan_buckets(state.dest(foreign, keys=first), rules)
+    plan = attempt.scratch("plan", plan_candidates(first, state.read("ledger"), dest_keys, members, rules))
 
     copies = plan.filter(F.col("status") == "copy").join(
         rules.select("mirror", F.col("source_folder").alias("folder"), "carry_seen"), "mirror"
     )
     allowed, refused = split_rejected_tags(copies, rules)
     attempt.write("rejected_tags", refused)
-    meta = source.messages.join(status.select("mirror", "folder", "epoch"), ["mirror", "folder", "epoch"]).select(
+    meta = messages.select(
         "mirror", "folder", "uid", "sender", "subject", F.col("internal_date").cast("timestamp").alias("internal_date"),
-        "size", "flags"
+        "size", "flags",
     )
-    described = attach_bodies(allowed, source.bodies).join(meta, ["mirror", "folder", "uid"])
+    described = attach_bodies(allowed, bodies).join(meta, ["mirror", "folder", "uid"])
     written = attempt.write("dest_messages", described.withColumns({
         "copy_id": F.concat(F.lit(f"{attempt.batch_id}-"), F.col("uid").cast("string")),
         "folder": F.col("wanted"),
         "flags": safe_flags(F.col("flags"), F.col("carry_seen")),
     })).select("mirror", "key", "is_synth", "uid")
     attempt.write("missing_bodies", copies.join(written.select("mirror", "key"), ["mirror", "key"], "left_anti"))
-    # A key whose copy landed, or that the guard found, is recorded. The rest stays a candidate.
     guarded = plan.filter(F.col("status") == "in_dest").select("mirror", "key", "is_synth", "uid")
     records = written.withColumn("source", F.lit("copy")).unionByName(guarded.withColumn("source", F.lit("guard")))
     attempt.write("ledger", records.withColumn("copied_at", F.lit(now).cast("long")))
@@ -161,10 +173,7 @@ def _propagate_phase(attempt: Attempt, rules, source: Source, members, repair, a
     batch = F.lit(attempt.batch_id).cast("long")
     repair_moves, repair_tags = repair
     queued = state.pending()
-    fresh = state.spark.read.schema(STATE_TABLES["pending_ops"]).parquet(
-        f"{state.root}/pending_ops/batch_id={attempt.batch_id}/attempt={attempt.name}"
-    ).withColumn("batch_id", batch)
-    live = queued.unionByName(fresh)
+    live = queued.unionByName(attempt.written("pending_ops"))
     live = attempt.scratch("live", live if apply_ops else live.filter(F.lit(False)))
     keys = live.select("mirror", "key").distinct()
     held = state.dest(source.foreign, keys, repair_moves, repair_tags)
@@ -194,18 +203,13 @@ def _write_mirror_state(attempt: Attempt, rules, spans, marks, now: int) -> None
 
 def _run_log(attempt: Attempt, rules, spans, plan, moves, tags, applied) -> DataFrame:
     """Counters of the pass, one row per mirror."""
-    state = attempt.store
 
     def count(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("mirror").agg(F.count(F.lit(1)).alias(name))
 
-    def own(table: str) -> DataFrame:
-        path = f"{state.root}/{table}/batch_id={attempt.batch_id}/attempt={attempt.name}"
-        return state.spark.read.schema(STATE_TABLES[table]).parquet(path)
-
     retagged = tags.select("mirror", "copy_id").distinct()
     summary = run_summary(plan).drop("copied", "skipped_dup", "tags_set")
-    landed = own("dest_messages").groupBy("mirror").agg(
+    landed = attempt.written("dest_messages").groupBy("mirror").agg(
         F.count(F.lit(1)).alias("copied"), F.count(F.when(F.size("tags") > 0, 1)).alias("tags_set")
     )
     known = plan.groupBy("mirror").agg(
@@ -214,8 +218,8 @@ def _run_log(attempt: Attempt, rules, spans, plan, moves, tags, applied) -> Data
     row = rules.select("mirror").join(spans.select("mirror", "epoch_changed"), "mirror", "left")
     for part in (
         summary, landed, known, move_counts(moves, rules), count(retagged, "tags_updated"),
-        count(applied, "ops_applied"), count(own("missing_bodies"), "missing_bodies"),
-        count(own("rejected_tags"), "rejected_tags"),
+        count(applied, "ops_applied"), count(attempt.written("missing_bodies"), "missing_bodies"),
+        count(attempt.written("rejected_tags"), "rejected_tags"),
     ):
         row = row.join(part, "mirror", "left")
     counters = [c for c in STATE_TABLES["run_log"].names if c not in ("mirror", "epoch_changed")]

@@ -22,7 +22,7 @@ from mirrorkit.schemas import STATE_TABLES, columns
 from mirrorkit.session import work_dir
 
 LAYOUT_VERSION = 2
-COMMITS = columns("batch_id long, attempt string, members_base long, layout int")
+COMMITS = columns("batch_id long, attempt string, members_base long, layout int, tag string")
 # Tables small enough to be written whole by every batch: the newest batch is the state.
 CURRENT_TABLES = ("folder_state", "mirror_state")
 
@@ -55,6 +55,10 @@ class StateStore:
     def is_committed(self, batch_id: int) -> bool:
         return not self.commits().filter(F.col("batch_id") == batch_id).isEmpty()
 
+    def has_tag(self, tag: str) -> bool:
+        """Whether a batch with this tag (say, one epoch of a stream) is committed."""
+        return not self.commits().filter(F.col("tag") == tag).isEmpty()
+
     def read(self, table: str) -> DataFrame:
         """Committed rows of a table with their ``batch_id``."""
         rows = self._load(f"{self.root}/{table}", _stored_schema(table))
@@ -132,9 +136,13 @@ class Attempt:
         rows.select(*names).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
         if self.store.on_write:
             self.store.on_write(table)
-        return self.store.spark.read.schema(STATE_TABLES[table]).parquet(path).withColumn(
-            "batch_id", F.lit(self.batch_id).cast("long")
-        )
+        return self.written(table)
+
+    def written(self, table: str) -> DataFrame:
+        """What this attempt wrote, with its ``batch_id``."""
+        path = f"{self.store.root}/{table}/batch_id={self.batch_id}/attempt={self.name}"
+        rows = self.store.spark.read.schema(STATE_TABLES[table]).parquet(path)
+        return rows.withColumn("batch_id", F.lit(self.batch_id).cast("long"))
 
     def scratch(self, name: str, rows: DataFrame) -> DataFrame:
         """Write an intermediate result to the shared folder and read it back.
@@ -151,13 +159,14 @@ class Attempt:
         for table in tables:
             self.write(table, self.store.read_batch(table, self.last))
 
-    def commit(self, members_base: int | None = None, layout: int = LAYOUT_VERSION) -> None:
+    def commit(self, members_base: int | None = None, layout: int = LAYOUT_VERSION, tag: str = "") -> None:
+        """Publish the attempt by one row, in one file, written last."""
         if self.store.is_committed(self.batch_id):
             raise ValueError(f"batch {self.batch_id} is already committed")
         base = self.base if members_base is None else members_base
         row = self.store.spark.sql(
             f"select cast({self.batch_id} as long) batch_id, '{self.name}' attempt, "
-            f"cast({base} as long) members_base, {layout} layout"
+            f"cast({base} as long) members_base, {layout} layout, '{tag}' tag"
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.store.root}/commits")
 
