@@ -181,6 +181,44 @@ def body() -> Column:
     )
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the main folder with their bodies."""
+    text = F.concat(F.lit("From: "), "sender", F.lit("\r\nSubject: "), "subject", F.lit("\r\n\r\n"), "message_id")
+    return messages(spark, sf_dir).withColumns({"folder": F.lit("All"), "raw": text}).drop("value")
+
+
+def daily_files(rows: DataFrame, path: str) -> str:
+    """One Parquet file and more per day of ``internal_date``, as a stream would find them."""
+    rows.withColumn("day", F.to_date("internal_date")).write.partitionBy("day").parquet(path)
+    return path
+
+
+def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main folder with every record, and beside it one folder per event type holding the same records."""
+    rows = messages(spark, sf_dir).drop("value")
+    return rows.withColumn("folder", F.lit("All")).unionByName(rows)
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder listing of that mailbox."""
+    main = specs(spark).select(
+        "mirror", F.lit("All").alias("folder"), F.array(F.lit("\\All")).alias("attrs"), F.lit(-1).cast("long").alias("list_pos")
+    )
+    return folders(spark, sf_dir).unionByName(main)
+
+
+def foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Destination records of other origin, one for each of ``dest_keys``."""
+    none = F.array().cast("array<string>")
+    rows = before(keyed(spark, sf_dir), DEST_END)
+    return rows.groupBy("mirror", "key").agg(F.min("uid").alias("uid"), F.max("is_synth").alias("is_synth")).select(
+        "mirror", F.concat(F.lit("f"), F.col("uid").cast("string")).alias("copy_id"), F.lit("Mirror").alias("folder"),
+        "key", "is_synth", "uid", F.lit("").alias("sender"), F.lit("").alias("subject"),
+        F.lit(None).cast("timestamp").alias("internal_date"), F.lit(0).cast("long").alias("size"),
+        none.alias("flags"), none.alias("tags"),
+    )
+
+
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard label strings."""
     return table(spark, sf_dir, "part").select(

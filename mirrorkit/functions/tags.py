@@ -47,3 +47,8 @@ def missing_keywords(wanted: Column, present: Column) -> Column:
 def tag_signature(tags: Column) -> Column:
     """Canonical text of a tag set, for grouping."""
     return F.array_join(F.array_sort(tags), "\u0000")
+
+
+def tag_allowed(tag: Column, allowed: Column) -> Column:
+    """Whether a destination takes a tag; without a rule (null) it takes all."""
+    return allowed.isNull() | F.regexp_like(tag, allowed)

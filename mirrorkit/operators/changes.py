@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorkit.functions.tags import keyword, no_strings
+from mirrorkit.functions.tags import keyword, no_strings, tag_allowed
 from mirrorkit.operators.dedup import KEY
 from mirrorkit.operators.routing import with_placement
 
@@ -67,13 +67,14 @@ def tag_deltas(ops: DataFrame, specs: DataFrame, facts: DataFrame) -> DataFrame:
     """Net tag change per (mirror, key, tag).
 
     The last operation wins. Two labels may map to one tag, so a removal counts only when no
-    remaining label still gives that tag. ``ops`` carries ``batch_id`` and ``seq``.
+    remaining label still gives that tag. Tags the destination refuses are left out. ``ops``
+    carries ``batch_id`` and ``seq``.
     """
-    rules = specs.filter("propagate").select("mirror", "keyword_prefix", "keyword_replacement")
+    rules = specs.filter("propagate").select("mirror", "keyword_prefix", "keyword_replacement", "allowed_tags")
     tagged = (
         ops.filter(F.col("kind") == "keyword").join(rules, "mirror")
         .withColumn("tag", keyword(F.col("folder"), F.col("keyword_prefix"), F.col("keyword_replacement")))
-        .filter(F.col("tag").isNotNull())
+        .filter(F.col("tag").isNotNull() & tag_allowed(F.col("tag"), F.col("allowed_tags")))
     )
     last = (
         tagged.groupBy(*KEY, "tag").agg(F.max(F.struct("batch_id", "seq", "op")).alias("o"))
@@ -112,12 +113,10 @@ def split_rejected_tags(rows: DataFrame, specs: DataFrame) -> tuple[DataFrame, D
     rules = specs.select("mirror", F.col("allowed_tags").alias("_allowed"))
     judged = rows.join(rules, "mirror")
 
-    def fits(tag):
-        return F.col("_allowed").isNull() | F.regexp_like(tag, F.col("_allowed"))
-
-    kept = judged.withColumn("tags", F.filter("tags", fits)).drop("_allowed")
-    refused = (
-        judged.select("mirror", "key", F.explode(F.filter("tags", lambda t: ~fits(t))).alias("tag"))
+    allowed = F.col("_allowed")
+    kept = judged.withColumn("tags", F.filter("tags", lambda t: tag_allowed(t, allowed)))
+    refused = judged.select(
+        "mirror", "key", F.explode(F.filter("tags", lambda t: ~tag_allowed(t, allowed))).alias("tag")
     )
     return kept.select(*rows.columns), refused
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mirrorkit.functions.settings import rule_fingerprint
 from mirrorkit.functions.tags import missing_keywords, no_strings, tag_signature
+from mirrorkit.operators.changes import split_rejected_tags
 from mirrorkit.operators.dedup import KEY, first_per_key
 from mirrorkit.operators.routing import with_placement
 from mirrorkit.sources.tables import scan_buckets
@@ -29,14 +30,17 @@ def backfill_plan(placements: DataFrame, specs: DataFrame, facts: DataFrame) ->
     """What every destination record in a bucket needs: another bucket, more tags, or nothing.
 
     Adds ``wanted``, ``missing`` (tags to add; none are ever removed) and ``needs``. Move and tags
-    are decided on the same row, so a record that moves gets its tags too.
+    are decided on the same row, so a record that moves gets its tags too. Tags the destination
+    refuses are not missing.
     """
     rules = specs.select(
         "mirror", (F.col("archive_on") | F.col("sent_on")).alias("_routed"), F.col("labels_on").alias("_labels")
     )
+    wants, _ = split_rejected_tags(
+        with_placement(placements.withColumnRenamed("tags", "present"), facts, specs), specs
+    )
     plan = (
-        with_placement(placements.withColumnRenamed("tags", "present"), facts, specs)
-        .join(rules, "mirror")
+        wants.join(rules, "mirror")
         .withColumn("missing", F.when(F.col("_labels"), missing_keywords(F.col("tags"), F.col("present")))
                     .otherwise(no_strings()))
         .withColumn("wanted", F.when(F.col("_routed"), F.col("wanted")).otherwise(F.col("folder")))
@@ -82,7 +86,9 @@ def audit(keyed: DataFrame, dest: DataFrame, specs: DataFrame, facts: DataFrame)
     Copies with the same key, bucket and tags are counted together before the join, so a key with
     many copies stays one row.
     """
-    wants = with_placement(first_per_key(keyed).select(*KEY, "n_records"), facts, specs)
+    wants, _ = split_rejected_tags(
+        with_placement(first_per_key(keyed).select(*KEY, "n_records"), facts, specs), specs
+    )
     held = (
         scan_buckets(dest.select(*KEY, "folder", "tags"), specs)
         .groupBy(*KEY, "folder", F.array_sort(F.coalesce("tags", no_strings())).alias("present"))

@@ -41,6 +41,25 @@ def _slug(label: str, repl: str) -> str:
     return f"lower(trim(regexp_replace({label}, '[^A-Za-z0-9_-]+', {repl}, 'g'), {repl}))"
 
 
+def _facts(members: str) -> str:
+    return f"""select m.mirror, m.key, bool_or(m.folder = s.inbox) as in_inbox,
+  bool_or(m.folder = s.sent_source) as in_sent,
+  list_sort(list(distinct m.folder) filter (m.folder <> s.inbox and not (s.sent_on and m.folder = s.sent_source))) as labels
+from {members} m join specs s using (mirror) group by m.mirror, m.key"""
+
+
+def _placed(facts: str) -> str:
+    return f"""select mirror, key,
+  case when (archive_on or sent_on) and in_inbox then dest_folder when sent_on and in_sent then sent_folder
+       when archive_on then archive_folder else dest_folder end as wanted,
+  case when not labels_on or labels is null then cast([] as varchar[]) else
+    list_transform(list_filter(list_transform(labels, lambda x: {_slug('x', 'keyword_replacement')}), lambda x: x <> ''),
+      lambda x: concat(keyword_prefix, x)) end as tags
+from (select k.mirror, k.key, coalesce(f.in_inbox, false) as in_inbox, coalesce(f.in_sent, false) as in_sent, f.labels
+      from (select distinct mirror, key from keyed) k left join {facts} f using (mirror, key))
+join specs using (mirror)"""
+
+
 _KEY = """case when trim(message_id) <> '' then trim(message_id)
   else concat('synth-sha256:', sha256(concat(cast(floor(epoch(internal_date)) as bigint), '|',
     strlen(sender), ':', sender, '|', strlen(subject), ':', subject, '|', size))) end"""
@@ -87,19 +106,8 @@ where internal_date < '{fx.HALF}' group by mirror, folder""",
     "firsts": """select mirror, key, min(uid) as uid, count(*) as n_records, bool_or(is_synth) as is_synth
 from keyed group by mirror, key""",
     # Memberships as they stand, with what they mean under the mirror's rules.
-    "facts": """select m.mirror, m.key, bool_or(m.folder = s.inbox) as in_inbox,
-  bool_or(m.folder = s.sent_source) as in_sent,
-  list_sort(list(distinct m.folder) filter (m.folder <> s.inbox and not (s.sent_on and m.folder = s.sent_source))) as labels
-from members_new m join specs s using (mirror) group by m.mirror, m.key""",
-    "placed": f"""select mirror, key,
-  case when (archive_on or sent_on) and in_inbox then dest_folder when sent_on and in_sent then sent_folder
-       when archive_on then archive_folder else dest_folder end as wanted,
-  case when not labels_on or labels is null then cast([] as varchar[]) else
-    list_transform(list_filter(list_transform(labels, lambda x: {_slug('x', 'keyword_replacement')}), lambda x: x <> ''),
-      lambda x: concat(keyword_prefix, x)) end as tags
-from (select k.mirror, k.key, coalesce(f.in_inbox, false) as in_inbox, coalesce(f.in_sent, false) as in_sent, f.labels
-      from (select distinct mirror, key from keyed) k left join facts f using (mirror, key))
-join specs using (mirror)""",
+    "facts": _facts("members_new"),
+    "placed": _placed("facts"),
     "buckets": """select mirror, dest_folder as folder, 1 as bucket_rank from specs
 union all select mirror, sent_folder, 2 from specs where sent_on
 union all select mirror, archive_folder, 3 from specs where archive_on""",
@@ -143,8 +151,9 @@ left join ledger l on l.mirror = f.mirror and l.key = f.key
 left join dest_keys d on d.mirror = f.mirror and d.key = f.key""",
     "plan": "select c.*, p.wanted, p.tags from classified c join placed p using (mirror, key)",
     "deltas_of": f"""select mirror, key, tag, arg_max(op, batch_id * 1000000000 + seq) as op
-from (select q.*, concat(s.keyword_prefix, {_slug('q.folder', 's.keyword_replacement')}) as tag
+from (select q.*, concat(s.keyword_prefix, {_slug('q.folder', 's.keyword_replacement')}) as tag, s.allowed_tags
       from queue q join specs s using (mirror) where q.kind = 'keyword' and s.propagate)
+where allowed_tags is null or regexp_matches(tag, allowed_tags)
 group by mirror, key, tag""",
     "deltas": """select d.* from deltas_of d join placed p using (mirror, key)
 where d.op = 'add' or not list_contains(list_transform(p.tags, lambda x: lower(x)), lower(d.tag))""",
@@ -153,17 +162,26 @@ where (mirror, key) in (select (mirror, key) from deltas) group by mirror, key""
     "tag_rows": """select p.mirror, p.key, p.copy_id, d.tag, d.op
 from placements p join tag_home h using (mirror, key, folder) join deltas d using (mirror, key)
 where (d.op = 'add') <> list_contains(list_transform(p.tags, lambda x: lower(x)), lower(d.tag))""",
+    "wants": """select p.mirror, p.key, p.wanted,
+  list_filter(p.tags, lambda x: s.allowed_tags is null or regexp_matches(x, s.allowed_tags)) as tags
+from placed p join specs s using (mirror)""",
     "repair": """select c.*, case when s.archive_on or s.sent_on then p.wanted else c.folder end as wanted,
   list_filter(p.tags, lambda x: not list_contains(list_transform(c.tags, lambda y: lower(y)), lower(x))) as missing
-from placements c join placed p using (mirror, key) join specs s using (mirror)""",
+from placements c join wants p using (mirror, key) join specs s using (mirror)""",
     "audited": """select f.mirror, f.key, max(p.wanted) as wanted, max(f.n_records) as n_records, count(c.copy_id) as copies,
   case when count(c.copy_id) = 0 then 'missing' when count(c.copy_id) > 1 then 'duplicated'
        when not bool_or(c.folder = p.wanted) then 'misplaced'
        when max(len(list_filter(p.tags, lambda x: not list_contains(list_transform(c.tags, lambda y: lower(y)), lower(x))))) > 0
          then 'untagged' else 'ok' end as status
-from firsts f join placed p using (mirror, key)
+from firsts f join wants p using (mirror, key)
 left join placements c on c.mirror = f.mirror and c.key = f.key
 group by f.mirror, f.key""",
+    "watched_old": "select m.* from members_old m join watch w using (mirror, folder)",
+    "watched_new": "select m.* from members_new m join watch w using (mirror, folder)",
+    "facts_old": _facts("watched_old"),
+    "facts_new": _facts("watched_new"),
+    "placed_old": _placed("facts_old"),
+    "placed_new": _placed("facts_new"),
     "redo": f"""select d.mirror, d.folder, d.key, d.uid, d.is_synth, d.op from by_uid d where d.mirror <> 'm2'
 union all select mirror, folder, key, uid, is_synth, op from by_key where mirror = 'm2' and op <> 'same'
   and (mirror, folder) in (select (mirror, folder) from members_old)""",
@@ -344,6 +362,23 @@ group by s.mirror, e.epoch, k.epoch""",
   kind, key, folder, op
 from (select d.*, w.kind from redo d join watch w using (mirror, folder)
       where w.kind is not null and not d.is_synth and (d.mirror, d.key) in (select (mirror, key) from copied))""",
+    # First pass: older records by older memberships. Second: the rest by the newer ones, and real
+    # keys copied before follow their memberships, tags only where changes are propagated.
+    "reconcile_pass": f"""select f.mirror, f.key, case when f.early and f.is_synth then o.wanted else n.wanted end as folder,
+  array_to_string(list_sort(list_filter(
+    case when f.early and (f.is_synth or not s.propagate) then o.tags else n.tags end,
+    lambda x: s.allowed_tags is null or regexp_matches(x, s.allowed_tags))), ',') as tags,
+  case when s.carry_seen and f.value >= 10 then '\\Seen' else '' end as flags
+from (select k.mirror, k.key, k.is_synth, arg_min(k.value, k.uid) as value,
+        bool_or(k.internal_date < '{fx.OLD_END}') as early
+      from keyed k group by k.mirror, k.key, k.is_synth) f
+join specs s using (mirror) join placed_old o using (mirror, key) join placed_new n using (mirror, key)""",
+    "stream_equals_batch": "select mirror, key, is_synth, 'copy' as source from firsts",
+    "stream_dedup": """select mirror, key, case status when 'in_dest' then 'guard' else 'copy' end as source
+from classified where status <> 'in_ledger'""",
+    "stream_members": """select mirror, folder, key from change_log group by all having arg_max(op, seq) = 'add'""",
+    "stream_members_log": """select mirror, folder, key, max(uid) as uid from change_log group by mirror, folder, key
+having arg_max(op, seq) = 'add'""",
     "propagate_plan": """select p.mirror, p.copy_id, 'move' as change, p.folder as from_folder, h.wanted as target
 from (select w.mirror, w.key, w.wanted, min_by(c.folder, c.bucket_rank) as found
       from (select distinct q.mirror, q.key, p.wanted from queue q join placed p using (mirror, key)

@@ -19,9 +19,13 @@ from mirrorkit.operators import changes, dedup, membership, repair, report, rout
 from mirrorkit.plans.ingest import epoch_reset, ingest_plan
 from mirrorkit.plans.membership import sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate_plan
-from mirrorkit.session import configure
+from mirrorkit.plans.reconcile import Source, reconcile
+from mirrorkit.session import configure, work_dir
 from mirrorkit.sources import tables
+from mirrorkit.sources.state import StateStore
 from mirrorkit.spec import specs_frame
+from mirrorkit.streaming.arrivals import read_arrivals, start_ingest
+from mirrorkit.streaming.members import member_feed, present_members, present_of_feed, start_members
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -561,3 +565,78 @@ def membership_ops(spark, sf):
 def propagate_plan_(spark, sf):
     ops = fx.queue(spark, sf)
     return propagate_plan(ops, _placements(spark, sf), fx.members_new(spark, sf), fx.specs(spark))
+
+
+@query
+def reconcile_pass(spark, sf):
+    """Destination after two whole passes: the first sees the older records, by the second new ones
+    arrived and old ones left their folders."""
+    state = StateStore(spark, work_dir(spark, "state"))
+    box, listing = fx.mailbox(spark, sf), fx.listing(spark, sf)
+    here = (F.col("folder") == "All") | (F.col("internal_date") >= fx.day(fx.NEW_START))
+    bodies = fx.arrivals(spark, sf).select("mirror", "folder", "uid", "raw")
+    for now, rows in enumerate((fx.before(box, fx.OLD_END), box.filter(here)), start=1):
+        reconcile(spark, fx.SPECS, Source(rows, bodies, listing), state, now)
+    return state.dest().select(
+        "mirror", "key", "folder", joined(F.array_sort("tags")).alias("tags"), joined("flags").alias("flags")
+    )
+
+
+# Streams
+
+
+def _daily(rows: DataFrame) -> DataFrame:
+    """The rows as a stream over daily files, ten files per batch."""
+    spark = rows.sparkSession
+    path = fx.daily_files(rows, work_dir(spark, "arrivals"))
+    return read_arrivals(spark, path, rows.schema, max_files=10)
+
+
+def _drain(started) -> None:
+    started.awaitTermination()
+
+
+@query
+def stream_equals_batch(spark, sf):
+    """Keys copied by a stream in several batches: those of one batch over the whole table."""
+    state = StateStore(spark, work_dir(spark, "state"))
+    _drain(start_ingest(
+        _daily(fx.arrivals(spark, sf)), list(fx.SPECS), state, work_dir(spark, "checkpoint"), name="all", once=True
+    ))
+    return state.read("ledger").select("mirror", "key", "is_synth", "source")
+
+
+@query
+def stream_dedup(spark, sf):
+    """A stream against a ledger and a destination that already hold some of the keys."""
+    state = StateStore(spark, work_dir(spark, "state"))
+    known = state.begin()
+    known.write("ledger", fx.ledger(spark, sf).withColumns({"is_synth": F.lit(False), "source": F.lit("seed")}))
+    known.commit()
+    foreign = fx.foreign(spark, sf)
+    _drain(start_ingest(
+        _daily(fx.arrivals(spark, sf)), list(fx.SPECS), state, work_dir(spark, "checkpoint"), name="dedup",
+        foreign=foreign, once=True,
+    ))
+    return state.read("ledger").filter(F.col("source") != "seed").select("mirror", "key", "source")
+
+
+def _events(spark, sf):
+    return fx.change_log(spark, sf).drop("value")
+
+
+@query
+def stream_members(spark, sf):
+    """Members by Spark's own keyed state, read back from the change feed."""
+    feed = work_dir(spark, "feed")
+    writer = member_feed(_daily(_events(spark, sf))).writeStream.format("parquet").trigger(availableNow=True)
+    _drain(writer.option("checkpointLocation", work_dir(spark, "checkpoint")).start(feed))
+    return present_of_feed(spark.read.parquet(feed)).select("mirror", "folder", "key")
+
+
+@query
+def stream_members_log(spark, sf):
+    """The same members without Python state, by a log of last events."""
+    log = work_dir(spark, "log")
+    _drain(start_members(_daily(_events(spark, sf)), log, work_dir(spark, "checkpoint")))
+    return present_members(spark.read.parquet(log))
