@@ -1,11 +1,14 @@
 """Views over the test tables that give every operator an input of its kind.
 
 ``events`` plays the mailbox: an event is a record, its type the folder it lies in, and four
-mirrors share the table. State left by earlier passes is cut out of it by date.
+mirrors share the table. State left by earlier passes is cut out of it by date. Views are lazy; the
+few that others build on are kept per session, so their plans are analysed once.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +40,12 @@ OLD_SPECS = (
 )
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=64)
 def specs(spark: SparkSession) -> DataFrame:
     return specs_frame(spark, SPECS)
 
@@ -49,6 +54,7 @@ def day(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+@lru_cache(maxsize=64)
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with repeated, missing and padded ids and non-ASCII subjects."""
     return messages_of(table(spark, sf_dir, "events"))
@@ -59,7 +65,7 @@ def messages_of(events: DataFrame) -> DataFrame:
     number = F.regexp_extract("props", "([0-9]+)", 1)
     user = F.col("user_id").cast("string")
     return events.select(
-        F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("mirror"),
+        F.coalesce(F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")), F.lit("")).alias("mirror"),
         F.col("event_type").alias("folder"),
         F.when(F.col("user_id") % 4 == 2, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("epoch"),
         (F.col("event_id") + 1).alias("uid"),
@@ -77,6 +83,7 @@ def messages_of(events: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_key(messages(spark, sf_dir))
 

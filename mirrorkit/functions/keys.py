@@ -33,22 +33,30 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
     return F.unix_seconds(c)
 
 
-def content_key(message_id: Column, seconds: Column, sender: Column, subject: Column, size: Column) -> Column:
-    """The trimmed id, else a hash over length-prefixed fields.
-
-    Lengths count bytes, so text cannot move across a field boundary and collide.
-    """
-    native = trim_space(F.coalesce(message_id, F.lit("")))
+def synth_key(seconds: Column, sender: Column, subject: Column, size: Column) -> Column:
+    """Hash over length-prefixed fields. Lengths count bytes, so text cannot move across a field
+    boundary and collide."""
 
     def sized(c: Column) -> Column:
         text = F.coalesce(c, F.lit(""))
         return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
 
     joined = F.concat(
-        seconds.cast("string"), F.lit("|"), sized(sender), F.lit("|"), sized(subject), F.lit("|"),
+        F.coalesce(seconds, F.lit(0)).cast("string"), F.lit("|"), sized(sender), F.lit("|"), sized(subject), F.lit("|"),
         F.coalesce(size, F.lit(0)).cast("string"),
     )
-    return F.when(native != "", native).otherwise(F.concat(F.lit(SYNTH_PREFIX), F.sha2(joined, 256)))
+    return F.concat(F.lit(SYNTH_PREFIX), F.sha2(joined, 256))
+
+
+def content_key(message_id: Column, seconds: Column, sender: Column, subject: Column, size: Column) -> Column:
+    """The trimmed id, else the synthesized key."""
+    native = trim_space(F.coalesce(message_id, F.lit("")))
+    return _key_of(native, seconds, sender, subject, size)
+
+
+def _key_of(native: Column, seconds: Column, sender: Column, subject: Column, size: Column) -> Column:
+    # Never null, so joins on the key need not test for null and evaluate it twice.
+    return F.coalesce(F.when(native != "", native).otherwise(synth_key(seconds, sender, subject, size)), F.lit(""))
 
 
 def is_real_key(key: Column) -> Column:
@@ -66,8 +74,9 @@ def with_key(messages: DataFrame, specs: Iterable[MirrorSpec] = ()) -> DataFrame
     for spec in specs:
         if spec.key_expr:
             native = F.when(F.col("mirror") == spec.mirror, F.expr(spec.key_expr)).otherwise(native)
-    seconds = F.coalesce(epoch_seconds(messages, "internal_date"), F.lit(0).cast("long"))
-    return messages.withColumns({
-        "key": content_key(native, seconds, F.col("sender"), F.col("subject"), F.col("size")),
-        "is_synth": trim_space(F.coalesce(native, F.lit(""))) == "",
-    })
+    # The trimmed id is a column of its own: it is used three times and computed once.
+    trimmed = messages.withColumn("_native", trim_space(F.coalesce(native, F.lit(""))))
+    key = _key_of(
+        F.col("_native"), epoch_seconds(messages, "internal_date"), F.col("sender"), F.col("subject"), F.col("size")
+    )
+    return trimmed.withColumns({"key": key, "is_synth": F.col("_native") == ""}).drop("_native")

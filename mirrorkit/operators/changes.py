@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorkit.functions.tags import keyword, no_strings, tag_allowed
 from mirrorkit.operators.dedup import KEY
 from mirrorkit.operators.routing import with_placement
+from mirrorkit.sources.tables import BUCKET_COLUMNS, BUCKET_RANKS, bucket_name, bucket_rank
 
 OP_ID = ["mirror", "batch_id", "seq"]
 
@@ -23,29 +24,39 @@ def oldest_ops(pending: DataFrame, n: int) -> DataFrame:
     return pending.orderBy("batch_id", "seq", "mirror").limit(n)
 
 
-def first_bucket(wants: DataFrame, placements: DataFrame) -> DataFrame:
-    """Bucket, in lookup order, where each (mirror, key) is found; null when it is in none.
-
-    ``placements`` carries ``bucket_rank``. When ``wants`` has a ``wanted`` column, that bucket is
-    passed over. Copies collapse to one row per key before the shuffle.
-    """
-    where = placements.select(*KEY, "folder", "bucket_rank")
-    found = where.join(wants, KEY)
-    if "wanted" in wants.columns:
-        found = found.filter(F.col("folder") != F.col("wanted"))
-    first = (
-        found.groupBy(*KEY).agg(F.min(F.struct("bucket_rank", "folder")).alias("f"))
-        .select(*KEY, F.col("f.folder").alias("found"))
+def bucket_presence(placements: DataFrame) -> DataFrame:
+    """Per (mirror, key): which bucket ranks hold a copy. One row per key, however many copies there are."""
+    return placements.groupBy(*KEY).agg(
+        *[F.max(F.col("bucket_rank") == rank).alias(f"_in{rank}") for rank in BUCKET_RANKS]
     )
-    return wants.join(first, KEY, "left")
+
+
+def first_rank(skip: Column | None = None) -> Column:
+    """Lowest bucket rank that holds the key, leaving out the rank ``skip``; null when there is none."""
+    found = F.lit(None).cast("int")
+    for rank in reversed(BUCKET_RANKS):
+        here = F.coalesce(F.col(f"_in{rank}"), F.lit(False))
+        if skip is not None:
+            here = here & (F.coalesce(skip, F.lit(0)) != rank)
+        found = F.when(here, rank).otherwise(found)
+    return found
 
 
 def locate_copies(ops: DataFrame, placements: DataFrame, specs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Where every move operation's copy is found, and where it should be. Unfound ones are consumed silently."""
+    """Where every move operation's copy is found, and where it should be.
+
+    The first bucket in lookup order counts, the wanted one left out. Keys found in no other bucket
+    are consumed silently.
+    """
     keys = ops.filter(F.col("kind") == "move").select(*KEY).distinct()
     wants = with_placement(keys, facts, specs).drop("tags")
-    status = F.when(F.col("found").isNull(), "not_found").otherwise("found")
-    return first_bucket(wants, placements).withColumn("status", status)
+    located = (
+        wants.join(bucket_presence(placements), KEY, "left").join(specs.select(*BUCKET_COLUMNS), "mirror")
+        .withColumn("found_rank", first_rank(skip=bucket_rank(F.col("wanted"))))
+        .withColumn("found", bucket_name(F.col("found_rank")))
+    )
+    status = F.when(F.col("found_rank").isNull(), "not_found").otherwise("found")
+    return located.select(*KEY, "wanted", "found_rank", "found", status.alias("status"))
 
 
 def apply_moves(ops: DataFrame, placements: DataFrame, specs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -57,8 +68,10 @@ def apply_moves(ops: DataFrame, placements: DataFrame, specs: DataFrame, facts:
     """
     routed = specs.filter(F.col("archive_on") | F.col("sent_on")).select("mirror")
     located = locate_copies(ops.join(routed, "mirror", "left_semi"), placements, specs, facts)
-    target = located.filter(F.col("status") == "found").select(*KEY, F.col("found").alias("folder"), "wanted")
-    return placements.join(target, [*KEY, "folder"]).select(
+    target = located.filter(F.col("found_rank").isNotNull()).select(
+        *KEY, "wanted", F.col("found_rank").alias("bucket_rank")
+    )
+    return placements.join(target, [*KEY, "bucket_rank"]).select(
         *KEY, "copy_id", F.col("folder").alias("from_folder"), F.col("wanted").alias("folder")
     )
 
@@ -95,14 +108,11 @@ def apply_tag_deltas(ops: DataFrame, placements: DataFrame, specs: DataFrame, fa
     consumed silently.
     """
     deltas = tag_deltas(ops, specs, facts)
-    located = first_bucket(deltas.select(*KEY).distinct(), placements).filter(F.col("found").isNotNull())
-    copies = placements.join(located.select(*KEY, F.col("found").alias("folder")), [*KEY, "folder"])
+    home = bucket_presence(placements).select(*KEY, first_rank().alias("bucket_rank"))
+    copies = placements.join(home, [*KEY, "bucket_rank"]).select(*KEY, "copy_id", "tags")
     has = F.exists(F.coalesce(F.col("tags"), no_strings()), lambda t: F.lower(t) == F.lower(F.col("tag")))
     changed = F.when(F.col("op") == "add", ~has).otherwise(has)
-    return (
-        copies.select(*KEY, "copy_id", "tags").join(deltas, KEY)
-        .filter(changed).select(*KEY, "copy_id", "tag", "op")
-    )
+    return copies.join(deltas, KEY).filter(changed).select(*KEY, "copy_id", "tag", "op")
 
 
 def split_rejected_tags(rows: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,17 +22,19 @@ def first_per_key(keyed: DataFrame) -> DataFrame:
     )
 
 
-def flag_known(candidates: DataFrame, known: DataFrame, flag: str) -> DataFrame:
-    """Add a boolean: is (mirror, key) among ``known``?
+def among(known: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """``known`` cut to the keys ``asked`` for (all of it when None).
 
-    ``known`` (the ledger, the destination) is the large side. It is first cut to the keys asked
-    for by a semi join, whose right side is ``candidates``: when the candidates are small they are
-    broadcast and the large side is neither shuffled nor sorted. What is left is at most as large
-    as the candidates. When both sides are large, the same shuffle of the candidates serves both joins.
+    ``known`` is a large table (the ledger, the destination, the members) and ``asked`` the written
+    candidates of a small pass. As the right side of a semi join, those are broadcast while they are
+    below the threshold, and the large table is neither shuffled nor sorted.
     """
-    hits = (
-        known.select(*KEY).join(candidates.select(*KEY), KEY, "left_semi").distinct().withColumn("_hit", F.lit(True))
-    )
+    return known if asked is None else known.join(asked.select(*KEY), KEY, "left_semi")
+
+
+def flag_known(candidates: DataFrame, known: DataFrame, flag: str) -> DataFrame:
+    """Add a boolean: is (mirror, key) among ``known``?"""
+    hits = known.select(*KEY).distinct().withColumn("_hit", F.lit(True))
     return (
         candidates.join(hits, KEY, "left")
         .withColumn(flag, F.coalesce(F.col("_hit"), F.lit(False)))
@@ -42,7 +44,7 @@ def flag_known(candidates: DataFrame, known: DataFrame, flag: str) -> DataFrame:
 
 def ledger_antijoin(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """Candidates the ledger does not hold yet."""
-    return flag_known(candidates, ledger, "in_ledger").filter(~F.col("in_ledger")).drop("in_ledger")
+    return candidates.join(ledger.select(*KEY), KEY, "left_anti")
 
 
 def dest_guard(candidates: DataFrame, dest_keys: DataFrame, specs: DataFrame | None = None) -> DataFrame:
@@ -56,13 +58,6 @@ def dest_guard(candidates: DataFrame, dest_keys: DataFrame, specs: DataFrame | N
     return flagged.withColumn("in_dest", on).drop("_present", "_guard")
 
 
-def classify(first: DataFrame, ledger: DataFrame, dest_keys: DataFrame, specs: DataFrame | None = None) -> DataFrame:
-    """Status of every distinct key: 'in_ledger' (skip), 'in_dest' (skip but record) or 'copy'."""
-    seen = dest_guard(flag_known(first, ledger, "in_ledger"), dest_keys, specs)
-    status = F.when(F.col("in_ledger"), "in_ledger").when(F.col("in_dest"), "in_dest").otherwise("copy")
-    return seen.withColumn("status", status).drop("in_ledger", "in_dest")
-
-
 def seed_keys(dest: DataFrame, ledger: DataFrame) -> DataFrame:
     """Destination keys the ledger lacks, with the number of records scanned for each."""
     distinct = dest.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_records"), F.max("is_synth").alias("is_synth"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorkit.operators.dedup import KEY
+from mirrorkit.operators.dedup import KEY, among
 from mirrorkit.operators.sequence import number_rows
 
 PLACE = ["mirror", "folder", "key"]
@@ -91,15 +91,19 @@ def with_first_scan(changes: DataFrame, members: DataFrame) -> DataFrame:
     ).drop("_stored")
 
 
-def gate_ops(changes: DataFrame, watch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Changes that cause an operation: the folder has a kind, the key is real and already copied."""
+def gate_ops(
+    changes: DataFrame, watch: DataFrame, ledger: DataFrame, asked: DataFrame | None = None
+) -> DataFrame:
+    """Changes that cause an operation: the folder has a kind, the key is real and already copied.
+
+    ``asked`` are the changes once written: the ledger is then cut to their keys before it is shuffled.
+    """
     kinds = watch.filter(F.col("kind").isNotNull()).select("mirror", "folder", "kind")
-    asked = changes.filter(
+    caused = changes.filter(
         F.col("op").isin("add", "remove") & ~F.col("is_synth") & ~F.col("first_scan")
     ).join(kinds, ["mirror", "folder"])
-    # The ledger is the large side: cut it to the keys asked for, then keep changes among those.
-    copied = ledger.select(*KEY).join(asked.select(*KEY), KEY, "left_semi").distinct()
-    return asked.join(copied, KEY, "left_semi").select("mirror", "kind", "key", "folder", "op", "uid")
+    copied = among(ledger.select(*KEY), asked)
+    return caused.join(copied, KEY, "left_semi").select("mirror", "kind", "key", "folder", "op", "uid")
 
 
 def sequence_ops(ops: DataFrame) -> DataFrame:

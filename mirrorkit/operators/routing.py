@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorkit.functions.tags import keywords, no_strings
+from mirrorkit.operators.dedup import among
 
 # Attributes that make a folder a mailbox role instead of a label.
 ROLE_ATTRS = (
@@ -109,25 +110,34 @@ _FACT_RULES = (
 )
 
 
+def fact_rows(members: DataFrame, specs: DataFrame) -> DataFrame:
+    """What every membership says about its key: ``mirror, key, in_inbox, in_sent, label``."""
+    rules = specs.select("mirror", "inbox", "sent_on", "sent_source")
+    return members.select("mirror", "key", "folder").join(rules, "mirror").select(
+        "mirror", "key",
+        (F.col("folder") == F.col("inbox")).alias("in_inbox"),
+        F.coalesce(F.col("folder") == F.col("sent_source"), F.lit(False)).alias("in_sent"),
+        F.when(is_label(F.col("folder")), F.col("folder")).alias("label"),
+    )
+
+
+def fact_columns() -> list[Column]:
+    """Aggregates over fact rows. They pass over nulls, so rows of other kinds may be mixed in."""
+    return [
+        F.max("in_inbox").alias("in_inbox"),
+        F.max("in_sent").alias("in_sent"),
+        F.array_sort(F.collect_set("label")).alias("labels"),
+    ]
+
+
 def key_facts(members: DataFrame, specs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Everything placement and tagging need to know about a key, in one shuffle.
 
     Gives ``mirror, key, in_inbox, in_sent, labels`` with labels distinct and sorted. Map-side
-    aggregation keeps at most one row per key and folder in flight. With ``keys`` the members are
-    first cut to the keys asked for, so a small pass does not shuffle every membership there is.
+    aggregation keeps at most one row per key and folder in flight. With ``keys`` (written before)
+    the members are first cut to the keys asked for, so a small pass does not shuffle every membership.
     """
-    if keys is not None:
-        members = members.join(keys.select("mirror", "key"), ["mirror", "key"], "left_semi")
-    rules = specs.select("mirror", "inbox", "sent_on", "sent_source")
-    sent = F.coalesce(F.col("folder") == F.col("sent_source"), F.lit(False))
-    return (
-        members.select("mirror", "key", "folder").join(rules, "mirror")
-        .groupBy("mirror", "key").agg(
-            F.max(F.col("folder") == F.col("inbox")).alias("in_inbox"),
-            F.max(sent).alias("in_sent"),
-            F.array_sort(F.collect_set(F.when(is_label(F.col("folder")), F.col("folder")))).alias("labels"),
-        )
-    )
+    return fact_rows(among(members, keys), specs).groupBy("mirror", "key").agg(*fact_columns())
 
 
 def with_placement(keys: DataFrame, facts: DataFrame, specs: DataFrame) -> DataFrame:
@@ -135,20 +145,20 @@ def with_placement(keys: DataFrame, facts: DataFrame, specs: DataFrame) -> DataF
 
     Keys in no watched folder have no facts and get the default bucket and no tags.
     """
+    return place(keys.join(facts, ["mirror", "key"], "left"), specs).select(*keys.columns, "wanted", "tags")
+
+
+def place(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """Add ``wanted`` and ``tags`` to rows that carry their facts."""
     no = F.lit(False)
     tags = F.when(
         F.col("labels_on"),
         keywords(F.coalesce(F.col("labels"), no_strings()), F.col("keyword_prefix"), F.col("keyword_replacement")),
     ).otherwise(no_strings())
-    return (
-        keys.join(facts, ["mirror", "key"], "left")
-        .join(specs.select("mirror", *_FACT_RULES), "mirror")
-        .withColumns({
-            "wanted": wanted_bucket(F.coalesce(F.col("in_inbox"), no), F.coalesce(F.col("in_sent"), no)),
-            "tags": tags,
-        })
-        .select(*keys.columns, "wanted", "tags")
-    )
+    return rows.join(specs.select("mirror", *_FACT_RULES), "mirror").withColumns({
+        "wanted": wanted_bucket(F.coalesce(F.col("in_inbox"), no), F.coalesce(F.col("in_sent"), no)),
+        "tags": tags,
+    })
 
 
 def route_bucket(keys: DataFrame, members: DataFrame, specs: DataFrame) -> DataFrame:

@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorkit.operators.dedup import classify, first_per_key
-from mirrorkit.operators.routing import key_facts, with_placement
+from mirrorkit.operators.dedup import among
+from mirrorkit.operators.routing import fact_columns, fact_rows, place
 
 
 def plan_candidates(
-    first: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame
+    candidates: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Status, bucket and tags of candidates that are already unique on (mirror, key).
+    """Status, bucket and tags of every candidate key.
 
-    When ``first`` was written before, its size is known: while it is small it is broadcast into
-    the ledger, the destination and the members, and none of the three is shuffled.
+    Candidates (``mirror, key, uid, n_records, is_synth``), ledger, destination and members meet in
+    one aggregation per (mirror, key) instead of three joins: each table is read once and shuffled
+    once, after every task has folded its rows per key, and no key can become a hot join key.
+
+    ``asked`` are the candidates once written: the large tables are then cut to those keys first,
+    which costs no shuffle while the candidates are small enough to broadcast.
     """
-    plan = classify(first, ledger, dest_keys, specs)
-    return with_placement(plan, key_facts(members, specs, keys=first), specs)
+    no = F.lit(None).cast("boolean")
+    blank = {
+        "uid": F.lit(None).cast("long"), "n_records": F.lit(None).cast("long"), "is_synth": no, "in_ledger": no,
+        "in_dest": no, "in_inbox": no, "in_sent": no, "label": F.lit(None).cast("string"),
+    }
+
+    def side(rows: DataFrame, **have) -> DataFrame:
+        given = {c: F.col(c) for c in rows.columns}
+        return rows.select("mirror", "key", *[{**blank, **given, **have}[c].alias(c) for c in blank])
+
+    yes = F.lit(True)
+    mixed = (
+        side(candidates.select("mirror", "key", "uid", "n_records", "is_synth"))
+        .unionByName(side(among(ledger, asked).select("mirror", "key"), in_ledger=yes))
+        .unionByName(side(among(dest_keys, asked).select("mirror", "key"), in_dest=yes))
+        .unionByName(side(fact_rows(among(members, asked), specs)))
+    )
+    known = mixed.groupBy("mirror", "key").agg(
+        F.min("uid").alias("uid"), F.sum("n_records").alias("n_records"), F.max("is_synth").alias("is_synth"),
+        F.max("in_ledger").alias("in_ledger"), F.max("in_dest").alias("in_dest"), *fact_columns(),
+    ).filter(F.col("n_records").isNotNull())
+    guard = specs.select("mirror", "dest_guard")
+    guarded = F.col("in_dest") & ~F.col("is_synth") & F.col("dest_guard")
+    status = F.when(F.col("in_ledger"), "in_ledger").when(guarded, "in_dest").otherwise("copy")
+    return place(known.join(guard, "mirror").withColumn("status", status), specs).select(
+        "mirror", "key", "uid", "n_records", "is_synth", "status", "wanted", "tags"
+    )
 
 
 def ingest_plan(
@@ -26,9 +56,11 @@ def ingest_plan(
 ) -> DataFrame:
     """One row per candidate key: ``mirror, key, uid, n_records, is_synth, status, wanted, tags``.
 
-    Duplicates inside the batch collapse first, so everything after works on unique keys.
+    Duplicates inside the batch collapse, the lowest uid wins. The status is 'in_ledger' (skip),
+    'in_dest' (skip, but record) or 'copy'.
     """
-    return plan_candidates(first_per_key(keyed), ledger, dest_keys, members, specs)
+    rows = keyed.select("mirror", "key", "uid", F.lit(1).cast("long").alias("n_records"), "is_synth")
+    return plan_candidates(rows, ledger, dest_keys, members, specs)
 
 
 def source_candidates(

@@ -88,7 +88,7 @@ def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, s
     change = sync_membership(source.messages, stored, folders, watch, rules, spec_list)
     attempt.write("folder_state", folder_state_next(before, change.scanned))
     changes = attempt.scratch("changes", change.changes)
-    ops = attempt.scratch("ops", gate_ops(changes, watch, state.read("ledger")))
+    ops = attempt.scratch("ops", gate_ops(changes, watch, state.read("ledger"), asked=changes))
     attempt.write("pending_ops", sequence_ops(ops))
     if not snapshot:
         return state.members(attempt.write("member_log", change.rows))
@@ -143,7 +143,9 @@ def copy_records(
     state = attempt.store
     first = attempt.scratch("candidates", first_per_key(keyed))
     dest_keys = scan_buckets(state.dest(foreign, keys=first), rules)
-    plan = attempt.scratch("plan", plan_candidates(first, state.read("ledger"), dest_keys, members, rules))
+    plan = attempt.scratch("plan", plan_candidates(
+        first, state.read("ledger"), dest_keys, members, rules, asked=first
+    ))
 
     copies = plan.filter(F.col("status") == "copy").join(
         rules.select("mirror", F.col("source_folder").alias("folder"), "carry_seen"), "mirror"

@@ -104,6 +104,14 @@ def bucket_rank(folder: Column) -> Column:
     )
 
 
+def bucket_name(rank: Column) -> Column:
+    """Folder of a bucket rank under a spec row."""
+    return (
+        F.when(rank == 1, F.col("dest_folder")).when(rank == 2, F.col("sent_folder")).when(rank == 3, F.col("archive_folder"))
+    )
+
+
+BUCKET_RANKS = (1, 2, 3)
 BUCKET_COLUMNS = ("mirror", "dest_folder", "sent_on", "sent_folder", "archive_on", "archive_folder")
 
 
