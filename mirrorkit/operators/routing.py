@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorkit.functions.tags import keywords, no_strings
-from mirrorkit.operators.dedup import among
 
 # Attributes that make a folder a mailbox role instead of a label.
 ROLE_ATTRS = (
@@ -130,14 +129,13 @@ def fact_columns() -> list[Column]:
     ]
 
 
-def key_facts(members: DataFrame, specs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def key_facts(members: DataFrame, specs: DataFrame) -> DataFrame:
     """Everything placement and tagging need to know about a key, in one shuffle.
 
     Gives ``mirror, key, in_inbox, in_sent, labels`` with labels distinct and sorted. Map-side
-    aggregation keeps at most one row per key and folder in flight. With ``keys`` (written before)
-    the members are first cut to the keys asked for, so a small pass does not shuffle every membership.
+    aggregation keeps at most one row per key and folder in flight.
     """
-    return fact_rows(among(members, keys), specs).groupBy("mirror", "key").agg(*fact_columns())
+    return fact_rows(members, specs).groupBy("mirror", "key").agg(*fact_columns())
 
 
 def with_placement(keys: DataFrame, facts: DataFrame, specs: DataFrame) -> DataFrame:

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorkit.operators.dedup import among
 from mirrorkit.operators.routing import fact_columns, fact_rows, place
 
 
 def plan_candidates(
-    candidates: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame,
-    asked: DataFrame | None = None,
+    candidates: DataFrame, ledger: DataFrame, dest_keys: DataFrame, members: DataFrame, specs: DataFrame
 ) -> DataFrame:
     """Status, bucket and tags of every candidate key.
 
@@ -19,8 +17,8 @@ def plan_candidates(
     one aggregation per (mirror, key) instead of three joins: each table is read once and shuffled
     once, after every task has folded its rows per key, and no key can become a hot join key.
 
-    ``asked`` are the candidates once written: the large tables are then cut to those keys first,
-    which costs no shuffle while the candidates are small enough to broadcast.
+    A small pass first cuts the three large tables to its candidates (``among``), which costs no
+    shuffle while those are small enough to broadcast.
     """
     no = F.lit(None).cast("boolean")
     blank = {
@@ -35,9 +33,9 @@ def plan_candidates(
     yes = F.lit(True)
     mixed = (
         side(candidates.select("mirror", "key", "uid", "n_records", "is_synth"))
-        .unionByName(side(among(ledger, asked).select("mirror", "key"), in_ledger=yes))
-        .unionByName(side(among(dest_keys, asked).select("mirror", "key"), in_dest=yes))
-        .unionByName(side(fact_rows(among(members, asked), specs)))
+        .unionByName(side(ledger.select("mirror", "key"), in_ledger=yes))
+        .unionByName(side(dest_keys.select("mirror", "key"), in_dest=yes))
+        .unionByName(side(fact_rows(members, specs)))
     )
     known = mixed.groupBy("mirror", "key").agg(
         F.min("uid").alias("uid"), F.sum("n_records").alias("n_records"), F.max("is_synth").alias("is_synth"),

@@ -25,11 +25,13 @@ ROW = ["mirror", "folder", "key", "is_synth", "uid"]
 
 @dataclass(frozen=True)
 class MembershipChange:
-    """``changes`` per key (they may cause operations), ``rows`` for the member log, ``scanned`` scan state."""
+    """``changes`` per key (they may cause operations), ``rows`` for the member log, ``scanned`` scan
+    state, and ``kinds`` of operation per folder: those of the watch list and of swept folders."""
 
     changes: DataFrame
     rows: DataFrame
     scanned: DataFrame
+    kinds: DataFrame
 
 
 def watch_state(watch: DataFrame, status: DataFrame, folder_state: DataFrame) -> DataFrame:
@@ -89,4 +91,9 @@ def sync_membership(
         *FOLDER, "epoch", F.when(F.col("rescan"), F.col("top_uid")).otherwise(F.greatest("top_uid", "last_uid"))
         .alias("last_uid")
     )
-    return MembershipChange(changes, rows, scanned)
+    # Only label folders can vanish: inbox and sent are watched whether listed or not.
+    kinds = watch.unionByName(
+        swept.select(*FOLDER).distinct().join(specs.filter("propagate").select("mirror"), "mirror", "left_semi")
+        .withColumn("kind", F.lit("keyword"))
+    )
+    return MembershipChange(changes, rows, scanned, kinds)

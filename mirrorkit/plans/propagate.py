@@ -12,8 +12,11 @@ from mirrorkit.operators.routing import key_facts
 def propagate(
     ops: DataFrame, placements: DataFrame, members: DataFrame, specs: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Move rows and tag rows that the queue calls for. Every operation counts as consumed afterwards."""
-    facts = key_facts(members, specs, keys=ops.select("mirror", "key"))
+    """Move rows and tag rows that the queue calls for. Every operation counts as consumed afterwards.
+
+    ``members`` may be cut to the keys of the operations.
+    """
+    facts = key_facts(members, specs)
     return apply_moves(ops, placements, specs, facts), apply_tag_deltas(ops, placements, specs, facts)
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorkit.functions.keys import is_real_key, with_key
 from mirrorkit.functions.settings import rule_fingerprint
-from mirrorkit.functions.tags import safe_flags
-from mirrorkit.operators.changes import split_rejected_tags
-from mirrorkit.operators.dedup import first_per_key, seed_keys
+from mirrorkit.functions.tags import safe_flags, tag_allowed
+from mirrorkit.operators.dedup import among, first_per_key, seed_keys
 from mirrorkit.operators.membership import folder_state_next, gate_ops, sequence_ops, upgrade_labels
 from mirrorkit.operators.repair import (
     backfill_move_rows,
@@ -62,12 +61,12 @@ def reconcile(
     spec_list = list(specs)
     attempt = state.begin(batch_id)
     rules = attempt.scratch("specs", resolve_specs(specs_frame(spark, spec_list), source.folders))
-    marks = attempt.scratch("marks", state.read_batch("mirror_state", attempt.last))
+    marks = state.read_batch("mirror_state", attempt.last)
     status = attempt.scratch("status", source.status if source.status is not None else current_epoch(source.messages))
 
     members = _members_phase(attempt, spec_list, rules, source, status, members_snapshot)
     repair = _repair_phase(attempt, rules, source, members, marks)
-    spans = attempt.scratch("spans", source_spans(rules, status, marks, full, max_uids))
+    spans = source_spans(rules, status, marks, full, max_uids)
     plan = _copy_phase(attempt, spec_list, rules, source, members, status, marks, now, full, max_uids)
     moves, tags, applied = _propagate_phase(attempt, rules, source, members, repair, apply_ops)
 
@@ -77,7 +76,11 @@ def reconcile(
     return log
 
 
-def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, snapshot: bool) -> DataFrame:
+# Members as of this pass, all of them or those of some keys only.
+MembersOf = Callable[[DataFrame | None], DataFrame]
+
+
+def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, snapshot: bool) -> MembersOf:
     """Member rows, scan state and new operations. Operations are gated by the ledger as it was
     before this pass copies anything, so new records cause none."""
     state = attempt.store
@@ -88,40 +91,44 @@ def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, s
     change = sync_membership(source.messages, stored, folders, watch, rules, spec_list)
     attempt.write("folder_state", folder_state_next(before, change.scanned))
     changes = attempt.scratch("changes", change.changes)
-    ops = attempt.scratch("ops", gate_ops(changes, watch, state.read("ledger"), asked=changes))
-    attempt.write("pending_ops", sequence_ops(ops))
+    ops = attempt.scratch("ops", gate_ops(changes, change.kinds, state.read("ledger"), asked=changes))
+    if not ops.isEmpty():
+        attempt.write("pending_ops", sequence_ops(ops))
     if not snapshot:
-        return state.members(attempt.write("member_log", change.rows))
+        log = attempt.write("member_log", change.rows)
+        return lambda keys: state.members(log, keys)
     rows = attempt.scratch("member_rows", change.rows).withColumn("batch_id", F.lit(attempt.batch_id).cast("long"))
     # As the new base this batch holds every present row; earlier batches are not read again.
     present = state.members(rows).withColumn("op", F.lit("add"))
-    return attempt.write("member_log", present).drop("batch_id", "op")
+    written = attempt.write("member_log", present).drop("batch_id", "op")
+    return lambda keys: among(written, keys)
 
 
-def _repair_phase(attempt: Attempt, rules, source: Source, members, marks) -> tuple[DataFrame, DataFrame]:
+def _repair_phase(attempt: Attempt, rules, source: Source, members: MembersOf, marks) -> tuple[DataFrame, DataFrame]:
     """Moves and tags for mirrors whose rules changed. With no such mirror nothing is scanned."""
     state = attempt.store
     stored = marks.select("mirror", "batch_id", "fingerprint").filter(F.col("fingerprint").isNotNull())
     due = attempt.scratch("due", mirrors_needing_backfill(rules, stored))
     if due.isEmpty():
-        # Nothing is due: skip the scan of the destination altogether.
-        due_rules, members = rules.filter(F.lit(False)), members.filter(F.lit(False))
-    else:
-        due_rules = rules.join(due.select("mirror"), "mirror", "left_semi")
+        return attempt.written("placement_log"), attempt.written("tag_log")
+    due_rules = rules.join(due.select("mirror"), "mirror", "left_semi")
     held = scan_buckets(state.dest(source.foreign), due_rules)
     managed = due_rules.select("mirror", "managed_only")
     held = held.join(managed, "mirror").filter(F.col("managed") | ~F.col("managed_only"))
     placements = held.select("mirror", "key", "copy_id", "folder", "tags", "bucket_rank")
-    plan = attempt.scratch("repair", backfill_plan(placements, due_rules, key_facts(members, due_rules)))
-    seq = F.lit(REPAIR_SEQ).cast("long")
-    batch = F.lit(attempt.batch_id).cast("long")
-    moves = backfill_move_rows(plan).withColumns({"seq": seq, "reason": F.lit("repair"), "batch_id": batch})
-    tags = backfill_tag_rows(plan).withColumns({"seq": seq, "reason": F.lit("repair"), "batch_id": batch})
-    return moves, tags
+    plan = attempt.scratch("repair", backfill_plan(placements, due_rules, key_facts(members(None), due_rules)))
+    stamp = _stamp(attempt, REPAIR_SEQ, "repair")
+    return backfill_move_rows(plan).withColumns(stamp), backfill_tag_rows(plan).withColumns(stamp)
+
+
+def _stamp(attempt: Attempt, seq: int, reason: str) -> dict[str, Column]:
+    return {
+        "seq": F.lit(seq).cast("long"), "reason": F.lit(reason), "batch_id": F.lit(attempt.batch_id).cast("long"),
+    }
 
 
 def _copy_phase(
-    attempt: Attempt, spec_list, rules, source: Source, members, status, marks, now: int, full: bool, max_uids
+    attempt: Attempt, spec_list, rules, source: Source, members: MembersOf, status, marks, now: int, full: bool, max_uids
 ) -> DataFrame:
     """Copy the records of the source folders that are above their marks."""
     candidates = source_candidates(source.messages, rules, status, marks, full, max_uids)
@@ -133,7 +140,7 @@ def _copy_phase(
 
 def copy_records(
     attempt: Attempt, rules: DataFrame, keyed: DataFrame, messages: DataFrame, bodies: DataFrame,
-    members: DataFrame, foreign: DataFrame | None, now: int,
+    members: MembersOf, foreign: DataFrame | None, now: int,
 ) -> DataFrame:
     """Copy what neither the ledger nor the destination holds, and record it. Returns the plan.
 
@@ -143,24 +150,29 @@ def copy_records(
     state = attempt.store
     first = attempt.scratch("candidates", first_per_key(keyed))
     dest_keys = scan_buckets(state.dest(foreign, keys=first), rules)
-    plan = attempt.scratch("plan", plan_candidates(
-        first, state.read("ledger"), dest_keys, members, rules, asked=first
+    planned = plan_candidates(first, among(state.read("ledger"), first), dest_keys, members(first), rules)
+    if first.isEmpty():
+        return planned.filter(F.lit(False))
+    # Everything a copy needs is settled before the plan is written: from here on the small side of
+    # each join is a written table whose size the optimizer knows, and the bodies, by far the
+    # largest table, are met last and not shuffled while the accepted records can be broadcast.
+    plan = attempt.scratch("plan", planned.join(
+        rules.select("mirror", F.col("source_folder").alias("folder"), "carry_seen", "allowed_tags"), "mirror"
     ))
-
-    copies = plan.filter(F.col("status") == "copy").join(
-        rules.select("mirror", F.col("source_folder").alias("folder"), "carry_seen"), "mirror"
-    )
-    allowed, refused = split_rejected_tags(copies, rules)
-    attempt.write("rejected_tags", refused)
+    copies = plan.filter(F.col("status") == "copy")
+    refused = F.filter("tags", lambda t: ~tag_allowed(t, F.col("allowed_tags")))
+    attempt.write("rejected_tags", copies.select("mirror", "key", F.explode(refused).alias("tag")))
     meta = messages.select(
         "mirror", "folder", "uid", "sender", "subject", F.col("internal_date").cast("timestamp").alias("internal_date"),
         "size", "flags",
     )
-    described = attach_bodies(allowed, bodies).join(meta, ["mirror", "folder", "uid"])
+    accepted = attempt.scratch("accepted", meta.join(copies, ["mirror", "folder", "uid"]))
+    described = attach_bodies(accepted, bodies)
     written = attempt.write("dest_messages", described.withColumns({
         "copy_id": F.concat(F.lit(f"{attempt.batch_id}-"), F.col("uid").cast("string")),
         "folder": F.col("wanted"),
         "flags": safe_flags(F.col("flags"), F.col("carry_seen")),
+        "tags": F.filter("tags", lambda t: tag_allowed(t, F.col("allowed_tags"))),
     })).select("mirror", "key", "is_synth", "uid")
     attempt.write("missing_bodies", copies.join(written.select("mirror", "key"), ["mirror", "key"], "left_anti"))
     guarded = plan.filter(F.col("status") == "in_dest").select("mirror", "key", "is_synth", "uid")
@@ -169,26 +181,23 @@ def copy_records(
     return plan
 
 
-def _propagate_phase(attempt: Attempt, rules, source: Source, members, repair, apply_ops: bool):
+def _propagate_phase(attempt: Attempt, rules, source: Source, members: MembersOf, repair, apply_ops: bool):
     """Apply every queued operation, those of this pass included, on top of the repair."""
     state = attempt.store
-    batch = F.lit(attempt.batch_id).cast("long")
-    repair_moves, repair_tags = repair
-    queued = state.pending()
-    live = queued.unionByName(attempt.written("pending_ops"))
-    live = attempt.scratch("live", live if apply_ops else live.filter(F.lit(False)))
-    keys = live.select("mirror", "key").distinct()
-    held = state.dest(source.foreign, keys, repair_moves, repair_tags)
-    placements = scan_buckets(held, rules).select("mirror", "key", "copy_id", "folder", "tags", "bucket_rank")
-    placements = attempt.scratch("placements", placements)
-    op_moves, op_tags = propagate(live, placements, members, rules)
-    stamp = {"seq": F.lit(OPS_SEQ).cast("long"), "reason": F.lit("membership"), "batch_id": batch}
-    moves = attempt.write("placement_log", repair_moves.unionByName(op_moves.withColumns(stamp)))
-    tags = attempt.write("tag_log", repair_tags.unionByName(op_tags.withColumns(stamp)))
-    applied = attempt.write("applied_ops", live.select(
-        "mirror", F.col("batch_id").alias("op_batch"), "seq", F.lit("applied").alias("status")
-    ))
-    return moves, tags, applied
+    moves, tags = repair
+    if apply_ops:
+        live = attempt.scratch("live", state.pending().unionByName(attempt.written("pending_ops")))
+        if not live.isEmpty():
+            held = state.dest(source.foreign, live.select("mirror", "key").distinct(), moves, tags)
+            placements = scan_buckets(held, rules).select("mirror", "key", "copy_id", "folder", "tags", "bucket_rank")
+            found_moves, found_tags = propagate(live, attempt.scratch("placements", placements), members(live), rules)
+            stamp = _stamp(attempt, OPS_SEQ, "membership")
+            moves = moves.unionByName(found_moves.withColumns(stamp))
+            tags = tags.unionByName(found_tags.withColumns(stamp))
+            attempt.write("applied_ops", live.select(
+                "mirror", F.col("batch_id").alias("op_batch"), "seq", F.lit("applied").alias("status")
+            ))
+    return attempt.write("placement_log", moves), attempt.write("tag_log", tags), attempt.written("applied_ops")
 
 
 def _write_mirror_state(attempt: Attempt, rules, spans, marks, now: int) -> None:

@@ -557,7 +557,7 @@ def membership_ops(spark, sf):
     watch = routing.watch_list(fx.folders(spark, sf), fx.specs(spark))
     folders = watch_state(watch, tables.current_epoch(rows), state)
     change = sync_membership(rows, stored, folders, watch, fx.specs(spark))
-    ops = membership.gate_ops(change.changes, watch, _copied(spark, sf))
+    ops = membership.gate_ops(change.changes, change.kinds, _copied(spark, sf))
     return membership.sequence_ops(ops).select("mirror", "seq", "kind", "key", "folder", "op")
 
 

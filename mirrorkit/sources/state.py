@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from mirrorkit.operators.changes import dest_current, queue_remaining
-from mirrorkit.operators.dedup import KEY
+from mirrorkit.operators.dedup import KEY, among
 from mirrorkit.schemas import STATE_TABLES, columns
 from mirrorkit.session import work_dir
 
@@ -69,11 +69,16 @@ class StateStore:
         """Committed rows of one batch; the filter prunes the other directories."""
         return self.read(table).filter(F.col("batch_id") == batch_id)
 
-    def members(self, extra: DataFrame | None = None) -> DataFrame:
-        """Member rows as of the last commit, or with ``extra`` log rows applied on top."""
+    def members(self, extra: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Member rows as of the last commit, or with ``extra`` log rows applied on top.
+
+        With ``keys`` the log is cut to those keys before it is folded.
+        """
         _, base = self.last()
         log = self.read("member_log").filter(F.col("batch_id") >= base)
-        return fold_members(log if extra is None else log.unionByName(extra, allowMissingColumns=True))
+        if extra is not None:
+            log = log.unionByName(extra.select(*log.columns))
+        return fold_members(among(log, keys))
 
     def pending(self) -> DataFrame:
         """Operations queued and not yet applied."""
@@ -98,8 +103,7 @@ class StateStore:
         if tag_extra is not None:
             tags = tags.unionByName(tag_extra.select(*tags.columns))
         if keys is not None:
-            asked = keys.select(*KEY)
-            records, moves, tags = (t.join(asked, KEY, "left_semi") for t in (records, moves, tags))
+            records, moves, tags = (among(t, keys) for t in (records, moves, tags))
         return dest_current(records, moves, tags)
 
     def begin(self, batch_id: int | None = None) -> Attempt:
@@ -139,9 +143,9 @@ class Attempt:
         return self.written(table)
 
     def written(self, table: str) -> DataFrame:
-        """What this attempt wrote, with its ``batch_id``."""
+        """What this attempt wrote, with its ``batch_id``; empty when it had nothing to write."""
         path = f"{self.store.root}/{table}/batch_id={self.batch_id}/attempt={self.name}"
-        rows = self.store.spark.read.schema(STATE_TABLES[table]).parquet(path)
+        rows = self.store._load(path, STATE_TABLES[table])
         return rows.withColumn("batch_id", F.lit(self.batch_id).cast("long"))
 
     def scratch(self, name: str, rows: DataFrame) -> DataFrame:

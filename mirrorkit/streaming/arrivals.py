@@ -49,8 +49,9 @@ def ingest_batch(
         return
     attempt = state.begin()
     rules = attempt.scratch("specs", specs_frame(spark, specs))
-    arrived = attempt.scratch("arrived", batch.drop("raw"))
-    plan = copy_records(attempt, rules, with_key(arrived, specs), arrived, bodies, state.members(), foreign, now)
+    # A file delivered twice brings the same records twice.
+    arrived = attempt.scratch("arrived", batch.drop("raw").dropDuplicates(["mirror", "folder", "epoch", "uid"]))
+    plan = copy_records(attempt, rules, with_key(arrived, specs), arrived, bodies, _members(state), foreign, now)
     attempt.carry("folder_state")
     attempt.write("mirror_state", _advance_marks(attempt, rules, arrived, now))
     zero = F.lit(0).cast("long")
@@ -60,6 +61,10 @@ def ingest_batch(
     attempt.commit(tag=tag)
 
 
+def _members(state: StateStore) -> Callable[[DataFrame | None], DataFrame]:
+    return lambda keys: state.members(keys=keys)
+
+
 def _advance_marks(attempt: Attempt, rules: DataFrame, arrived: DataFrame, now: int) -> DataFrame:
     """High-water marks after a batch. A new epoch starts a new mark."""
     stored = attempt.store.read_batch("mirror_state", attempt.last).select("mirror", "epoch", "last_uid", "fingerprint")
@@ -88,7 +93,9 @@ def start_ingest(
     ``bodies`` table the arrivals carry their own ``raw``.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
-        own = batch.select("mirror", "folder", "uid", "raw") if bodies is None else bodies
+        own = bodies
+        if own is None:
+            own = batch.select("mirror", "folder", "uid", "raw").dropDuplicates(["mirror", "folder", "uid"])
         ingest_batch(batch.sparkSession, specs, batch, f"{name}:{epoch}", state, own, int(clock()), foreign)
 
     writer = arrivals.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(handle)

@@ -6,7 +6,10 @@ import dataclasses
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mirrorkit.plans.reconcile import Source
 from mirrorkit.schemas import BODIES, FOLDER_STATUS, FOLDERS, MESSAGES, STATE_TABLES
@@ -51,6 +54,13 @@ def spec(mirror: str, **rules) -> MirrorSpec:
     return MirrorSpec(mirror, **{**base, **rules})
 
 
+def frame(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A local relation: no Python worker reads it."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+
+
 def source(spark: SparkSession, mailboxes: dict[str, dict[str, Folder]], foreign=()) -> Source:
     """Tables of all mailboxes. ``foreign`` lists (mirror, copy_id, folder, key)."""
     listing, status, messages, bodies = [], [], [], []
@@ -66,10 +76,10 @@ def source(spark: SparkSession, mailboxes: dict[str, dict[str, Folder]], foreign
     theirs = None
     if foreign:
         rows = [(mirror, copy, folder, key, False, 0, "", "", None, 0, [], [], "") for mirror, copy, folder, key in foreign]
-        theirs = spark.createDataFrame(rows, STATE_TABLES["dest_messages"])
+        theirs = frame(spark, rows, STATE_TABLES["dest_messages"])
     return Source(
-        spark.createDataFrame(messages, MESSAGES), spark.createDataFrame(bodies, BODIES),
-        spark.createDataFrame(listing, FOLDERS), spark.createDataFrame(status, FOLDER_STATUS), theirs,
+        frame(spark, messages, MESSAGES), frame(spark, bodies, BODIES),
+        frame(spark, listing, FOLDERS), frame(spark, status, FOLDER_STATUS), theirs,
     )
 
 
