@@ -19,6 +19,10 @@ def make_spark() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Call sites of every expression are of use in a notebook; here they only take time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .getOrCreate()
     )

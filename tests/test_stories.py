@@ -147,6 +147,30 @@ STORIES: dict[str, list[Step]] = {
         Step({MAIN: Folder((M1,)), "Work": Folder((M1,)), "Home": Folder((M1,))},
              {"labels_on": True, "allowed_tags": "^home$"}, log={"copied": 1, "rejected_tags": 1}, tags={"<m1@x>": ["home"]}),
     ],
+    "only-the-seen-flag": [
+        Step({MAIN: Folder((msg(1, "<a@x>", flags=("\\Seen", "\\Deleted", "\\Recent", "custom")), msg(2, "<b@x>", flags=("\\Flagged",))))},
+             flags={"<a@x>": ["\\Seen"], "<b@x>": []}),
+    ],
+    "no-flag-at-all": [
+        Step({MAIN: Folder((msg(1, "<a@x>", flags=("\\Seen",)),))}, {"carry_seen": False}, flags={"<a@x>": []}),
+    ],
+    "vanished-folder-stays": [
+        Step({**ONE, "Home": Folder((M1,))}, LABELS, tags={"<m1@x>": ["home", "work"]}),
+        Step({MAIN: ONE[MAIN], "Home": Folder((M1,))}, LABELS, tags={"<m1@x>": ["home", "work"]}),
+    ],
+    "vanished-folder-is-swept": [
+        Step({**ONE, "Home": Folder((M1,))}, {**LABELS, "sweep_missing_folders": True}, tags={"<m1@x>": ["home", "work"]}),
+        Step({MAIN: ONE[MAIN], "Home": Folder((M1,))}, {**LABELS, "sweep_missing_folders": True},
+             tags={"<m1@x>": ["home"]}),
+    ],
+    "repair-touches-foreign-records": [
+        Step({MAIN: Folder((M1, M2)), "INBOX": Folder((M1,), epoch=70)}, ROUTING, foreign=[("f1", "DEST", "<m2@x>")],
+             log={"copied": 1, "moved_to_archive": 1}),
+    ],
+    "repair-of-own-records-only": [
+        Step({MAIN: Folder((M1, M2)), "INBOX": Folder((M1,), epoch=70)}, {**ROUTING, "managed_only": True},
+             foreign=[("f1", "DEST", "<m2@x>")], log={"copied": 1, "moved_to_archive": 0}),
+    ],
     "body-gone": [
         Step({MAIN: Folder((M1, msg(2, "<m2@x>", "")))}, log={"copied": 1, "missing_bodies": 1}, total=1),
     ],
@@ -202,4 +226,6 @@ def test_story(results, name, i):
         assert by_key[key]["folder"] == folder
     for key, tags in (step.tags or {}).items():
         assert sorted(by_key[key]["tags"]) == tags
+    for key, flags in (step.flags or {}).items():
+        assert by_key[key]["flags"] == flags
     assert not left

@@ -45,6 +45,7 @@ class Step:
     log: dict[str, int | bool] = field(default_factory=dict)
     dest: dict[str, str] | None = None  # key -> folder
     tags: dict[str, list[str]] | None = None  # key -> tags
+    flags: dict[str, list[str]] | None = None  # key -> flags
     total: int | None = None
 
 
