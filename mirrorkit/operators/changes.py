@@ -107,12 +107,15 @@ def apply_tag_deltas(ops: DataFrame, placements: DataFrame, specs: DataFrame, fa
     Other tags stay as they are, and only real changes are written. Keys found in no bucket are
     consumed silently.
     """
-    deltas = tag_deltas(ops, specs, facts)
-    home = bucket_presence(placements).select(*KEY, first_rank().alias("bucket_rank"))
-    copies = placements.join(home, [*KEY, "bucket_rank"]).select(*KEY, "copy_id", "tags")
+    # Deltas fold to one row per key, so the copies meet a side that is unique on its join columns.
+    deltas = tag_deltas(ops, specs, facts).groupBy(*KEY).agg(F.collect_list(F.struct("tag", "op")).alias("_deltas"))
+    target = deltas.join(bucket_presence(placements), KEY).select(*KEY, first_rank().alias("bucket_rank"), "_deltas")
+    copies = placements.join(target, [*KEY, "bucket_rank"]).select(
+        *KEY, "copy_id", "tags", F.inline("_deltas")
+    )
     has = F.exists(F.coalesce(F.col("tags"), no_strings()), lambda t: F.lower(t) == F.lower(F.col("tag")))
     changed = F.when(F.col("op") == "add", ~has).otherwise(has)
-    return copies.join(deltas, KEY).filter(changed).select(*KEY, "copy_id", "tag", "op")
+    return copies.filter(changed).select(*KEY, "copy_id", "tag", "op")
 
 
 def split_rejected_tags(rows: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -116,7 +116,10 @@ def _repair_phase(attempt: Attempt, rules, source: Source, members: MembersOf, m
     managed = due_rules.select("mirror", "managed_only")
     held = held.join(managed, "mirror").filter(F.col("managed") | ~F.col("managed_only"))
     placements = held.select("mirror", "key", "copy_id", "folder", "tags", "bucket_rank")
-    plan = attempt.scratch("repair", backfill_plan(placements, due_rules, key_facts(members(None), due_rules)))
+    # As a written table the facts are shuffled on their own, which lets adaptive execution split
+    # the copies of a hot key; joined straight from their aggregation they would not.
+    facts = attempt.scratch("facts", key_facts(members(None), due_rules))
+    plan = attempt.scratch("repair", backfill_plan(placements, due_rules, facts))
     stamp = _stamp(attempt, REPAIR_SEQ, "repair")
     return backfill_move_rows(plan).withColumns(stamp), backfill_tag_rows(plan).withColumns(stamp)
 
