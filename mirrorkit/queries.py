@@ -20,7 +20,7 @@ from mirrorkit.plans.ingest import epoch_reset, ingest_plan
 from mirrorkit.plans.membership import sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate_plan
 from mirrorkit.plans.reconcile import Source, reconcile
-from mirrorkit.session import configure, work_dir
+from mirrorkit.session import configure, stored, work_dir
 from mirrorkit.sources import tables
 from mirrorkit.sources.state import StateStore
 from mirrorkit.spec import specs_frame
@@ -181,7 +181,7 @@ def labels_of_key(spark, sf):
 
 @query
 def missing_keywords_(spark, sf):
-    facts = routing.key_facts(fx.members_new(spark, sf), fx.specs(spark))
+    facts = stored(routing.key_facts(fx.members_new(spark, sf), fx.specs(spark)), "facts")
     rows = fx.copies(spark, sf).withColumnRenamed("tags", "present")
     wants = routing.with_placement(rows, facts, fx.specs(spark))
     return wants.select(
@@ -479,7 +479,7 @@ def dest_current(spark, sf):
 
 
 def _repair(spark, sf):
-    facts = routing.key_facts(fx.members_new(spark, sf), fx.specs(spark))
+    facts = stored(routing.key_facts(fx.members_new(spark, sf), fx.specs(spark)), "facts")
     return repair.backfill_plan(_placements(spark, sf), fx.specs(spark), facts)
 
 

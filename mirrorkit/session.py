@@ -58,3 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared folder, so later stages never recompute it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    The optimizer then knows its size. A join of it also gets a shuffle of its own, which adaptive
+    execution can split against a hot key; the direct output of an aggregation it does not split.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

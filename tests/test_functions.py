@@ -85,6 +85,7 @@ def test_mark_in_a_genuine_id(spark):
     assert not spark.range(1).select(is_real_key(F.lit(key)).alias("r")).first()["r"]
 
 
+# Labels, replacement characters and the tags they must give.
 SLUGS = [
     ("Work", "_", "work"), ("[Werbung]", "_", "werbung"), ("Werbung", "_", "werbung"), ("Bücher", "_", "b_cher"),
     ("Wichtige Mails", "_", "wichtige_mails"), ("Work/Projects", "_", "work_projects"), ("$Important", "_", "important"),
