@@ -9,15 +9,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+import mirrorkit
 from mirrorkit.operators.membership import PLACE
 from mirrorkit.schemas import columns
 from mirrorkit.session import STATE_STORE
 
+# The state processor travels with its code, so Python workers need not have the package installed.
+cloudpickle.register_pickle_by_value(mirrorkit)
+
 EVENTS = columns("mirror string, folder string, key string, seq long, op string, uid long")
 FEED = columns("mirror string, folder string, key string, version long, seq long, op string, uid long")
 
