@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mirrorkit.llm.common import table
+from mirrorkit.llm.edits import edit_fingerprints
+from mirrorkit.llm.licenses import LICENSE_SQL, license_scan
+from mirrorkit.llm.mixing import mix_shares
 from mirrorkit.llm.packing import packed_pieces
+from mirrorkit.llm.pii import pii_rows
+from mirrorkit.llm.quality import QUALITY_SQL, quality_rows
+from mirrorkit.llm.simhash import near_duplicates
 from mirrorkit.llm.token_files import token_file_rows
 
 
@@ -17,7 +23,16 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _over("documents", packed_pieces),
+    "op2_license_scan": _over("documents", license_scan),
+    "op5_mixing": _over("documents", mix_shares),
+    "op6_edit_fingerprints": _over("documents", edit_fingerprints),
+    "op7_simhash": _over("documents", near_duplicates),
+    "op8_pii": _over("documents", pii_rows),
     "op9_token_files": _over("documents", token_file_rows),
+    "op10_quality": _over("documents", quality_rows),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": LICENSE_SQL,
+    "op10_quality": QUALITY_SQL,
+}
