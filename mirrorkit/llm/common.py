@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever they were started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))  # the driver serves the file for as long as the application runs
+    _shipped.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows that one Arrow batch hands to a Python task; whole texts can be long."""
+    ship(spark)
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < now <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
