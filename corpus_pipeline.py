@@ -1,23 +1,54 @@
 """Five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's ``docs``.
+again as the next one's ``docs``. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorkit.llm.common import table
+from mirrorkit.llm.common import DOCUMENT_COLUMNS, table
+from mirrorkit.llm.language import language_filter
+from mirrorkit.llm.mixing import mix
 from mirrorkit.llm.packing import packed_pieces
+from mirrorkit.llm.pii import redact
+from mirrorkit.llm.simhash import deduplicated
 from mirrorkit.session import stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known well enough."""
+    return language_filter(docs.select(*DOCUMENT_COLUMNS))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return deduplicated(docs.select(*DOCUMENT_COLUMNS))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact(docs.select(*DOCUMENT_COLUMNS))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time that a document is taken."""
+    return mix(docs.select(*DOCUMENT_COLUMNS))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
     return packed_pieces(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("pii", pii),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 # Tokenizers, fingerprints and the bootstrap are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

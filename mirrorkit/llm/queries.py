@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mirrorkit.llm.common import table
 from mirrorkit.llm.edits import edit_fingerprints
+from mirrorkit.llm.language import language_rows, page_language_rows
 from mirrorkit.llm.licenses import LICENSE_SQL, license_scan
 from mirrorkit.llm.mixing import mix_shares
 from mirrorkit.llm.packing import packed_pieces
@@ -15,6 +16,7 @@ from mirrorkit.llm.pii import pii_rows
 from mirrorkit.llm.quality import QUALITY_SQL, quality_rows
 from mirrorkit.llm.simhash import near_duplicates
 from mirrorkit.llm.token_files import token_file_rows
+from mirrorkit.llm.toxicity import toxicity
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +26,9 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _over("documents", packed_pieces),
     "op2_license_scan": _over("documents", license_scan),
+    "op3_toxicity": lambda spark, sf_dir: toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op4_language_id": language_rows,
+    "llm_page_languages": page_language_rows,
     "op5_mixing": _over("documents", mix_shares),
     "op6_edit_fingerprints": _over("documents", edit_fingerprints),
     "op7_simhash": _over("documents", near_duplicates),
