@@ -17,7 +17,6 @@ from mirrorkit.spec import MirrorSpec, specs_frame
 
 # Ends of earlier passes: what the ledger, the destination and the stored members have seen.
 LEDGER_END, DEST_END, OLD_END, NEW_START, HALF = "2024-01-07", "2024-01-10", "2024-01-21", "2024-01-11", "2024-01-16"
-COPIES_END = "2024-01-26"
 
 # The four combinations of the routing switches.
 SPECS = (
@@ -103,6 +102,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("mirror", "key").agg(F.min("uid").alias("uid"), F.min(seconds).alias("copied_at"))
 
 
+def dated(rows: DataFrame) -> DataFrame:
+    """Records with their date as the time of copying."""
+    return rows.withColumn("copied_at", F.unix_seconds(F.col("internal_date").cast("timestamp")))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as a member of its folder."""
+    return keyed(spark, sf_dir).select("mirror", "folder", "key", "is_synth", "uid")
+
+
 def members_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before(keyed(spark, sf_dir), OLD_END).select("mirror", "folder", "key", "is_synth", "uid")
 
@@ -118,7 +127,7 @@ def dest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destination records: misplaced, refiled outside all buckets, doubled or missing ones among them."""
-    rows = before(keyed(spark, sf_dir), COPIES_END)
+    rows = keyed(spark, sf_dir)
     half = F.when(F.col("internal_date") < day(HALF), 1).otherwise(2)
     least = F.col("least")
     return (
@@ -179,7 +188,7 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of all records in the main folder; some are empty."""
-    return messages(spark, sf_dir).select("mirror", F.lit("All").alias("folder"), "uid", body().alias("raw"))
+    return messages(spark, sf_dir).select("mirror", F.lit("All").alias("folder"), "epoch", "uid", body().alias("raw"))
 
 
 def body() -> Column:
@@ -194,6 +203,12 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).withColumns({"folder": F.lit("All"), "raw": text}).drop("value")
 
 
+def beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records in their other folders, under uids and with bodies that must not be taken for those of the main one."""
+    rows = messages(spark, sf_dir).drop("value")
+    return rows.withColumns({"uid": F.col("uid") % 7 + 1, "raw": F.lit("other")})
+
+
 def daily_files(rows: DataFrame, path: str) -> str:
     """One Parquet file and more per day of ``internal_date``, as a stream would find them."""
     rows.withColumn("day", F.to_date("internal_date")).write.partitionBy("day").parquet(path)

@@ -22,6 +22,14 @@ def first_per_key(keyed: DataFrame) -> DataFrame:
     )
 
 
+def first_record_per_key(records: DataFrame) -> DataFrame:
+    """The same with the record itself (``folder, epoch, uid``): uids alone do not name one."""
+    return records.groupBy(*KEY).agg(
+        F.min(F.struct("uid", "epoch", "folder")).alias("r"), F.count(F.lit(1)).alias("n_records"),
+        F.max("is_synth").alias("is_synth"),
+    ).select(*KEY, "r.folder", "r.epoch", "r.uid", "n_records", "is_synth")
+
+
 def among(known: DataFrame, asked: DataFrame | None) -> DataFrame:
     """``known`` cut to the keys ``asked`` for (all of it when None).
 

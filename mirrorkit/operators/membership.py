@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mirrorkit.operators.dedup import KEY, among
 from mirrorkit.operators.sequence import number_rows
+from mirrorkit.session import stored
 
 PLACE = ["mirror", "folder", "key"]
 CHANGE_COLUMNS = ("mirror", "folder", "key", "is_synth", "uid", "op")
@@ -85,8 +86,9 @@ def with_first_scan(changes: DataFrame, members: DataFrame) -> DataFrame:
 
     Only a full scan (first scan or new epoch) asks this. Inside one epoch every change counts.
     """
-    stored = members.select("mirror", "folder").distinct().withColumn("_stored", F.lit(True))
-    return changes.join(stored, ["mirror", "folder"], "left").withColumn(
+    # Written first: one row per folder, broadcast by its size, so changes are not shuffled by folder.
+    known = stored(members.select("mirror", "folder").distinct().withColumn("_stored", F.lit(True)), "first-scan")
+    return changes.join(known, ["mirror", "folder"], "left").withColumn(
         "first_scan", F.col("_stored").isNull()
     ).drop("_stored")
 
@@ -98,7 +100,7 @@ def gate_ops(
 
     ``asked`` are the changes once written: the ledger is then cut to their keys before it is shuffled.
     """
-    kinds = watch.filter(F.col("kind").isNotNull()).select("mirror", "folder", "kind")
+    kinds = stored(watch.filter(F.col("kind").isNotNull()).select("mirror", "folder", "kind"), "kinds")
     caused = changes.filter(
         F.col("op").isin("add", "remove") & ~F.col("is_synth") & ~F.col("first_scan")
     ).join(kinds, ["mirror", "folder"])
@@ -120,8 +122,8 @@ def net_member_change(changes: DataFrame) -> DataFrame:
 
 def members_next(presence: DataFrame, changes: DataFrame) -> DataFrame:
     """Presence after a batch of changes: upserts replace the uid, removals drop the row."""
-    stored = presence.select(*PLACE, F.lit(-1).cast("long").alias("seq"), F.lit("add").alias("op"), "uid")
-    both = stored.unionByName(changes.select(*PLACE, F.col("seq").cast("long").alias("seq"), "op", "uid"))
+    held = presence.select(*PLACE, F.lit(-1).cast("long").alias("seq"), F.lit("add").alias("op"), "uid")
+    both = held.unionByName(changes.select(*PLACE, F.col("seq").cast("long").alias("seq"), "op", "uid"))
     return net_member_change(both).filter(F.col("op") == "add").drop("op")
 
 

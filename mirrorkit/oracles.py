@@ -85,7 +85,7 @@ from keyed where internal_date < '{fx.LEDGER_END}' group by mirror, key""",
   case least % 4 when 0 then 'Mirror' when 1 then 'Sent' when 2 then 'Archive' else 'Custom' end as folder,
   case when least % 2 = 0 then ['Click', 'mytag'] else cast([] as varchar[]) end as tags
 from (select mirror, key, internal_date < '{fx.HALF}' as half, min(uid) as least, bool_or(is_synth) as is_synth
-      from keyed where internal_date < '{fx.COPIES_END}' group by mirror, key, internal_date < '{fx.HALF}')""",
+      from keyed group by mirror, key, internal_date < '{fx.HALF}')""",
     "folders": """select mirror, folder, list_filter(['\\HasNoChildren', role], lambda x: x is not null) as attrs, min(uid) as list_pos
 from (select mirror, folder, uid, case when folder = 'purchase' then '\\Sent' end as role from msgs
       union all
@@ -98,16 +98,22 @@ group by mirror, folder, role""",
     "queue": """select mirror, cast(dayofmonth(internal_date) as bigint) as batch_id, seq,
   case when folder in ('view', 'purchase') then 'move' else 'keyword' end as kind, key, folder, op, value
 from change_log""",
-    "bodies": """select mirror, uid, case when value < 2 then ''
+    "bodies": """select mirror, epoch, uid, case when value < 2 then ''
   else concat('From: ', sender, chr(13), chr(10), 'Subject: ', subject, chr(13), chr(10), chr(13), chr(10), message_id)
   end as raw from msgs""",
     "marks": f"""select mirror, folder, cast(1 as bigint) as epoch, max(uid) as last_uid from msgs
 where internal_date < '{fx.HALF}' group by mirror, folder""",
     "firsts": """select mirror, key, min(uid) as uid, count(*) as n_records, bool_or(is_synth) as is_synth
 from keyed group by mirror, key""",
+    "stored_even": """select mirror, folder, cast(1 as bigint) as epoch, max(uid) as last_uid from msgs where uid % 2 = 0
+group by mirror, folder""",
+    "scanned_odd": """select mirror, case when mirror = 'm3' then concat('[Mail]/', folder) else folder end as folder,
+  max(epoch) as epoch, max(uid) as last_uid from msgs where uid % 2 = 1 group by 1, 2""",
     # Memberships as they stand, with what they mean under the mirror's rules.
     "facts": _facts("members_new"),
     "placed": _placed("facts"),
+    "facts_all": _facts("keyed"),
+    "placed_all": _placed("facts_all"),
     "buckets": """select mirror, dest_folder as folder, 1 as bucket_rank from specs
 union all select mirror, sent_folder, 2 from specs where sent_on
 union all select mirror, archive_folder, 3 from specs where archive_on""",
@@ -207,9 +213,38 @@ where k.epoch is null or k.epoch <> m.epoch or m.uid > k.last_uid""",
     "parse_headers": f"""select conv_id, turn, concat('<', conv_id, '.', turn, '@c>') as message_id,
   concat(role, '@example.com') as sender, concat('turn ', turn) as subject, cast(strlen({_RAW}) as bigint) as size
 from conversations""",
+    "stream_multi_folder": """select mirror, key, uid, sender, raw from (
+  select k.*, row_number() over (partition by k.mirror, k.key order by uid) as rn,
+    concat('From: ', sender, chr(13), chr(10), 'Subject: ', subject, chr(13), chr(10), chr(13), chr(10), message_id) as raw
+  from keyed k) where rn = 1""",
+    "reconcile_missing_bodies": """select mirror, key, uid, raw from (
+  select k.mirror, k.key, k.uid, row_number() over (partition by k.mirror, k.key order by k.value < 2, k.uid) as rn,
+    concat('From: ', sender, chr(13), chr(10), 'Subject: ', subject, chr(13), chr(10), chr(13), chr(10), message_id) as raw
+  from keyed k) where rn = 1""",
+    "reconcile_windows": """select mirror, key, any_value(raw) as raw from (
+  select mirror, key, concat('From: ', sender, chr(13), chr(10), 'Subject: ', subject, chr(13), chr(10), chr(13), chr(10), message_id) as raw
+  from (select k.*, row_number() over (partition by k.mirror, k.key order by uid) as rn from keyed k where value >= 2) where rn = 1)
+group by mirror, key""",
+    "seed_modes": """select mirror, key, source from (
+  select mirror, key, 'known' as source, 0 as rank from ledger where mirror <> 'm0'
+  union all select mirror, key, 'seed', 1 from dest_keys where mirror in ('m0', 'm2')
+  union all select mirror, key, 'guard', 2 from dest_keys d join (select mirror, key, bool_or(is_synth) as synth from keyed group by all)
+    using (mirror, key) where mirror = 'm3' and not synth
+  union all select distinct mirror, key, 'copy', 3 from keyed)
+qualify row_number() over (partition by mirror, key order by rank) = 1""",
+    "change_summary": """select s.mirror, coalesce(a.moved_to_archive, 0) as moved_to_archive,
+  coalesce(a.moved_to_sent, 0) as moved_to_sent, coalesce(a.moved_to_inbox, 0) as moved_to_inbox,
+  coalesce(t.tags_updated, 0) as tags_updated
+from specs s left join (
+  select l.mirror, count(*) filter (s.archive_on and l.wanted = s.archive_folder) as moved_to_archive,
+    count(*) filter (not (s.archive_on and l.wanted = s.archive_folder) and s.sent_on and l.wanted = s.sent_folder) as moved_to_sent,
+    count(*) filter (not (s.archive_on and l.wanted = s.archive_folder) and not (s.sent_on and l.wanted = s.sent_folder)) as moved_to_inbox
+  from located l join specs s using (mirror) join placements p on p.mirror = l.mirror and p.key = l.key and p.folder = l.found
+  where s.archive_on or s.sent_on group by l.mirror) a using (mirror)
+left join (select mirror, count(distinct copy_id) as tags_updated from tag_rows group by mirror) t using (mirror)""",
     "attach_bodies": """select f.mirror, f.uid, f.key, b.raw from firsts f join bodies b using (mirror, uid)
 where b.raw <> '' and not exists (select 1 from ledger l where l.mirror = f.mirror and l.key = f.key)""",
-    "missing_bodies": """select f.mirror, 'All' as folder, f.uid, f.key
+    "missing_bodies": """select f.mirror, 'All' as folder, b.epoch, f.uid, f.key
 from firsts f join bodies b using (mirror, uid) where b.raw = ''""",
     "resolve_folders": """select s.mirror, r.role, case when r.role = 'view' then 'view'
   else coalesce((select min_by(f.folder, (f.list_pos, f.folder)) from folders f
@@ -234,7 +269,7 @@ from (select doc_id, {_slug('text', "'-'")} as slug from documents)""",
   lambda x: concat('$label:', x)), ',') as tags
 from (select p_partkey, {_slug(_LABEL, "'_'")} as a, {_slug('p_type', "'_'")} as t from part)""",
     "label_folders": "select mirror, folder, array_to_string(attrs, ',') as attrs, list_pos from label_list",
-    "labels_of_key": """select mirror, key, array_to_string(labels, ',') as labels from facts where len(labels) > 0""",
+    "labels_of_key": """select mirror, key, array_to_string(labels, ',') as labels from facts_all where len(labels) > 0""",
     "missing_keywords": """select c.mirror, c.copy_id, array_to_string(list_filter(p.tags,
   lambda x: not list_contains(list_transform(c.tags, lambda y: lower(y)), lower(x))), ',') as missing
 from copies c join placed p using (mirror, key)""",
@@ -255,7 +290,7 @@ where not exists (select 1 from ledger l where l.mirror = f.mirror and l.key = f
     "dest_guard": """select mirror, key, uid, status = 'in_dest' as in_dest from classified where status <> 'in_ledger'""",
     "route_bucket": "select mirror, key, wanted from placed",
     "folders_of_key": """select mirror, key, array_to_string(list_sort(list(distinct folder)), ',') as folders
-from members_new group by mirror, key""",
+from keyed group by mirror, key""",
     "membership_diff_uid": "select mirror, folder, key, uid, op from by_uid",
     "membership_diff_key": "select mirror, folder, key, uid, op from by_key",
     "membership_removed": """select mirror, folder, uid, key from members_old
@@ -264,14 +299,13 @@ where (mirror, folder, uid) not in (select (mirror, folder, uid) from members_ne
     "gate_ops": "select mirror, kind, key, folder, op, uid from ops",
     "locate_copies": """select mirror, key, wanted, coalesce(found, '') as found,
   case when found is null then 'not_found' else 'found' end as status from located""",
-    "ledger_count": "select mirror, count(*) as n_keys from ledger group by mirror",
+    "ledger_count": "select mirror, count(distinct key) as n_keys from keyed group by mirror",
     "ingest_plan": """select mirror, key, uid, n_records, status, wanted, array_to_string(tags, ',') as tags from plan""",
     "run_summary": """select mirror, cast(sum(n_records) as bigint) as candidates,
   count(*) filter (status = 'copy') as copied,
   cast(sum(n_records) - count(*) filter (status = 'copy') as bigint) as skipped_dup,
   count(*) filter (status = 'copy' and len(tags) > 0) as tags_set from plan group by mirror""",
-    "tags_per_key": """select mirror, key, array_to_string(tags, ',') as tags from placed
-where (mirror, key) in (select (mirror, key) from members_new)""",
+    "tags_per_key": "select mirror, key, array_to_string(tags, ',') as tags from placed_all",
     "seed_keys": """select mirror, key, count(*) as n_records, bool_or(is_synth) as is_synth from placements p
 where not exists (select 1 from ledger l where l.mirror = p.mirror and l.key = p.key) group by mirror, key""",
     "seed_counts": """select mirror, count(*) as n_scanned, count(distinct key) as n_keys from placements group by mirror""",
@@ -303,12 +337,10 @@ where rn = 1 and not exists (select 1 from ledger l where l.mirror = k.mirror an
     select mirror, folder, key, uid, seq, op from change_log where internal_date >= '{fx.NEW_START}'))
 where rn = 1 and op = 'add'""",
     "queue_remaining": "select mirror, batch_id, seq, kind, key, folder, op from queue where value < 10",
-    "folder_state_next": f"""select mirror, folder, epoch, last_uid from (
-  select mirror, folder, max(epoch) as epoch, max(uid) as last_uid from msgs
-  where internal_date >= '{fx.COPIES_END}' group by mirror, folder)
+    "folder_state_next": """select mirror, folder, epoch, last_uid from scanned_odd
 union all
-select mirror, folder, epoch, last_uid from marks k where not exists (
-  select 1 from msgs m where m.mirror = k.mirror and m.folder = k.folder and m.internal_date >= '{fx.COPIES_END}')""",
+select mirror, folder, epoch, last_uid from stored_even s
+where not exists (select 1 from scanned_odd n where n.mirror = s.mirror and n.folder = s.folder)""",
     "upgrade_labels": """select distinct mirror, folder, key, cast(0 as bigint) as uid from keyed""",
     "apply_moves": """select l.mirror, l.key, p.copy_id, l.found as from_folder, l.wanted as folder
 from located l join specs s using (mirror)
@@ -317,11 +349,10 @@ where s.archive_on or s.sent_on""",
     "apply_tag_deltas": "select mirror, key, copy_id, tag, op from tag_rows",
     "tag_rejects": """select mirror, key, 'kept' as outcome, array_to_string(list_filter(tags,
     lambda x: allowed_tags is null or regexp_matches(x, allowed_tags)), ',') as tags
-from placed join specs using (mirror) where (mirror, key) in (select (mirror, key) from members_new)
+from placed_all join specs using (mirror)
 union all
 select mirror, key, 'refused', tag from (
-  select p.mirror, p.key, unnest(p.tags) as tag, s.allowed_tags from placed p join specs s using (mirror)
-  where (mirror, key) in (select (mirror, key) from members_new))
+  select p.mirror, p.key, unnest(p.tags) as tag, s.allowed_tags from placed_all p join specs s using (mirror))
 where allowed_tags is not null and not regexp_matches(tag, allowed_tags)""",
     "dest_current": """select c.mirror, c.copy_id, c.key, coalesce(mv.folder, c.folder) as folder,
   coalesce(t.tags, '') as tags
@@ -364,19 +395,22 @@ from (select d.*, w.kind from redo d join watch w using (mirror, folder)
       where w.kind is not null and not d.is_synth and (d.mirror, d.key) in (select (mirror, key) from copied))""",
     # First pass: older records by older memberships. Second: the rest by the newer ones, and real
     # keys copied before follow their memberships, tags only where changes are propagated.
-    "reconcile_pass": f"""select f.mirror, f.key, case when f.early and f.is_synth then o.wanted else n.wanted end as folder,
+    "reconcile_pass": f"""select f.mirror, f.key, f.uid, f.sender, f.size, f.raw, case when f.early and f.is_synth then o.wanted else n.wanted end as folder,
   array_to_string(list_sort(list_filter(
     case when f.early and (f.is_synth or not s.propagate) then o.tags else n.tags end,
     lambda x: s.allowed_tags is null or regexp_matches(x, s.allowed_tags))), ',') as tags,
   case when s.carry_seen and f.value >= 10 then '\\Seen' else '' end as flags
-from (select k.mirror, k.key, k.is_synth, arg_min(k.value, k.uid) as value,
+from (select k.mirror, k.key, k.is_synth, min(k.uid) as uid, arg_min(k.value, k.uid) as value,
+        arg_min(k.sender, k.uid) as sender, arg_min(k.size, k.uid) as size, arg_min(concat('From: ', sender, chr(13), chr(10),
+          'Subject: ', subject, chr(13), chr(10), chr(13), chr(10), message_id), k.uid) as raw,
         bool_or(k.internal_date < '{fx.OLD_END}') as early
       from keyed k group by k.mirror, k.key, k.is_synth) f
 join specs s using (mirror) join placed_old o using (mirror, key) join placed_new n using (mirror, key)""",
     "stream_equals_batch": "select mirror, key, is_synth, 'copy' as source from firsts",
     "stream_dedup": """select mirror, key, case status when 'in_dest' then 'guard' else 'copy' end as source
 from classified where status <> 'in_ledger'""",
-    "stream_members": """select mirror, folder, key from change_log group by all having arg_max(op, seq) = 'add'""",
+    "stream_members": """select mirror, folder, key, arg_max(uid, seq) as uid from change_log group by mirror, folder, key
+having arg_max(op, seq) = 'add'""",
     "stream_members_log": """select mirror, folder, key, max(uid) as uid from change_log group by mirror, folder, key
 having arg_max(op, seq) = 'add'""",
     "propagate_plan": """select p.mirror, p.copy_id, 'move' as change, p.folder as from_folder, h.wanted as target

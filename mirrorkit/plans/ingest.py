@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorkit.operators.routing import fact_columns, fact_rows, place
+from mirrorkit.sources.tables import within_spans
 
 
 def plan_candidates(
@@ -21,7 +22,10 @@ def plan_candidates(
     shuffle while those are small enough to broadcast.
     """
     no = F.lit(None).cast("boolean")
+    # With them, candidates name a record of their own; otherwise the caller knows the folder.
+    place_of = [c for c in ("folder", "epoch") if c in candidates.columns]
     blank = {
+        **{c: F.lit(None).cast(candidates.schema[c].dataType) for c in place_of},
         "uid": F.lit(None).cast("long"), "n_records": F.lit(None).cast("long"), "is_synth": no, "in_ledger": no,
         "in_dest": no, "in_inbox": no, "in_sent": no, "label": F.lit(None).cast("string"),
     }
@@ -32,20 +36,20 @@ def plan_candidates(
 
     yes = F.lit(True)
     mixed = (
-        side(candidates.select("mirror", "key", "uid", "n_records", "is_synth"))
+        side(candidates.select("mirror", "key", *place_of, "uid", "n_records", "is_synth"))
         .unionByName(side(ledger.select("mirror", "key"), in_ledger=yes))
         .unionByName(side(dest_keys.select("mirror", "key"), in_dest=yes))
         .unionByName(side(fact_rows(members, specs)))
     )
     known = mixed.groupBy("mirror", "key").agg(
-        F.min("uid").alias("uid"), F.sum("n_records").alias("n_records"), F.max("is_synth").alias("is_synth"),
+        *[F.max(c).alias(c) for c in place_of], F.min("uid").alias("uid"), F.sum("n_records").alias("n_records"), F.max("is_synth").alias("is_synth"),
         F.max("in_ledger").alias("in_ledger"), F.max("in_dest").alias("in_dest"), *fact_columns(),
     ).filter(F.col("n_records").isNotNull())
     guard = specs.select("mirror", "dest_guard")
     guarded = F.col("in_dest") & ~F.col("is_synth") & F.col("dest_guard")
     status = F.when(F.col("in_ledger"), "in_ledger").when(guarded, "in_dest").otherwise("copy")
     return place(known.join(guard, "mirror").withColumn("status", status), specs).select(
-        "mirror", "key", "uid", "n_records", "is_synth", "status", "wanted", "tags"
+        "mirror", "key", *place_of, "uid", "n_records", "is_synth", "status", "wanted", "tags"
     )
 
 
@@ -63,7 +67,7 @@ def ingest_plan(
 
 def source_candidates(
     messages: DataFrame, specs: DataFrame, status: DataFrame, marks: DataFrame,
-    full: bool = False, max_uids: int | None = None,
+    full: bool = False, max_uids: int | Column | None = None,
 ) -> DataFrame:
     """Records of every mirror's source folder above its mark.
 
@@ -71,20 +75,22 @@ def source_candidates(
     ``full`` ignores the mark and so finds records that appeared late below it. ``max_uids`` bounds
     the uid range one batch takes per mirror, which makes a long first run resumable.
     """
-    spans = source_spans(specs, status, marks, full, max_uids)
-    return (
-        messages.join(spans.select("mirror", "folder", "epoch", "_from", "_to"), ["mirror", "folder", "epoch"])
-        .filter((F.col("uid") > F.col("_from")) & (F.col("uid") <= F.col("_to")))
-        .drop("_from", "_to")
-    )
+    return within_spans(messages, source_spans(specs, status, marks, full, max_uids))
 
 
 def source_spans(
-    specs: DataFrame, status: DataFrame, marks: DataFrame, full: bool = False, max_uids: int | None = None
+    specs: DataFrame, status: DataFrame, marks: DataFrame, full: bool = False, max_uids: int | Column | None = None
 ) -> DataFrame:
-    """Per mirror: current epoch, whether it changed, and the uid range ``(_from, _to]`` to scan."""
+    """Per mirror: current epoch, whether it changed, and the uid range ``(_from, _to]`` to scan.
+
+    ``max_uids`` may be a column of the settings, such as ``uid_batch``. A full scan has no mark to
+    resume from, so the two do not go together.
+    """
+    if full and max_uids is not None:
+        raise ValueError("a full scan cannot be cut into windows: give full or max_uids, not both")
     stored = marks.select("mirror", F.col("epoch").alias("_stored"), F.col("last_uid").alias("_last"))
-    folder = specs.select("mirror", F.col("source_folder").alias("folder"))
+    most = max_uids if isinstance(max_uids, Column) else F.lit(max_uids)
+    folder = specs.select("mirror", F.col("source_folder").alias("folder"), most.cast("long").alias("_most"))
     known = F.coalesce(F.col("_stored"), F.lit(0))
     same = known == F.col("epoch")
     spans = (
@@ -94,8 +100,8 @@ def source_spans(
         .withColumn("_from", F.lit(0).cast("long") if full else F.col("_mark"))
     )
     top = F.col("uid_next") - 1
-    if max_uids is not None and not full:
-        top = F.least(top, F.col("_from") + max_uids)
+    if max_uids is not None:
+        top = F.least(top, F.col("_from") + F.col("_most"))
     return spans.withColumn("_to", F.greatest(top, F.col("_mark")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from mirrorkit.operators.membership import (
     vanished,
     with_first_scan,
 )
+from mirrorkit.session import stored
 from mirrorkit.spec import MirrorSpec
 
 FOLDER = ["mirror", "folder"]
@@ -40,13 +42,13 @@ def watch_state(watch: DataFrame, status: DataFrame, folder_state: DataFrame) ->
     A folder without any record has no status; its stored epoch then still holds. Epoch 0 stands
     for a folder that was scanned while empty: whatever appears in it later is an addition.
     """
-    stored = folder_state.select(*FOLDER, F.col("epoch").alias("_stored"), F.col("last_uid").alias("_last"))
+    before = folder_state.select(*FOLDER, F.col("epoch").alias("_stored"), F.col("last_uid").alias("_last"))
     last = F.coalesce(F.col("_last"), F.lit(0).cast("long"))
     now = F.coalesce("epoch", "_stored", F.lit(0).cast("long"))
     known = F.col("_stored") != 0
     return (
         watch.select(*FOLDER).distinct()
-        .join(status.select(*FOLDER, "epoch", "uid_next"), FOLDER, "left").join(stored, FOLDER, "left")
+        .join(status.select(*FOLDER, "epoch", "uid_next"), FOLDER, "left").join(before, FOLDER, "left")
         .select(
             *FOLDER,
             now.alias("epoch"),
@@ -60,18 +62,26 @@ def watch_state(watch: DataFrame, status: DataFrame, folder_state: DataFrame) ->
 def sync_membership(
     messages: DataFrame, members: DataFrame, folders: DataFrame, watch: DataFrame, specs: DataFrame,
     spec_list: list[MirrorSpec] | tuple[MirrorSpec, ...] = (),
+    write: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> MembershipChange:
     """Diff by uid where the epoch is the stored one, by key where it is new or first seen.
 
-    ``folders`` is the result of ``watch_state``. Within an epoch only records above the mark are
-    read with their headers; of all others the uid is enough.
+    ``folders`` is the result of ``watch_state``. Messages are scanned once: every record gives its
+    uid, and a key where one is needed (above the mark, or in a folder scanned anew). That and the
+    folded members are written (by ``write``), as every result below is made from them.
     """
+    write = write or (lambda name, rows: stored(rows, name))
+    folders = write("watched", folders)
     here = messages.join(folders, [*FOLDER, "epoch"])
+    needed = F.col("rescan") | (F.col("uid") > F.col("last_uid"))
+    keyed = with_key(here, spec_list)
+    seen = write("seen", keyed.select(*FOLDER, "uid", "rescan", *[F.when(needed, F.col(c)).alias(c) for c in ("key", "is_synth")]))
     same, again = folders.filter(~F.col("rescan")).select(*FOLDER), folders.filter("rescan").select(*FOLDER)
 
-    snapshot = here.filter(~F.col("rescan")).select(*FOLDER, "uid")
-    fresh = with_key(here.filter(~F.col("rescan") & (F.col("uid") > F.col("last_uid"))), spec_list).select(*ROW)
-    current = with_key(here.filter("rescan"), spec_list).select(*ROW)
+    snapshot = seen.filter(~F.col("rescan")).select(*FOLDER, "uid")
+    fresh = seen.filter(~F.col("rescan") & F.col("key").isNotNull()).select(*ROW)
+    current = seen.filter("rescan").select(*ROW)
+    members = write("members", members.select(*ROW))
     stored_same = members.join(same, FOLDER, "left_semi")
     stored_again = members.join(again, FOLDER, "left_semi")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from mirrorkit.functions.keys import is_real_key, with_key
 from mirrorkit.functions.settings import rule_fingerprint
 from mirrorkit.functions.tags import safe_flags, tag_allowed
-from mirrorkit.operators.dedup import among, first_per_key, seed_keys
+from mirrorkit.operators.dedup import among, first_record_per_key, seed_keys
 from mirrorkit.operators.membership import folder_state_next, gate_ops, sequence_ops, upgrade_labels
 from mirrorkit.operators.repair import (
     backfill_move_rows,
@@ -21,12 +22,13 @@ from mirrorkit.operators.repair import (
 )
 from mirrorkit.operators.report import move_counts, run_summary
 from mirrorkit.operators.routing import key_facts, resolve_specs, watch_list
-from mirrorkit.plans.ingest import plan_candidates, source_candidates, source_spans
+from mirrorkit.plans.ingest import plan_candidates, source_spans
 from mirrorkit.plans.membership import sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate
 from mirrorkit.schemas import STATE_TABLES
-from mirrorkit.sources.state import Attempt, StateStore
-from mirrorkit.sources.tables import attach_bodies, current_epoch, scan_buckets
+from mirrorkit.session import stored
+from mirrorkit.sources.state import CURRENT_TABLES, Attempt, StateStore
+from mirrorkit.sources.tables import RECORD, attach_bodies, current_epoch, scan_buckets, with_body, within_spans
 from mirrorkit.spec import MirrorSpec, specs_frame
 
 # Order of log rows within one batch: repair first, queued operations on top of it.
@@ -47,51 +49,112 @@ class Source:
 
 def reconcile(
     spark: SparkSession, specs: Iterable[MirrorSpec], source: Source, state: StateStore, now: int,
-    batch_id: int | None = None, full: bool = False, apply_ops: bool = True, max_uids: int | None = None,
-    members_snapshot: bool = False,
+    batch_id: int | None = None, full: bool = False, apply_ops: bool = True, max_uids: int | Column | None = None,
+    members_snapshot: bool = False, compact_every: int | None = None, clock: Callable[[], float] = time.time,
 ) -> DataFrame:
     """Run one pass and return its ``run_log`` rows.
 
     Running it again is free of effect: a committed ``batch_id`` is not repeated, and a pass without
     changes writes empty batches. ``apply_ops=False`` leaves operations queued. ``members_snapshot``
-    rewrites the member log as one snapshot, which bounds what later passes fold.
+    rewrites the member log as one snapshot, which bounds what later passes fold; ``compact_every``
+    folds all logs and clears what is left of old batches after so many of them. Destination keys
+    are taken over first, by each mirror's ``seed`` mode. Each phase leaves a row in ``phase_log``.
     """
     if batch_id is not None and state.is_committed(batch_id):
         return state.read_batch("run_log", batch_id)
+    if full and max_uids is not None:
+        raise ValueError("a full scan cannot be cut into windows: give full or max_uids, not both")
     spec_list = list(specs)
     attempt = state.begin(batch_id)
+    phases = _Phases(clock)
     rules = attempt.scratch("specs", resolve_specs(specs_frame(spark, spec_list), source.folders))
     marks = state.read_batch("mirror_state", attempt.last)
     status = attempt.scratch("status", source.status if source.status is not None else current_epoch(source.messages))
+    seeds = _seed_phase(attempt, rules, source)
+    phases.done("seed", seeds)
 
-    members = _members_phase(attempt, spec_list, rules, source, status, members_snapshot)
+    members = _members_phase(attempt, spec_list, rules, source, status, seeds, members_snapshot)
+    phases.done("members", attempt.written("member_log"))
     repair = _repair_phase(attempt, rules, source, members, marks)
-    spans = source_spans(rules, status, marks, full, max_uids)
-    plan = _copy_phase(attempt, spec_list, rules, source, members, status, marks, now, full, max_uids)
+    phases.done("repair")
+    spans = attempt.scratch("spans", source_spans(rules, status, marks, full, max_uids))
+    plan = _copy_phase(attempt, spec_list, rules, source, members, status, spans, seeds, now)
+    phases.done("copy", attempt.written("dest_messages"))
     moves, tags, applied = _propagate_phase(attempt, rules, source, members, repair, apply_ops)
+    phases.done("propagate", applied)
 
     _write_mirror_state(attempt, rules, spans, marks, now)
-    log = attempt.write("run_log", _run_log(attempt, rules, spans, plan, moves, tags, applied))
+    log = attempt.write("run_log", pass_log(attempt, rules, spans, plan, moves, tags, applied))
+    phases.done("log")
+    attempt.write("phase_log", phases.rows(spark))
     attempt.commit(members_base=attempt.batch_id if members_snapshot else None)
+    if compact_every is not None and attempt.batch_id - attempt.logs >= compact_every:
+        state.compact()
+        state.vacuum()
     return log
 
 
+class _Phases:
+    """Seconds and rows of each phase of a pass, a handful of rows in all."""
+
+    def __init__(self, clock: Callable[[], float]):
+        self._clock, self._since, self._rows = clock, clock(), []
+
+    def done(self, phase: str, rows: DataFrame | None = None) -> None:
+        now = self._clock()
+        self._rows.append((phase, int(now - self._since), 0 if rows is None else rows.count()))
+        self._since = now
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        listed = ", ".join(f"('{phase}', {seconds}L, {n}L)" for phase, seconds, n in self._rows)
+        return spark.sql(f"select * from values {listed} as t(phase, seconds, n_rows)")
+
+
+def _seed_phase(attempt: Attempt, rules: DataFrame, source: Source) -> DataFrame:
+    """Ledger rows for destination keys of other origin, for mirrors whose ``seed`` mode asks for it."""
+    state = attempt.store
+    empty = attempt.written("ledger").drop("batch_id")
+    if source.foreign is None:
+        return empty
+    ledger = state.read("ledger")
+    due = attempt.scratch("seed_due", _seeding(rules, ledger).select("mirror"))
+    if due.isEmpty():
+        return empty
+    held = scan_buckets(with_dest_key(source.foreign), rules.join(due, "mirror", "left_semi"))
+    return attempt.scratch("seeds", _seed_rows(held, ledger))
+
+
+def _seeding(rules: DataFrame, ledger: DataFrame) -> DataFrame:
+    filled = ledger.select("mirror").distinct()
+    return rules.filter(F.col("seed") == "always").unionByName(
+        rules.filter(F.col("seed") == "empty").join(filled, "mirror", "left_anti")
+    )
+
+
+def _seed_rows(held: DataFrame, ledger: DataFrame) -> DataFrame:
+    return seed_keys(held.select("mirror", "key", "is_synth"), ledger).select(
+        "mirror", "key", "is_synth", F.lit(0).cast("long").alias("uid"),
+        F.lit(0).cast("long").alias("copied_at"), F.lit("seed").alias("source"),
+    )
+
+
 # Members as of this pass, all of them or those of some keys only.
 MembersOf = Callable[[DataFrame | None], DataFrame]
 
 
-def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, snapshot: bool) -> MembersOf:
+def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, seeds, snapshot: bool) -> MembersOf:
     """Member rows, scan state and new operations. Operations are gated by the ledger as it was
     before this pass copies anything, so new records cause none."""
     state = attempt.store
     watch = attempt.scratch("watch", watch_list(source.folders, rules))
     before = state.read_batch("folder_state", attempt.last)
     folders = attempt.scratch("folders", watch_state(watch, status, before))
-    stored = state.members()
-    change = sync_membership(source.messages, stored, folders, watch, rules, spec_list)
+    change = sync_membership(source.messages, state.members(), folders, watch, rules, spec_list, attempt.scratch)
     attempt.write("folder_state", folder_state_next(before, change.scanned))
     changes = attempt.scratch("changes", change.changes)
-    ops = attempt.scratch("ops", gate_ops(changes, change.kinds, state.read("ledger"), asked=changes))
+    kinds = attempt.scratch("kinds", change.kinds)
+    known = state.read("ledger").select("mirror", "key").unionByName(seeds.select("mirror", "key"))
+    ops = attempt.scratch("ops", gate_ops(changes, kinds, known, asked=changes))
     if not ops.isEmpty():
         attempt.write("pending_ops", sequence_ops(ops))
     if not snapshot:
@@ -131,45 +194,59 @@ def _stamp(attempt: Attempt, seq: int, reason: str) -> dict[str, Column]:
 
 
 def _copy_phase(
-    attempt: Attempt, spec_list, rules, source: Source, members: MembersOf, status, marks, now: int, full: bool, max_uids
+    attempt: Attempt, spec_list, rules, source: Source, members: MembersOf, status, spans, seeds, now: int
 ) -> DataFrame:
-    """Copy the records of the source folders that are above their marks."""
-    candidates = source_candidates(source.messages, rules, status, marks, full, max_uids)
-    newest = source.messages.join(status.select("mirror", "folder", "epoch"), ["mirror", "folder", "epoch"])
-    return copy_records(
-        attempt, rules, with_key(candidates, spec_list), newest, source.bodies, members, source.foreign, now
-    )
+    """Copy the records of the source folders that are above their marks, and those an earlier pass
+    found without a body."""
+    candidates = within_spans(source.messages, spans)
+    waiting = attempt.store.read_batch("missing_bodies", attempt.last).select(*RECORD)
+    if not waiting.isEmpty():
+        inside = (F.col("uid") > F.col("_from")) & (F.col("uid") <= F.col("_to"))
+        late = attempt.scratch("waiting", waiting.join(
+            spans.select("mirror", "folder", "epoch", "_from", "_to"), ["mirror", "folder", "epoch"]
+        ).filter(~inside).select(*RECORD))
+        retry = source.messages.join(late, RECORD, "left_semi")
+        candidates = candidates.unionByName(retry.select(*candidates.columns))
+    # Read once: what a copy is described by goes along with its key.
+    keyed = attempt.scratch("records", with_key(candidates, spec_list).select(*RECORD, "key", "is_synth", *DESCRIBED))
+    return copy_records(attempt, rules, keyed, source.bodies, members, source.foreign, now, seeds)
+
+
+DESCRIBED = ("sender", "subject", "internal_date", "size", "flags")
 
 
 def copy_records(
-    attempt: Attempt, rules: DataFrame, keyed: DataFrame, messages: DataFrame, bodies: DataFrame,
-    members: MembersOf, foreign: DataFrame | None, now: int,
+    attempt: Attempt, rules: DataFrame, keyed: DataFrame, bodies: DataFrame, members: MembersOf,
+    foreign: DataFrame | None, now: int, seeds: DataFrame | None = None, waiting: DataFrame | None = None,
 ) -> DataFrame:
     """Copy what neither the ledger nor the destination holds, and record it. Returns the plan.
 
-    Destination rows are written before ledger rows, and the ledger rows come from what was written,
-    so a record whose body is gone stays a candidate.
+    ``keyed`` are the candidates, written once, with ``RECORD``, key and description. Of records with
+    one key the first that has a body is copied. Destination rows are written before ledger rows, and
+    the ledger rows come from what was written; all records of a key without any body are listed in
+    ``missing_bodies``, with the ``waiting`` ones of before, and stay candidates of later passes.
     """
     state = attempt.store
-    first = attempt.scratch("candidates", first_per_key(keyed))
+    first = attempt.scratch("candidates", first_record_per_key(keyed))
     dest_keys = scan_buckets(state.dest(foreign, keys=first), rules)
-    planned = plan_candidates(first, among(state.read("ledger"), first), dest_keys, members(first), rules)
+    ledger = state.read("ledger").select("mirror", "key")
+    if seeds is not None:
+        ledger = ledger.unionByName(seeds.select("mirror", "key"))
+    planned = plan_candidates(first, among(ledger, first), dest_keys, members(first), rules)
     if first.isEmpty():
+        if seeds is not None:
+            attempt.write("ledger", seeds)
+        if waiting is not None:
+            attempt.write("missing_bodies", waiting)
         return planned.filter(F.lit(False))
     # Everything a copy needs is settled before the plan is written: from here on the small side of
     # each join is a written table whose size the optimizer knows, and the bodies, by far the
     # largest table, are met last and not shuffled while the accepted records can be broadcast.
-    plan = attempt.scratch("plan", planned.join(
-        rules.select("mirror", F.col("source_folder").alias("folder"), "carry_seen", "allowed_tags"), "mirror"
-    ))
+    plan = attempt.scratch("plan", planned.join(rules.select("mirror", "carry_seen", "allowed_tags"), "mirror"))
     copies = plan.filter(F.col("status") == "copy")
     refused = F.filter("tags", lambda t: ~tag_allowed(t, F.col("allowed_tags")))
     attempt.write("rejected_tags", copies.select("mirror", "key", F.explode(refused).alias("tag")))
-    meta = messages.select(
-        "mirror", "folder", "uid", "sender", "subject", F.col("internal_date").cast("timestamp").alias("internal_date"),
-        "size", "flags",
-    )
-    accepted = attempt.scratch("accepted", meta.join(copies, ["mirror", "folder", "uid"]))
+    accepted = attempt.scratch("accepted", _first_with_body(attempt, keyed, copies, bodies))
     described = attach_bodies(accepted, bodies)
     written = attempt.write("dest_messages", described.withColumns({
         "copy_id": F.concat(F.lit(f"{attempt.batch_id}-"), F.col("uid").cast("string")),
@@ -177,13 +254,40 @@ def copy_records(
         "flags": safe_flags(F.col("flags"), F.col("carry_seen")),
         "tags": F.filter("tags", lambda t: tag_allowed(t, F.col("allowed_tags"))),
     })).select("mirror", "key", "is_synth", "uid")
-    attempt.write("missing_bodies", copies.join(written.select("mirror", "key"), ["mirror", "key"], "left_anti"))
+    lacking = copies.join(written.select("mirror", "key"), ["mirror", "key"], "left_anti").select("mirror", "key")
+    missing = keyed.select(*RECORD, "key").join(lacking, ["mirror", "key"], "left_semi")
+    if waiting is not None:
+        missing = missing.unionByName(waiting.select(*RECORD, "key").join(missing, RECORD, "left_anti"))
+    attempt.write("missing_bodies", missing)
     guarded = plan.filter(F.col("status") == "in_dest").select("mirror", "key", "is_synth", "uid")
     records = written.withColumn("source", F.lit("copy")).unionByName(guarded.withColumn("source", F.lit("guard")))
-    attempt.write("ledger", records.withColumn("copied_at", F.lit(now).cast("long")))
+    records = records.withColumn("copied_at", F.lit(now).cast("long"))
+    attempt.write("ledger", records if seeds is None else records.unionByName(seeds.select(*records.columns)))
     return plan
 
 
+def _first_with_body(attempt: Attempt, keyed: DataFrame, copies: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The record to copy for each key of ``copies``, with its description.
+
+    A key with one record has no choice. Only where several share a key are their bodies looked up.
+    """
+    rest = [c for c in copies.columns if c == "mirror" or c not in RECORD]
+    records = keyed.select(*RECORD, "key", F.col("internal_date").cast("timestamp").alias("internal_date"), *[
+        c for c in DESCRIBED if c != "internal_date"
+    ])
+    single = records.join(copies.filter("n_records = 1").select(*rest), ["mirror", "key"])
+    several = copies.filter("n_records > 1")
+    if several.isEmpty():
+        return single
+    choices = attempt.scratch("choices", records.join(several.select("mirror", "key"), ["mirror", "key"], "left_semi"))
+    chosen = F.min(F.struct("uid", "epoch", "folder")).alias("r")
+    best = attempt.scratch("chosen", with_body(choices, bodies).groupBy("mirror", "key").agg(chosen).select(
+        "mirror", "key", "r.folder", "r.epoch", "r.uid"
+    ))
+    found = choices.join(best, [*RECORD, "key"], "left_semi").join(several.select(*rest), ["mirror", "key"])
+    return single.unionByName(found.select(*single.columns))
+
+
 def _propagate_phase(attempt: Attempt, rules, source: Source, members: MembersOf, repair, apply_ops: bool):
     """Apply every queued operation, those of this pass included, on top of the repair."""
     state = attempt.store
@@ -215,7 +319,7 @@ def _write_mirror_state(attempt: Attempt, rules, spans, marks, now: int) -> None
     attempt.write("mirror_state", rows.unionByName(gone.select(*rows.columns)))
 
 
-def _run_log(attempt: Attempt, rules, spans, plan, moves, tags, applied) -> DataFrame:
+def pass_log(attempt: Attempt, rules, spans, plan, moves, tags, applied) -> DataFrame:
     """Counters of the pass, one row per mirror."""
 
     def count(rows: DataFrame, name: str) -> DataFrame:
@@ -243,14 +347,18 @@ def _run_log(attempt: Attempt, rules, spans, plan, moves, tags, applied) -> Data
     )
 
 
-def reconcile_until_done(spark, specs, source: Source, state: StateStore, now: int, max_uids: int) -> int:
+def reconcile_until_done(
+    spark, specs, source: Source, state: StateStore, now: int, max_uids: int | None = None
+) -> int:
     """Bounded batches until no mirror has records above its mark; each batch commits on its own.
 
-    This is the resumable first run: a crash costs at most one batch. Returns the batches run.
+    This is the resumable first run: a crash costs at most one batch. A batch takes ``max_uids`` per
+    mirror, by default each mirror's own ``uid_batch``. Returns the batches run.
     """
+    window = F.col("uid_batch") if max_uids is None else max_uids
     spec_list, ran = list(specs), 0
     while True:
-        reconcile(spark, spec_list, source, state, now, max_uids=max_uids)
+        reconcile(spark, spec_list, source, state, now, max_uids=window)
         ran += 1
         last, _ = state.last()
         rules = resolve_specs(specs_frame(spark, spec_list), source.folders)
@@ -264,24 +372,18 @@ def seed(spark: SparkSession, specs: Iterable[MirrorSpec], dest: DataFrame, stat
     """Record every key the destination already holds, as its own batch.
 
     ``seed='empty'`` does so for mirrors with an empty ledger, ``'always'`` for every pass,
-    ``'never'`` not at all. Gives per mirror the records scanned and the keys inserted.
+    ``'never'`` not at all. A pass does the same by itself for the foreign records it is given. Gives
+    per mirror the records scanned and the keys inserted.
     """
     rules = specs_frame(spark, specs)
     ledger = state.read("ledger")
-    filled = ledger.select("mirror").distinct()
-    wanted = rules.filter(F.col("seed") == "always").unionByName(
-        rules.filter(F.col("seed") == "empty").join(filled, "mirror", "left_anti")
-    )
     attempt = state.begin()
-    held = attempt.scratch("held", scan_buckets(with_dest_key(dest), wanted).select("mirror", "key", "is_synth"))
-    fresh = seed_keys(held, ledger)
-    rows = attempt.write("ledger", fresh.select(
-        "mirror", "key", "is_synth", F.lit(0).cast("long").alias("uid"),
-        F.lit(0).cast("long").alias("copied_at"), F.lit("seed").alias("source"),
-    ))
-    attempt.carry("folder_state", "mirror_state")
+    wanted = attempt.scratch("wanted", _seeding(rules, ledger))
+    held = scan_buckets(with_dest_key(dest), wanted).select("mirror", "key", "is_synth")
+    scanned = stored(held.groupBy("mirror").agg(F.count(F.lit(1)).alias("n_scanned")), "seed-scanned")
+    rows = attempt.write("ledger", _seed_rows(held, ledger))
+    attempt.carry(*CURRENT_TABLES)
     attempt.commit()
-    scanned = held.groupBy("mirror").agg(F.count(F.lit(1)).alias("n_scanned"))
     return scanned.join(rows.groupBy("mirror").agg(F.count(F.lit(1)).alias("n_keys")), "mirror", "left").select(
         "mirror", "n_scanned", F.coalesce("n_keys", F.lit(0)).alias("n_keys")
     )
@@ -325,5 +427,5 @@ def record_changes(state: StateStore, placement: DataFrame | None = None, tags:
         attempt.write("placement_log", placement.withColumns(stamp))
     if tags is not None:
         attempt.write("tag_log", tags.withColumns(stamp))
-    attempt.carry("folder_state", "mirror_state")
+    attempt.carry(*CURRENT_TABLES)
     attempt.commit()

@@ -5,6 +5,7 @@ Arrays leave as joined text, so results compare the same way in any engine.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +20,13 @@ from mirrorkit.operators import changes, dedup, membership, repair, report, rout
 from mirrorkit.plans.ingest import epoch_reset, ingest_plan
 from mirrorkit.plans.membership import sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate_plan
-from mirrorkit.plans.reconcile import Source, reconcile
+from mirrorkit.plans.reconcile import Source, reconcile, reconcile_until_done
 from mirrorkit.session import configure, stored, work_dir
 from mirrorkit.sources import tables
 from mirrorkit.sources.state import StateStore
 from mirrorkit.spec import specs_frame
 from mirrorkit.streaming.arrivals import read_arrivals, start_ingest
-from mirrorkit.streaming.members import member_feed, present_members, present_of_feed, start_members
+from mirrorkit.streaming.members import present_members, start_feed, start_members
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,16 +78,19 @@ def _first(spark, sf):
     return dedup.first_per_key(fx.keyed(spark, sf))
 
 
+def _first_records(spark, sf):
+    return dedup.first_record_per_key(fx.keyed(spark, sf).withColumn("folder", F.lit("All")))
+
+
 @query
 def attach_bodies(spark, sf):
-    plan = dedup.ledger_antijoin(_first(spark, sf), fx.ledger(spark, sf)).withColumn("folder", F.lit("All"))
+    plan = dedup.ledger_antijoin(_first_records(spark, sf), fx.ledger(spark, sf))
     return tables.attach_bodies(plan, fx.bodies(spark, sf)).select("mirror", "uid", "key", "raw")
 
 
 @query
 def missing_bodies(spark, sf):
-    plan = _first(spark, sf).withColumn("folder", F.lit("All"))
-    return tables.missing_bodies(plan, fx.bodies(spark, sf))
+    return tables.missing_bodies(_first_records(spark, sf), fx.bodies(spark, sf))
 
 
 @query
@@ -174,7 +178,7 @@ def label_folders(spark, sf):
 
 @query
 def labels_of_key(spark, sf):
-    return routing.labels_of_key(fx.members_new(spark, sf), fx.specs(spark)).select(
+    return routing.labels_of_key(fx.members(spark, sf), fx.specs(spark)).select(
         "mirror", "key", joined("labels").alias("labels")
     )
 
@@ -243,7 +247,7 @@ def route_bucket(spark, sf):
 
 @query
 def folders_of_key(spark, sf):
-    return routing.folders_of_key(fx.members_new(spark, sf)).select("mirror", "key", joined("folders").alias("folders"))
+    return routing.folders_of_key(fx.members(spark, sf)).select("mirror", "key", joined("folders").alias("folders"))
 
 
 def _uid_changes(spark, sf):
@@ -314,7 +318,7 @@ def locate_copies(spark, sf):
 
 @query
 def ledger_count(spark, sf):
-    return report.ledger_count(fx.ledger(spark, sf))
+    return report.ledger_count(dedup.ledger_upsert(fx.ledger(spark, sf), fx.dated(fx.keyed(spark, sf))))
 
 
 def _plan(spark, sf):
@@ -335,7 +339,7 @@ def run_summary(spark, sf):
 
 @query
 def tags_per_key(spark, sf):
-    return routing.tags_per_key(fx.members_new(spark, sf), fx.specs(spark)).select(
+    return routing.tags_per_key(fx.members(spark, sf), fx.specs(spark)).select(
         "mirror", "key", joined("tags").alias("tags")
     )
 
@@ -399,8 +403,7 @@ def key_collisions(spark, sf):
 
 @query
 def ledger_upsert(spark, sf):
-    rows = fx.keyed(spark, sf).withColumn("copied_at", F.unix_seconds(F.col("internal_date").cast("timestamp")))
-    return dedup.ledger_upsert(fx.ledger(spark, sf), rows)
+    return dedup.ledger_upsert(fx.ledger(spark, sf), fx.dated(fx.keyed(spark, sf)))
 
 
 @query
@@ -418,10 +421,16 @@ def queue_remaining(spark, sf):
 
 @query
 def folder_state_next(spark, sf):
-    late = fx.since(fx.messages(spark, sf), fx.COPIES_END).groupBy("mirror", "folder").agg(
+    """Marks from the even uids; the odd ones are scanned next, in one mirror under other folder names."""
+    rows = fx.messages(spark, sf)
+    stored = rows.filter("uid % 2 = 0").groupBy("mirror", "folder").agg(
+        F.lit(1).cast("long").alias("epoch"), F.max("uid").alias("last_uid")
+    )
+    name = F.when(F.col("mirror") == "m3", F.concat(F.lit("[Mail]/"), "folder")).otherwise(F.col("folder"))
+    scanned = rows.filter("uid % 2 = 1").withColumn("folder", name).groupBy("mirror", "folder").agg(
         F.max("epoch").alias("epoch"), F.max("uid").alias("last_uid")
     )
-    return membership.folder_state_next(_marks(spark, sf), late)
+    return membership.folder_state_next(stored, scanned)
 
 
 @query
@@ -451,7 +460,7 @@ def apply_tag_deltas(spark, sf):
 
 @query
 def tag_rejects(spark, sf):
-    tagged = routing.tags_per_key(fx.members_new(spark, sf), fx.specs(spark))
+    tagged = routing.tags_per_key(fx.members(spark, sf), fx.specs(spark))
     kept, refused = changes.split_rejected_tags(tagged, fx.specs(spark))
     return kept.select("mirror", "key", F.lit("kept").alias("outcome"), joined("tags").alias("tags")).unionByName(
         refused.select("mirror", "key", F.lit("refused").alias("outcome"), F.col("tag").alias("tags"))
@@ -574,14 +583,76 @@ def reconcile_pass(spark, sf):
     state = StateStore(spark, work_dir(spark, "state"))
     box, listing = fx.mailbox(spark, sf), fx.listing(spark, sf)
     here = (F.col("folder") == "All") | (F.col("internal_date") >= fx.day(fx.NEW_START))
-    bodies = fx.arrivals(spark, sf).select("mirror", "folder", "uid", "raw")
+    bodies = fx.arrivals(spark, sf).select(*tables.RECORD, "raw")
     for now, rows in enumerate((fx.before(box, fx.OLD_END), box.filter(here)), start=1):
         reconcile(spark, fx.SPECS, Source(rows, bodies, listing), state, now)
-    return state.dest().select(
-        "mirror", "key", "folder", joined(F.array_sort("tags")).alias("tags"), joined("flags").alias("flags")
+    return _copied_bodies(state).select(
+        "mirror", "key", "uid", "sender", "size", "folder", joined(F.array_sort("tags")).alias("tags"),
+        joined("flags").alias("flags"), "raw",
     )
 
 
+def _copied_bodies(state):
+    """The destination with the bodies of its copies."""
+    raw = state.read("dest_messages").select("mirror", "copy_id", "raw")
+    return state.dest().join(raw, ["mirror", "copy_id"])
+
+
+@query
+def reconcile_missing_bodies(spark, sf):
+    """Two passes over the same records: in the first some bodies are empty, in the second all are there.
+
+    A key is copied from its first record with a body; a key without any is copied by the second pass.
+    """
+    state = StateStore(spark, work_dir(spark, "state"))
+    box = fx.mailbox(spark, sf).filter("folder = 'All'")
+    for now, bodies in enumerate((fx.bodies(spark, sf), fx.arrivals(spark, sf)), start=1):
+        reconcile(spark, fx.SPECS, Source(box, bodies.select(*tables.RECORD, "raw"), fx.listing(spark, sf)), state, now)
+    return _copied_bodies(state).select("mirror", "key", "uid", "raw")
+
+
+@query
+def reconcile_windows(spark, sf):
+    """A first run in windows of each mirror's ``uid_batch``, over banded tables, resumed after its first window."""
+    state, lake = StateStore(spark, work_dir(spark, "state")), work_dir(spark, "lake")
+    box = fx.mailbox(spark, sf).filter("folder = 'All'")
+    tables.write_messages(box, f"{lake}/messages")
+    tables.write_bodies(fx.bodies(spark, sf), f"{lake}/bodies")
+    source = Source(spark.read.parquet(f"{lake}/messages"), spark.read.parquet(f"{lake}/bodies"), fx.listing(spark, sf))
+    wide = [dataclasses.replace(s, uid_batch=s.uid_batch * fx.table(spark, sf, "events").count() // 2000) for s in fx.SPECS]
+    reconcile(spark, wide, source, state, 1, max_uids=F.col("uid_batch"))
+    reconcile_until_done(spark, wide, source, state, 2)
+    return _copied_bodies(state).select("mirror", "key", "raw")
+
+
+@query
+def seed_modes(spark, sf):
+    """Where the ledger rows of one pass come from: each mirror takes over destination keys by its own mode."""
+    state = StateStore(spark, work_dir(spark, "state"))
+    known = state.begin()
+    ledger = fx.ledger(spark, sf).filter("mirror <> 'm0'")
+    known.write("ledger", ledger.withColumns({"is_synth": F.lit(False), "source": F.lit("known")}))
+    known.commit()
+    modes = dict(zip(("m0", "m1", "m2", "m3"), ("empty", "empty", "always", "never"), strict=True))
+    specs = [dataclasses.replace(s, seed=modes[s.mirror]) for s in fx.SPECS]
+    box = fx.mailbox(spark, sf).filter("folder = 'All'")
+    bodies = fx.arrivals(spark, sf).select(*tables.RECORD, "raw")
+    reconcile(spark, specs, Source(box, bodies, fx.listing(spark, sf), foreign=fx.foreign(spark, sf)), state, 1)
+    return state.read("ledger").select("mirror", "key", "source")
+
+
+@query
+def change_summary(spark, sf):
+    """The counters of a pass that tell what happened to records copied before."""
+    facts = routing.key_facts(fx.members_new(spark, sf), fx.specs(spark))
+    held = _placements(spark, sf)
+    moves = report.move_counts(changes.apply_moves(_ops(spark, sf), held, fx.specs(spark), facts), fx.specs(spark))
+    tags = changes.apply_tag_deltas(_tag_ops(spark, sf), held, fx.specs(spark), facts)
+    tagged = tags.select("mirror", "copy_id").distinct().groupBy("mirror").agg(F.count(F.lit(1)).alias("tags_updated"))
+    counted = fx.specs(spark).select("mirror").join(moves, "mirror", "left").join(tagged, "mirror", "left")
+    return counted.na.fill(0)
+
+
 # Streams
 
 
@@ -606,6 +677,24 @@ def stream_equals_batch(spark, sf):
     return state.read("ledger").select("mirror", "key", "is_synth", "source")
 
 
+@query
+def stream_multi_folder(spark, sf):
+    """Arrivals of all folders and of an epoch before, in one batch, with the source named by its role."""
+    state = StateStore(spark, work_dir(spark, "state"))
+    main = fx.arrivals(spark, sf)
+    others = fx.beside(spark, sf)
+    before = main.withColumns({"epoch": F.col("epoch") + 5, "uid": F.col("uid") % 11 + 1, "raw": F.lit("before")})
+    rows = main.unionByName(others).unionByName(before)
+    path = fx.daily_files(rows, work_dir(spark, "arrivals"))
+    specs = [dataclasses.replace(s, source_folder="\\All") for s in fx.SPECS]
+    listing = fx.listing(spark, sf).filter("folder not like '[Mail]/%'")
+    _drain(start_ingest(
+        read_arrivals(spark, path, rows.schema), specs, state, work_dir(spark, "checkpoint"), name="folders", once=True,
+        folders=listing, status=tables.current_epoch(main),
+    ))
+    return _copied_bodies(state).select("mirror", "key", "uid", "sender", "raw")
+
+
 @query
 def stream_dedup(spark, sf):
     """A stream against a ledger and a destination that already hold some of the keys."""
@@ -629,14 +718,13 @@ def _events(spark, sf):
 def stream_members(spark, sf):
     """Members by Spark's own keyed state, read back from the change feed."""
     feed = work_dir(spark, "feed")
-    writer = member_feed(_daily(_events(spark, sf))).writeStream.format("parquet").trigger(availableNow=True)
-    _drain(writer.option("checkpointLocation", work_dir(spark, "checkpoint")).start(feed))
-    return present_of_feed(spark.read.parquet(feed)).select("mirror", "folder", "key")
+    _drain(start_feed(_daily(_events(spark, sf)), feed, work_dir(spark, "checkpoint")))
+    return present_members(spark.read.parquet(feed))
 
 
 @query
 def stream_members_log(spark, sf):
-    """The same members without Python state, by a log of last events."""
+    """The same members without state, by a log of last events."""
     log = work_dir(spark, "log")
     _drain(start_members(_daily(_events(spark, sf)), log, work_dir(spark, "checkpoint")))
     return present_members(spark.read.parquet(log))

@@ -23,7 +23,7 @@ MESSAGES = columns(
     "mirror string, folder string, epoch long, uid long, message_id string, sender string, "
     "subject string, internal_date timestamp, size long, flags array<string>"
 )
-BODIES = columns("mirror string, folder string, uid long, raw string")
+BODIES = columns("mirror string, folder string, epoch long, uid long, raw string")
 FOLDERS = columns("mirror string, folder string, attrs array<string>, list_pos long")
 FOLDER_STATUS = columns("mirror string, folder string, epoch long, uid_next long, n long")
 
@@ -45,12 +45,13 @@ STATE_TABLES = {
         "tag_log": "mirror string, copy_id string, key string, tag string, op string, seq long, reason string",
         "pending_ops": "mirror string, seq long, kind string, key string, folder string, op string",
         "applied_ops": "mirror string, op_batch long, seq long, status string",
-        "missing_bodies": "mirror string, folder string, uid long, key string",
+        "missing_bodies": "mirror string, folder string, epoch long, uid long, key string",
         "rejected_tags": "mirror string, key string, tag string",
         "run_log": (
             "mirror string, epoch_changed boolean, candidates long, copied long, skipped_dup long, "
             "moved_to_archive long, moved_to_inbox long, moved_to_sent long, tags_set long, "
             "tags_updated long, ops_applied long, missing_bodies long, rejected_tags long"
         ),
+        "phase_log": "phase string, seconds long, n_rows long",
     }.items()
 }

@@ -18,13 +18,16 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from mirrorkit.operators.changes import dest_current, queue_remaining
 from mirrorkit.operators.dedup import KEY, among
+from mirrorkit.operators.sequence import number_rows
 from mirrorkit.schemas import STATE_TABLES, columns
-from mirrorkit.session import work_dir
+from mirrorkit.session import remove, work_dir
 
-LAYOUT_VERSION = 2
-COMMITS = columns("batch_id long, attempt string, members_base long, layout int, tag string")
+LAYOUT_VERSION = 3
+COMMITS = columns("attempt string, members_base long, logs_base long, layout int, tag string, batch_id long")
 # Tables small enough to be written whole by every batch: the newest batch is the state.
-CURRENT_TABLES = ("folder_state", "mirror_state")
+CURRENT_TABLES = ("folder_state", "mirror_state", "missing_bodies")
+# Logs that ``compact`` folds into one batch; those before it are not read again.
+LOG_TABLES = ("ledger", "pending_ops", "applied_ops", "placement_log", "tag_log")
 
 
 def _stored_schema(name: str) -> StructType:
@@ -39,18 +42,24 @@ class StateStore:
         self.spark, self.root, self.on_write = spark, root.rstrip("/"), on_write
 
     def commits(self) -> DataFrame:
-        return self._load(f"{self.root}/commits", COMMITS)
+        """One row per batch. Should two writers ever have published one batch, one of them counts."""
+        rows = self._load(f"{self.root}/commits", COMMITS)
+        rest = [c for c in COMMITS.names if c != "batch_id"]
+        return rows.groupBy("batch_id").agg(F.min(F.struct(*rest)).alias("c")).select("c.*", "batch_id")
 
-    def last(self) -> tuple[int, int]:
-        """Newest committed batch and the batch its member rows start at; (0, 0) for a new state."""
+    def _newest(self) -> tuple[int, int, int]:
         row = self.commits().agg(
-            F.max(F.struct("batch_id", "members_base")).alias("c"), F.max("layout").alias("layout")
+            F.max(F.struct("batch_id", "members_base", "logs_base")).alias("c"), F.max("layout").alias("layout")
         ).first()
         if row["c"] is None:
-            return 0, 0
+            return 0, 0, 0
         if row["layout"] > LAYOUT_VERSION:
             raise ValueError(f"state layout {row['layout']} is newer than {LAYOUT_VERSION}; refusing to use it")
-        return row["c"]["batch_id"], row["c"]["members_base"]
+        return tuple(row["c"])
+
+    def last(self) -> tuple[int, int]:
+        """Newest committed batch and the batch its member rows start at; (0, 0) for a new state."""
+        return self._newest()[:2]
 
     def is_committed(self, batch_id: int) -> bool:
         return not self.commits().filter(F.col("batch_id") == batch_id).isEmpty()
@@ -60,8 +69,10 @@ class StateStore:
         return not self.commits().filter(F.col("tag") == tag).isEmpty()
 
     def read(self, table: str) -> DataFrame:
-        """Committed rows of a table with their ``batch_id``."""
+        """Committed rows of a table with their ``batch_id``; of a log, those since it was last folded."""
         rows = self._load(f"{self.root}/{table}", _stored_schema(table))
+        if table in LOG_TABLES:
+            rows = rows.filter(F.col("batch_id") >= self._newest()[2])
         seen = self.commits().select("batch_id", "attempt")
         return rows.join(seen, ["batch_id", "attempt"], "left_semi").drop("attempt")
 
@@ -107,8 +118,60 @@ class StateStore:
         return dest_current(records, moves, tags)
 
     def begin(self, batch_id: int | None = None) -> Attempt:
-        last, base = self.last()
-        return Attempt(self, last + 1 if batch_id is None else batch_id, last, base)
+        last, base, logs = self._newest()
+        return Attempt(self, last + 1 if batch_id is None else batch_id, last, base, logs)
+
+    def compact(self) -> int:
+        """Fold members, ledger, queue and logs into one batch and return its number.
+
+        Nothing a reader sees changes. Passes after it read this batch and what follows, however
+        many batches there were before. Copies themselves are never rewritten.
+        """
+        attempt = self.begin()
+        attempt.write("member_log", self.members().withColumn("op", F.lit("add")))
+        attempt.write("ledger", self.read("ledger"))
+        # Numbers are unique within a batch only, so the queue is numbered anew, in its order.
+        queue = self.pending().withColumnRenamed("seq", "old_seq")
+        attempt.write("pending_ops", number_rows(queue, ["mirror"], ["batch_id", "old_seq"]))
+        for table, by in (("placement_log", ["mirror", "copy_id"]), ("tag_log", ["mirror", "copy_id", "low"])):
+            rows = self.read(table)
+            rows = rows.withColumn("low", F.lower("tag")) if "low" in by else rows
+            rest = [c for c in STATE_TABLES[table].names if c not in by]
+            newest = F.max(F.struct("batch_id", *sorted(rest, key=lambda c: c != "seq"))).alias("r")
+            attempt.write(table, rows.groupBy(*by).agg(newest).select(*by, "r.*"))
+        attempt.carry(*CURRENT_TABLES)
+        attempt.commit(members_base=attempt.batch_id, logs_base=attempt.batch_id)
+        return attempt.batch_id
+
+    def vacuum(self) -> int:
+        """Delete what no reader can reach any more and return the number of folders deleted: logs from
+        before they were folded, older versions of whole-state tables, and attempts that lost.
+
+        Not while another writer is at work: its attempt is not committed yet.
+        """
+        last, members, logs = self._newest()
+        winners = {(r["batch_id"], r["attempt"]) for r in self.commits().select("batch_id", "attempt").collect()}
+        least = {**dict.fromkeys(LOG_TABLES, logs), "member_log": members, **dict.fromkeys(CURRENT_TABLES, last)}
+        gone = 0
+        for table in STATE_TABLES:
+            for batch, attempt, path in self._attempts(table):
+                if (batch, attempt) not in winners or batch < least.get(table, 0):
+                    remove(self.spark, path)
+                    gone += 1
+        return gone
+
+    def _attempts(self, table: str) -> list[tuple[int, str, str]]:
+        """(batch, attempt, path) of every attempt's folder of a table: one entry per pass, no rows."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        store = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = store.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch_id=*/attempt=*")) or []
+        out = []
+        for status in found:
+            path = status.getPath()
+            batch, attempt = path.getParent().getName(), path.getName()
+            out.append((int(batch.split("=")[1]), attempt.split("=")[1], path.toString()))
+        return out
 
     def _load(self, path: str, schema: StructType) -> DataFrame:
         try:
@@ -124,8 +187,8 @@ class StateStore:
 class Attempt:
     """One try at one batch. Its rows become visible all together, or never."""
 
-    def __init__(self, store: StateStore, batch_id: int, last: int, base: int):
-        self.store, self.batch_id, self.last, self.base = store, batch_id, last, base
+    def __init__(self, store: StateStore, batch_id: int, last: int, base: int, logs: int = 0):
+        self.store, self.batch_id, self.last, self.base, self.logs = store, batch_id, last, base, logs
         self.name = f"a{uuid.uuid4().hex}"
         self._scratch = work_dir(store.spark, "scratch")
 
@@ -137,7 +200,10 @@ class Attempt:
         path = f"{self.store.root}/{table}/batch_id={self.batch_id}/attempt={self.name}"
         names = STATE_TABLES[table].names
         order = [c for c in ("mirror", "key", "folder") if c in names]
-        rows.select(*names).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+        rows = rows.select(*names)
+        if order:
+            rows = rows.sortWithinPartitions(*order)
+        rows.write.mode("overwrite").parquet(path)
         if self.store.on_write:
             self.store.on_write(table)
         return self.written(table)
@@ -163,16 +229,36 @@ class Attempt:
         for table in tables:
             self.write(table, self.store.read_batch(table, self.last))
 
-    def commit(self, members_base: int | None = None, layout: int = LAYOUT_VERSION, tag: str = "") -> None:
-        """Publish the attempt by one row, in one file, written last."""
+    def commit(
+        self, members_base: int | None = None, layout: int = LAYOUT_VERSION, tag: str = "", logs_base: int | None = None,
+    ) -> None:
+        """Publish the attempt by one row, written last, in a folder of the batch that must not exist yet.
+
+        Storage without an atomic create leaves a moment in which two writers may both publish. Readers
+        then agree on one of them, and the other one is told here.
+        """
+        taken = ValueError(f"batch {self.batch_id} is already committed")
         if self.store.is_committed(self.batch_id):
-            raise ValueError(f"batch {self.batch_id} is already committed")
+            raise taken
         base = self.base if members_base is None else members_base
+        logs = self.logs if logs_base is None else logs_base
         row = self.store.spark.sql(
-            f"select cast({self.batch_id} as long) batch_id, '{self.name}' attempt, "
-            f"cast({base} as long) members_base, {layout} layout, '{tag}' tag"
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.store.root}/commits")
+            f"select '{self.name}' attempt, cast({base} as long) members_base, cast({logs} as long) logs_base, "
+            f"{layout} layout, '{tag}' tag"
+        ).coalesce(1)
+        path = f"{self.store.root}/commits/batch_id={self.batch_id}"
+        try:
+            row.write.mode("error").parquet(path)
+        except AnalysisException as found:
+            if found.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            if self.store.is_committed(self.batch_id):
+                raise taken from None
+            row.write.mode("append").parquet(path)  # a writer died here before it published anything
+        won = self.store.commits().filter(F.col("batch_id") == self.batch_id).first()
+        if won is None or won["attempt"] != self.name:
+            raise taken
+        remove(self.store.spark, self._scratch)
 
 
 def fold_members(log: DataFrame) -> DataFrame:

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorkit.functions.headers import parse_headers
+from mirrorkit.session import stored
 
 # What key work needs. Bodies live in their own table and are never read for it.
 META_COLUMNS = (
     "mirror", "folder", "epoch", "uid", "message_id", "sender", "subject", "internal_date", "size", "flags",
 )
+# What tells one record from another. Uids start anew with every epoch.
+RECORD = ["mirror", "folder", "epoch", "uid"]
+# Uids of one band lie in one directory, so a scan above a mark opens the newest bands only.
+BAND_UIDS = 100_000
+
+
+def uid_band(uid: Column) -> Column:
+    return F.floor(uid / BAND_UIDS).cast("long")
 
 
 def scan_messages(
@@ -23,7 +32,8 @@ def scan_messages(
     row groups of files written in uid order.
     """
     df = spark.read.parquet(path)
-    df = df.select(*[c for c in META_COLUMNS if c in df.columns])
+    banded = "band" in df.columns
+    df = df.select(*[c for c in (*META_COLUMNS, "band") if c in df.columns])
     if mirror is not None:
         df = df.filter(F.col("mirror") == mirror)
     if folder is not None:
@@ -32,18 +42,50 @@ def scan_messages(
         df = df.filter(F.col("uid") >= lo)
     if hi is not None:
         df = df.filter(F.col("uid") <= hi)
-    return df
+    if banded:
+        if lo is not None:
+            df = df.filter(F.col("band") >= lo // BAND_UIDS)
+        if hi is not None:
+            df = df.filter(F.col("band") <= hi // BAND_UIDS)
+    return df.drop("band")
+
+
+def within_spans(messages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Records of each span ``mirror, folder, epoch, _from, _to``: uids in ``(_from, _to]``.
+
+    Where the table has a band column, the spans are joined on their bands too, and the join prunes
+    the directories of all others.
+    """
+    on = ["mirror", "folder", "epoch"]
+    asked = spans.select(*on, "_from", "_to")
+    if "band" in messages.columns:
+        asked = asked.filter(F.col("_to") > F.col("_from")).withColumn(
+            "band", F.explode(F.sequence(uid_band(F.col("_from") + 1), uid_band(F.col("_to"))))
+        )
+        on = [*on, "band"]
+    inside = (F.col("uid") > F.col("_from")) & (F.col("uid") <= F.col("_to"))
+    return messages.join(asked, on).filter(inside).drop("_from", "_to", "band")
 
 
 def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
-    """Write metadata so that range scans can skip: one directory per mirror and folder, files in uid order.
+    """Write metadata so that range scans can skip: a directory per mirror, folder and uid band, files in uid order.
 
     Rows are spread by uid range as well as by folder, so one large folder is written by many tasks.
     """
+    _write_banded(messages, path, mode)
+
+
+def write_bodies(bodies: DataFrame, path: str, mode: str = "append") -> None:
+    """Write bodies in the same layout, with their size beside them: whether a body is empty is then
+    known without reading it."""
+    _write_banded(bodies.withColumn("raw_size", F.length("raw").cast("long")), path, mode)
+
+
+def _write_banded(rows: DataFrame, path: str, mode: str) -> None:
     (
-        messages.repartitionByRange("mirror", "folder", "uid")
+        rows.withColumn("band", uid_band(F.col("uid"))).repartitionByRange("mirror", "folder", "uid")
         .sortWithinPartitions("mirror", "folder", "uid")
-        .write.mode(mode).partitionBy("mirror", "folder").parquet(path)
+        .write.mode(mode).partitionBy("mirror", "folder", "band").parquet(path)
     )
 
 
@@ -58,7 +100,13 @@ def scan_above_mark(messages: DataFrame, marks: DataFrame) -> DataFrame:
     above = (
         F.col("_epoch").isNull() | (F.col("_epoch") != F.col("epoch")) | (F.col("uid") > F.col("_last"))
     )
-    return messages.join(stored, ["mirror", "folder"], "left").filter(above).drop("_epoch", "_last")
+    return messages.join(_small(stored, "marks"), ["mirror", "folder"], "left").filter(above).drop("_epoch", "_last")
+
+
+def _small(rows: DataFrame, purpose: str) -> DataFrame:
+    """One row per folder, written first: the optimizer then broadcasts it by its known size, and the
+    records are not shuffled by a folder that may hold a third of them."""
+    return stored(rows, purpose)
 
 
 def snapshot_uids(messages: DataFrame) -> DataFrame:
@@ -74,7 +122,10 @@ def folder_status(messages: DataFrame) -> DataFrame:
 
 
 def current_epoch(messages: DataFrame) -> DataFrame:
-    """Status of the newest epoch of every folder."""
+    """Status of the greatest epoch of every folder, for sources without a status table of their own.
+
+    Epochs need not grow: a source where a new one may be smaller has to give its status table.
+    """
     newest = F.max(F.struct("epoch", "uid_next", "n")).alias("s")
     return folder_status(messages).groupBy("mirror", "folder").agg(newest).select("mirror", "folder", "s.*")
 
@@ -83,16 +134,34 @@ def attach_bodies(plan: DataFrame, bodies: DataFrame, how: str = "inner") -> Dat
     """Bodies of accepted records only; empty bodies do not count.
 
     The plan is the small side: it has passed every anti-join and carries no text. While it is
-    below the broadcast threshold the bodies are filtered where they lie and never shuffled.
+    below the broadcast threshold the bodies are filtered where they lie and never shuffled, and
+    with a band column only the directories of its bands are read.
     """
-    full = bodies.filter(F.length("raw") > 0).select("mirror", "folder", "uid", "raw")
-    return plan.join(full, ["mirror", "folder", "uid"], how)
+    rows, on = _with_band(plan, bodies)
+    return rows.join(_full(bodies).select(*on, "raw"), on, how).drop("band")
+
+
+def with_body(records: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Records that have a body. With a size column beside the bodies none is read."""
+    rows, on = _with_band(records, bodies)
+    return rows.join(_full(bodies).select(*on), on, "left_semi").drop("band")
+
+
+def _full(bodies: DataFrame) -> DataFrame:
+    size = F.col("raw_size") if "raw_size" in bodies.columns else F.length("raw")
+    return bodies.filter(size > 0)
+
+
+def _with_band(rows: DataFrame, bodies: DataFrame) -> tuple[DataFrame, list[str]]:
+    if "band" not in bodies.columns:
+        return rows, RECORD
+    return rows.withColumn("band", uid_band(F.col("uid"))), [*RECORD, "band"]
 
 
 def missing_bodies(plan: DataFrame, bodies: DataFrame) -> DataFrame:
     """Accepted records whose body is gone or empty. A later audit finds them again."""
-    have = bodies.filter(F.length("raw") > 0).select("mirror", "folder", "uid")
-    return plan.join(have, ["mirror", "folder", "uid"], "left_anti").select("mirror", "folder", "uid", "key")
+    rows, on = _with_band(plan, bodies)
+    return rows.join(_full(bodies).select(*on), on, "left_anti").select(*RECORD, "key")
 
 
 def bucket_rank(folder: Column) -> Column:

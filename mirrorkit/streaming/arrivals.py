@@ -11,12 +11,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from mirrorkit.functions.keys import with_key
-from mirrorkit.functions.settings import rule_fingerprint
-from mirrorkit.operators.report import run_summary
-from mirrorkit.plans.reconcile import copy_records
-from mirrorkit.schemas import STATE_TABLES
+from mirrorkit.operators.routing import resolve_specs
+from mirrorkit.plans.reconcile import DESCRIBED, copy_records, pass_log
 from mirrorkit.sources.state import Attempt, StateStore
+from mirrorkit.sources.tables import RECORD
 from mirrorkit.spec import MirrorSpec, specs_frame
+from mirrorkit.streaming.progress import ProgressLog, observed
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -39,65 +39,83 @@ def with_trigger(writer: DataStreamWriter, specs: Iterable[MirrorSpec], once: bo
 
 def ingest_batch(
     spark: SparkSession, specs: list[MirrorSpec], batch: DataFrame, tag: str, state: StateStore,
-    bodies: DataFrame, now: int, foreign: DataFrame | None = None,
+    bodies: DataFrame, now: int, foreign: DataFrame | None = None, folders: DataFrame | None = None,
+    status: DataFrame | None = None,
 ) -> None:
     """Copy one batch of arrivals under ``tag``. A replay of a committed tag does nothing.
 
+    The rules are those of a pass: only records of a mirror's source folder are copied, role selectors
+    are looked up in the ``folders`` listing, and with a ``status`` table only records of the current
+    epoch count. Marks and the rule fingerprint stay as the last pass left them, since a stream sees
+    what arrives and not what lies below it; the ledger keeps what it copied from being copied again.
     Memberships are those of the last snapshot pass; a later pass moves and tags what has changed since.
     """
     if state.has_tag(tag):
         return
     attempt = state.begin()
-    rules = attempt.scratch("specs", specs_frame(spark, specs))
+    rules = attempt.scratch("specs", _resolved(specs_frame(spark, specs), specs, folders))
     # A file delivered twice brings the same records twice.
-    arrived = attempt.scratch("arrived", batch.drop("raw").dropDuplicates(["mirror", "folder", "epoch", "uid"]))
-    plan = copy_records(attempt, rules, with_key(arrived, specs), arrived, bodies, _members(state), foreign, now)
+    arrived = batch.drop("raw").join(
+        rules.select("mirror", F.col("source_folder").alias("folder")), ["mirror", "folder"], "left_semi"
+    )
+    if status is not None:
+        arrived = arrived.join(status.select("mirror", "folder", "epoch"), ["mirror", "folder", "epoch"], "left_semi")
+    keyed = with_key(arrived.dropDuplicates(RECORD), specs).select(*RECORD, "key", "is_synth", *DESCRIBED)
+    records = attempt.scratch("records", keyed)
+    waiting = state.read_batch("missing_bodies", attempt.last).select(*RECORD, "key")
+    plan = copy_records(attempt, rules, records, bodies, _members(state), foreign, now, waiting=waiting)
     attempt.carry("folder_state")
-    attempt.write("mirror_state", _advance_marks(attempt, rules, arrived, now))
-    zero = F.lit(0).cast("long")
-    summary = run_summary(plan).withColumn("epoch_changed", F.lit(False))
-    missing = [c for c in STATE_TABLES["run_log"].names if c not in summary.columns]
-    attempt.write("run_log", summary.withColumns(dict.fromkeys(missing, zero)))
+    attempt.write("mirror_state", _heartbeats(attempt, records, now))
+    spans = rules.select("mirror", F.lit(False).alias("epoch_changed"))
+    none = attempt.written("placement_log"), attempt.written("tag_log"), attempt.written("applied_ops")
+    attempt.write("run_log", pass_log(attempt, rules, spans, plan, *none))
     attempt.commit(tag=tag)
 
 
+def _resolved(rules: DataFrame, specs: list[MirrorSpec], folders: DataFrame | None) -> DataFrame:
+    if folders is not None:
+        return resolve_specs(rules, folders)
+    roles = [s.mirror for s in specs if s.source_folder.startswith("\\") or (s.sent_on and s.sent_source.startswith("\\"))]
+    if roles:
+        raise ValueError(f"mirrors {roles} name folders by role: the stream needs the folder listing")
+    return rules
+
+
 def _members(state: StateStore) -> Callable[[DataFrame | None], DataFrame]:
     return lambda keys: state.members(keys=keys)
 
 
-def _advance_marks(attempt: Attempt, rules: DataFrame, arrived: DataFrame, now: int) -> DataFrame:
-    """High-water marks after a batch. A new epoch starts a new mark."""
-    stored = attempt.store.read_batch("mirror_state", attempt.last).select("mirror", "epoch", "last_uid", "fingerprint")
-    seen = arrived.groupBy("mirror", "epoch").agg(F.max("uid").alias("last_uid"))
-    marks = stored.select("mirror", "epoch", "last_uid").unionByName(seen)
-    newest = (
-        marks.filter(F.col("epoch").isNotNull()).groupBy("mirror")
-        .agg(F.max(F.struct("epoch", "last_uid")).alias("m")).select("mirror", "m.epoch", "m.last_uid")
-    )
-    now_rules = rules.select("mirror", rule_fingerprint().alias("_fresh"))
-    return (
-        newest.join(stored.select("mirror", "fingerprint"), "mirror", "left").join(now_rules, "mirror", "left")
-        .withColumn("fingerprint", F.coalesce("fingerprint", "_fresh"))
-        .withColumn("heartbeat", F.lit(now).cast("long")).drop("_fresh")
-    )
+def _heartbeats(attempt: Attempt, records: DataFrame, now: int) -> DataFrame:
+    """Marks and fingerprints as they are; mirrors that had arrivals get a new heartbeat."""
+    before = attempt.store.read_batch("mirror_state", attempt.last).drop("batch_id")
+    beats = records.select("mirror").distinct().withColumn("_now", F.lit(now).cast("long"))
+    return before.join(beats, "mirror", "full").withColumn("heartbeat", F.coalesce("_now", "heartbeat")).drop("_now")
 
 
 def start_ingest(
     arrivals: DataFrame, specs: list[MirrorSpec], state: StateStore, checkpoint: str, name: str = "ingest",
     bodies: DataFrame | None = None, foreign: DataFrame | None = None, once: bool = False,
-    clock: Callable[[], float] = time.time,
+    clock: Callable[[], float] = time.time, folders: DataFrame | None = None, status: DataFrame | None = None,
+    progress: bool = False,
 ) -> StreamingQuery:
     """Stream arrivals into the mirror.
 
     Deduplication asks the ledger, so its horizon has no bound and needs no state store. Without a
-    ``bodies`` table the arrivals carry their own ``raw``.
+    ``bodies`` table the arrivals carry their own ``raw``. ``progress`` writes a report of every batch
+    below the state root.
     """
+    _resolved(specs_frame(arrivals.sparkSession, specs), specs, folders)
+    if progress:
+        arrivals.sparkSession.streams.addListener(ProgressLog(arrivals.sparkSession, f"{state.root}/progress"))
+
     def handle(batch: DataFrame, epoch: int) -> None:
         own = bodies
         if own is None:
-            own = batch.select("mirror", "folder", "uid", "raw").dropDuplicates(["mirror", "folder", "uid"])
-        ingest_batch(batch.sparkSession, specs, batch, f"{name}:{epoch}", state, own, int(clock()), foreign)
+            own = batch.select(*RECORD, "raw").dropDuplicates(RECORD)
+        ingest_batch(batch.sparkSession, specs, batch, f"{name}:{epoch}", state, own, int(clock()), foreign, folders, status)
 
+    if progress:
+        arrivals = observed(arrivals, "arrivals")
     writer = arrivals.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(handle)
     return with_trigger(writer, specs, once).start()
 

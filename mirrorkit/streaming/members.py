@@ -6,25 +6,15 @@ may arrive in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-import mirrorkit
 from mirrorkit.operators.membership import PLACE
 from mirrorkit.schemas import columns
 from mirrorkit.session import STATE_STORE
 
-# The state processor travels with its code, so Python workers need not have the package installed.
-cloudpickle.register_pickle_by_value(mirrorkit)
-
 EVENTS = columns("mirror string, folder string, key string, seq long, op string, uid long")
-FEED = columns("mirror string, folder string, key string, version long, seq long, op string, uid long")
 
 
 def last_events(events: DataFrame) -> DataFrame:
@@ -33,49 +23,28 @@ def last_events(events: DataFrame) -> DataFrame:
     return events.groupBy(*PLACE).agg(last).select(*PLACE, "e.seq", "e.op", "e.uid")
 
 
-def _last_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield rows.loc[rows.groupby(PLACE, sort=False)["seq"].idxmax(), EVENTS.names] if len(rows) else rows[EVENTS.names]
-
-
-class Presence(StatefulProcessor):
-    """Keeps the last event of a key and emits a row whenever the key enters or leaves its folder."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", columns("seq long, present boolean, version long"))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, present, version = self.last.get() if self.last.exists() else (-1, False, 0)
-        was, uid = present, None
-        for batch in rows:
-            top = batch.loc[batch["seq"].idxmax()]
-            if top["seq"] > seq:
-                seq, present, uid = int(top["seq"]), top["op"] == "add", int(top["uid"])
-        version += int(present != was)
-        self.last.update((seq, present, version))
-        if present != was:
-            row = (*key, version, seq, "add" if present else "remove", uid)
-            yield pd.DataFrame([row], columns=FEED.names)
-
-    def close(self) -> None:
-        pass
-
-
 def member_feed(events: DataFrame) -> DataFrame:
-    """Streaming change feed with the state kept by Spark.
+    """Change feed with the state kept by Spark: for update mode, a row for every key a batch touched.
 
-    Every task first keeps the last event per key of each Arrow batch, so a key with very many
-    events sends few rows to the one task that holds its state. Within a key, ``version`` orders the feed.
+    The state of a key is its last event, uid included, so a key that comes back under another uid is
+    told as well, and an event that arrives late changes nothing.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    combined = events.select(*EVENTS.names).mapInPandas(_last_of_batch, EVENTS)
-    return combined.groupBy(*PLACE).transformWithStateInPandas(
-        statefulProcessor=Presence(), outputStructType=FEED, outputMode="Append", timeMode="None"
-    )
+    return last_events(events)
+
+
+def start_feed(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write the change feed below ``path``. A batch overwrites its own directory, so a replay changes nothing."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = member_feed(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(handle)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def start_members(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """The same without Python state: every batch adds its last event per key to a log.
+    """The same without state: every batch adds its last event per key to a log.
 
     A batch overwrites its own directory, so a replay changes nothing. ``present_members`` folds the log.
     """
@@ -87,11 +56,5 @@ def start_members(events: DataFrame, path: str, checkpoint: str, once: bool = Tr
 
 
 def present_members(log: DataFrame) -> DataFrame:
-    """Members after a log of last events."""
+    """Members after a change feed or a log of last events."""
     return last_events(log).filter(F.col("op") == "add").select(*PLACE, "uid")
-
-
-def present_of_feed(feed: DataFrame) -> DataFrame:
-    """Members after a change feed."""
-    last = F.max(F.struct("version", "op", "uid")).alias("e")
-    return feed.groupBy(*PLACE).agg(last).filter(F.col("e.op") == "add").select(*PLACE, "e.uid")

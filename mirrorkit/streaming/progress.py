@@ -1,10 +1,10 @@
-"""Progress of running streams as rows."""
+"""Progress of running streams as rows on shared storage."""
 
 from __future__ import annotations
 
 import json
-from collections import deque
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -21,10 +21,10 @@ def observed(df: DataFrame, phase: str, **metrics: Column) -> DataFrame:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the newest progress reports; each report is a heartbeat of its stream."""
+    """Appends every progress report to a folder; each report is a heartbeat of its stream."""
 
-    def __init__(self, keep: int = 1000):
-        self._rows: deque = deque(maxlen=keep)
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self.path = spark, path
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -35,10 +35,24 @@ class ProgressLog(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         metrics = {phase: row.asDict() for phase, row in p.observedMetrics.items()}
-        self._rows.append((p.name or str(p.id), p.batchId, p.timestamp, p.numInputRows, json.dumps(metrics)))
+        values = (p.name or str(p.id), p.batchId, p.timestamp, p.numInputRows, json.dumps(metrics, default=str))
+        row = self._spark.range(1).select(*[
+            F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, PROGRESS.fields, strict=True)
+        ])
+        row.coalesce(1).write.mode("append").parquet(self.path)
 
     def onQueryTerminated(self, event) -> None:
         pass
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self._rows), PROGRESS)
+    def rows(self) -> DataFrame:
+        return read_progress(self._spark, self.path)
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """All reports written so far; a folder without any gives no rows."""
+    try:
+        return spark.read.schema(PROGRESS).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PROGRESS)

@@ -9,7 +9,19 @@ from mirrorkit import fixtures as fx
 from mirrorkit.operators import dedup, membership, routing
 from mirrorkit.plans.ingest import ingest_plan, plan_candidates
 from mirrorkit.sources.state import StateStore
-from mirrorkit.sources.tables import attach_bodies, read_raw_files, scan_messages, write_messages
+from mirrorkit.plans.membership import sync_membership, watch_state
+from mirrorkit.schemas import columns
+from mirrorkit.sources.tables import (
+    RECORD,
+    attach_bodies,
+    current_epoch,
+    read_raw_files,
+    scan_above_mark,
+    scan_messages,
+    within_spans,
+    write_bodies,
+    write_messages,
+)
 
 
 def text(df) -> str:
@@ -21,10 +33,11 @@ def lake(spark, sf_dir, tmp_path_factory):
     """Messages, bodies, ledger, members and destination keys as files."""
     root = str(tmp_path_factory.mktemp("lake"))
     write_messages(fx.arrivals(spark, sf_dir).drop("raw"), f"{root}/messages")
-    fx.arrivals(spark, sf_dir).select("mirror", "folder", "uid", "raw").write.parquet(f"{root}/bodies")
+    write_bodies(fx.arrivals(spark, sf_dir).select(*RECORD, "raw"), f"{root}/bodies")
     for name in ("ledger", "members_new", "dest_keys"):
         getattr(fx, name)(spark, sf_dir).write.parquet(f"{root}/{name}")
-    dedup.first_per_key(fx.keyed(spark, sf_dir)).write.parquet(f"{root}/first")
+    keyed = fx.keyed(spark, sf_dir).withColumn("folder", F.lit("All"))
+    dedup.first_record_per_key(keyed).write.parquet(f"{root}/first")
     return root
 
 
@@ -66,13 +79,13 @@ def test_small_candidates_leave_the_large_tables_unshuffled(spark, lake):
 
 
 def test_bodies_are_not_shuffled_for_a_small_plan(spark, lake):
-    accepted = spark.read.parquet(f"{lake}/first").withColumn("folder", F.lit("All"))
+    accepted = spark.read.parquet(f"{lake}/first")
     plan = text(attach_bodies(accepted, spark.read.parquet(f"{lake}/bodies")))
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
 def test_large_plans_sort_merge_instead(spark, lake, large_tables):
-    accepted = spark.read.parquet(f"{lake}/first").withColumn("folder", F.lit("All"))
+    accepted = spark.read.parquet(f"{lake}/first")
     plan = text(attach_bodies(accepted, spark.read.parquet(f"{lake}/bodies")))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
@@ -102,6 +115,42 @@ def test_member_log_is_cut_before_it_is_folded(spark, lake, tmp_path):
     assert plan.count("LeftSemi") == 2
 
 
+def test_incremental_scan_opens_the_bands_above_the_mark(spark, lake):
+    """Spans reach the scan as partition filters on the band; a pass over them reads what lies above the mark."""
+    spans = spark.createDataFrame([("m1", "All", 1, 100, 200)], "mirror string, folder string, epoch long, _from long, _to long")
+    rows = within_spans(spark.read.parquet(f"{lake}/messages"), _written(spark, spans))
+    plan = text(rows)
+    assert "dynamicpruning" in plan and "band" in plan.split("PartitionFilters")[1].split("]")[0]
+    uids = [r["uid"] for r in rows.collect()]
+    assert uids and min(uids) > 100 and max(uids) <= 200
+
+
+def _written(spark, rows):
+    from mirrorkit.session import stored
+
+    return stored(rows, "test")
+
+
+def test_no_shuffle_by_folder(spark, lake, sf_dir):
+    """Marks, kinds and first scans have a row per folder; they are broadcast, and records stay where they are."""
+    messages = spark.read.parquet(f"{lake}/messages").drop("band")
+    marks = messages.groupBy("mirror", "folder").agg(F.lit(1).alias("epoch"), F.max("uid").alias("last_uid"))
+    assert "hashpartitioning(mirror" not in text(scan_above_mark(messages, marks)).split("Initial Plan")[-1]
+    diff = membership.diff_by_key(fx.members_old(spark, sf_dir), fx.members_new(spark, sf_dir))
+    marked = text(membership.with_first_scan(diff, fx.members_old(spark, sf_dir))).split("Initial Plan")[-1]
+    assert "BroadcastHashJoin" in marked and "SortMergeJoin" not in marked
+
+
+def test_membership_scans_messages_once(spark, sf_dir):
+    """What a membership pass compares is written first: no result reads messages or the member log again."""
+    rows, state = fx.messages(spark, sf_dir), spark.createDataFrame([], columns("mirror string, folder string, epoch long, last_uid long"))
+    watch = routing.watch_list(fx.folders(spark, sf_dir), fx.specs(spark))
+    folders = watch_state(watch, current_epoch(rows), state)
+    change = sync_membership(rows, fx.members_old(spark, sf_dir), folders, watch, fx.specs(spark))
+    for part in (change.changes, change.rows):
+        assert "events.parquet" not in "".join(part.inputFiles())
+
+
 def test_raw_message_files(spark, tmp_path):
     (tmp_path / "a.eml").write_bytes(b"Message-Id: <a@x>\r\nSubject: hi\r\n\r\nbody")
     (tmp_path / "b.eml").write_bytes(b"Subject: no id\n\n\xff\xfe")

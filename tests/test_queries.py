@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from mirrorkit import fixtures as fx
 from mirrorkit.operators import dedup, membership, repair, routing
+from mirrorkit.oracles import ORACLES
+from mirrorkit.queries import QUERIES
 from mirrorkit.spec import MirrorSpec, specs_frame
 from tests.oracle import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 # Streams and whole passes take a while; their stories are tested on their own.
-SLOW = {"reconcile_pass", "stream_equals_batch", "stream_dedup", "stream_members"}
+SLOW = {"reconcile_pass", "reconcile_windows", "reconcile_missing_bodies", "seed_modes", "stream_equals_batch", "stream_dedup"}
+if os.environ.get("TEST_ALL_QUERIES"):
+    SLOW = set()
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +31,9 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(spark, duck, name):
-    problem = compare(spark, duck, name, queries()[name], oracle_sql()[name], SMALL)
+    problem = compare(spark, duck, name, QUERIES[name], ORACLES[name], SMALL)
     # A small table may leave a query without rows, as long as both sides agree.
     assert problem in (None, "both empty")
 

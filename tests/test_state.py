@@ -34,7 +34,7 @@ def view(state):
 
 
 # A pass takes its time even on a small mailbox; TEST_ALL_CRASHES=1 dies after each write there is.
-CRASH_POINTS = list(STATE_TABLES) if os.environ.get("TEST_ALL_CRASHES") else ["dest_messages", "ledger"]
+CRASH_POINTS = list(STATE_TABLES) if os.environ.get("TEST_ALL_CRASHES") else ["dest_messages", "missing_bodies", "ledger", "run_log"]
 
 
 class Crash(RuntimeError):
@@ -161,6 +161,71 @@ def test_upgrade_of_an_older_state(spark, state):
         upgrade(state, copied, meta, labels)
 
 
+def test_first_duplicate_with_a_body_is_copied_and_the_rest_wait(spark, state):
+    """An empty body hides no record behind it, and a key without any body is tried again."""
+    none = {MAIN: Folder((msg(1, "<a@x>", ""), msg(2, "<a@x>", "second"), msg(3, "<b@x>", ""), msg(4, "<c@x>")))}
+    log = reconcile(spark, [spec("m")], source(spark, {"m": none}), state, 1).first()
+    assert (log["copied"], log["missing_bodies"]) == (2, 1)
+    rows = {r["key"]: (r["uid"], r["raw"]) for r in state.read("dest_messages").collect()}
+    assert rows == {"<a@x>": (2, "second"), "<c@x>": (4, "raw-<c@x>")}
+    log = reconcile(spark, [spec("m")], source(spark, {"m": none}), state, 2).first()
+    assert (log["copied"], log["missing_bodies"]) == (0, 1)
+    now = with_msgs(none, MAIN, *none[MAIN].msgs[:2], msg(3, "<b@x>", "late"), none[MAIN].msgs[3])
+    log = reconcile(spark, [spec("m")], source(spark, {"m": now}), state, 3).first()
+    assert (log["copied"], log["missing_bodies"]) == (1, 0)
+    assert state.read("dest_messages").filter("key = '<b@x>'").first()["raw"] == "late"
+    assert state.read("ledger").count() == 3
+
+
+def test_one_writer_wins_a_batch(spark, state):
+    """Two attempts at one batch: the second is refused, and were both published, one of them counts."""
+    first, second = state.begin(), state.begin()
+    rows = spark.createDataFrame([("m", "k", False, 1, 1, "copy")], STATE_TABLES["ledger"])
+    for attempt in (first, second):
+        attempt.write("ledger", rows)
+    first.commit()
+    with pytest.raises(ValueError, match="already committed"):
+        second.commit()
+    # Storage that let both through: a row of the loser beside the winner's.
+    row = spark.sql(f"select '{second.name}' attempt, 0L members_base, 0L logs_base, 3 layout, '' tag")
+    row.write.mode("append").parquet(f"{state.root}/commits/batch_id=1")
+    assert state.commits().count() == 1 and state.read("ledger").count() == 1
+
+
+def test_a_writer_that_died_while_publishing_blocks_nobody(spark, state, tmp_path):
+    (tmp_path / "state" / "commits" / "batch_id=1" / "_temporary").mkdir(parents=True)
+    attempt = state.begin()
+    attempt.commit()
+    assert state.last() == (1, 0)
+
+
+def test_compaction_changes_nothing_but_the_files(spark, state):
+    """Moves, tags and a waiting queue, folded: the same view before and after, and old files are gone."""
+    rules = [spec("m", **RULES)]
+    reconcile(spark, rules, source(spark, {"m": BOX}), state, 1)
+    moved = with_msgs(with_msgs(BOX, "INBOX", MSGS[1]), "Work", *MSGS[3:5])
+    reconcile(spark, rules, source(spark, {"m": moved}), state, 2)
+    reconcile(spark, rules, source(spark, {"m": with_msgs(moved, "Work", MSGS[4])}), state, 3, apply_ops=False)
+
+    def queue():
+        return [(r["kind"], r["key"], r["folder"], r["op"]) for r in state.pending().orderBy("batch_id", "seq").collect()]
+
+    before = view(state), queue(), state.members().count(), state.read("ledger").count()
+    assert before[1]
+    assert state.compact() == 4
+    assert state.vacuum() > 0 and state.vacuum() == 0
+    assert (view(state), queue(), state.members().count(), state.read("ledger").count()) == before
+    log = reconcile(spark, rules, source(spark, {"m": with_msgs(moved, "Work", MSGS[4])}), state, 4, compact_every=1).first()
+    assert log["ops_applied"] == len(before[1]) and state.pending().isEmpty()
+    assert state.last() == (6, 6)
+
+
+def test_windows_and_full_scans_do_not_mix(spark, state):
+    with pytest.raises(ValueError, match="not both"):
+        reconcile(spark, [spec("m")], source(spark, {"m": BOX}), state, 1, full=True, max_uids=2)
+    assert reconcile_until_done(spark, [spec("m", uid_batch=4)], source(spark, {"m": {MAIN: Folder(MSGS)}}), state, 1) == 2
+
+
 def test_newer_layout_is_refused(spark, state):
     attempt = state.begin()
     attempt.commit(layout=99)

@@ -12,8 +12,9 @@ from mirrorkit.session import work_dir
 from mirrorkit.sources.state import StateStore
 from mirrorkit.spec import MirrorSpec
 from mirrorkit.streaming.arrivals import dedup_within, ingest_batch, read_arrivals, start_ingest, with_trigger
-from mirrorkit.streaming.members import member_feed, present_members, present_of_feed, start_members
-from mirrorkit.streaming.progress import ProgressLog, observed
+from mirrorkit.streaming.members import present_members, start_feed, start_members
+from mirrorkit.sources.tables import RECORD
+from mirrorkit.streaming.progress import ProgressLog, observed, read_progress
 from tests.world import MAIN, Folder, dest_rows, frame, msg, source, spec
 
 BOX = {
@@ -38,7 +39,7 @@ def test_stream_then_pass_equals_one_pass(spark, tmp_path):
     """Arrivals in several batches, replayed in part, then a snapshot pass: same destination as one pass."""
     specs = [spec("m", **RULES)]
     tables = source(spark, {"m": BOX})
-    arrivals = tables.messages.filter(F.col("folder") == MAIN).join(tables.bodies, ["mirror", "folder", "uid"])
+    arrivals = tables.messages.filter(F.col("folder") == MAIN).join(tables.bodies, RECORD)
     path = str(tmp_path / "in")
     for lo in (1, 5):
         arrivals.filter(F.col("uid").between(lo, lo + 5)).coalesce(1).write.mode("append").parquet(path)
@@ -52,7 +53,8 @@ def test_stream_then_pass_equals_one_pass(spark, tmp_path):
     keys = [r["key"] for r in state.read("ledger").collect()]
     assert len(keys) == len(set(keys)) == 7
     marks = state.read_batch("mirror_state", state.last()[0]).first()
-    assert (marks["epoch"], marks["last_uid"], marks["heartbeat"]) == (7, 10, 5)
+    # A stream has not seen what lies below its arrivals, so the mark and the fingerprint are not its to move.
+    assert (marks["epoch"], marks["last_uid"], marks["fingerprint"], marks["heartbeat"]) == (None, None, None, 5)
 
     log = reconcile(spark, [spec("m", **{**RULES, "keyword_prefix": "x"})], tables, state, 1).first()
     assert log["copied"] == 0
@@ -79,13 +81,11 @@ def test_member_feeds_agree_whatever_the_file_order(spark, tmp_path):
         return read_arrivals(spark, path, rows.schema, max_files=1)
 
     feed, log = str(tmp_path / "feed"), str(tmp_path / "log")
-    writer = member_feed(stream()).writeStream.format("parquet").trigger(availableNow=True)
-    writer.option("checkpointLocation", str(tmp_path / "ck1")).start(feed).awaitTermination()
+    start_feed(stream(), feed, str(tmp_path / "ck1")).awaitTermination()
     start_members(stream(), log, str(tmp_path / "ck2")).awaitTermination()
-    want = [("Home", "b"), ("Work", "a")]
-    assert sorted((r["folder"], r["key"]) for r in present_of_feed(spark.read.parquet(feed)).collect()) == want
-    members = present_members(spark.read.parquet(log))
-    assert sorted((r["folder"], r["key"], r["uid"]) for r in members.collect()) == [("Home", "b", 3), ("Work", "a", 9)]
+    for path in (feed, log):
+        members = present_members(spark.read.parquet(path))
+        assert sorted((r["folder"], r["key"], r["uid"]) for r in members.collect()) == [("Home", "b", 3), ("Work", "a", 9)]
     assert latest_member_uid(rows.withColumn("is_synth", F.lit(False))).count() == 4
 
 
@@ -96,7 +96,8 @@ def test_bounded_dedup_and_progress(spark, tmp_path):
     rows = [("m", "All", 1, i, f"<m{i % 3}@x>", "", "", base + timedelta(minutes=i), 1) for i in range(9)]
     path = str(tmp_path / "in")
     frame(spark, rows, schema).coalesce(1).write.parquet(path)
-    log = ProgressLog()
+    log = ProgressLog(spark, str(tmp_path / "progress"))
+    assert log.rows().isEmpty()
     spark.streams.addListener(log)
     try:
         stream = observed(read_arrivals(spark, path, schema), "arrivals", top=F.max("uid"))
@@ -108,10 +109,67 @@ def test_bounded_dedup_and_progress(spark, tmp_path):
     finally:
         spark.streams.removeListener(log)
     assert spark.read.parquet(out).count() == 3
-    reports = [r for r in log.rows(spark).collect() if r["query"] == "bounded"]
+    reports = [r for r in read_progress(spark, log.path).collect() if r["query"] == "bounded"]
     assert any('"n_rows": 9' in r["metrics"] and '"top": 8' in r["metrics"] for r in reports)
 
 
+def streamed(spark, state, specs, mailbox, tag="s:0", **more):
+    """One batch with the records of all folders, as a stream over all of them would bring it."""
+    tables = source(spark, {"m": mailbox})
+    batch = tables.messages.join(tables.bodies, RECORD)
+    ingest_batch(spark, specs, batch, tag, state, tables.bodies, 1, **more)
+    return {r["key"]: (r["uid"], r["raw"]) for r in state.read("dest_messages").collect()}
+
+
+def test_a_stream_copies_source_folder_records_only(spark, tmp_path):
+    """A key may lie under a smaller uid in another folder, where that uid is another record's in the main one."""
+    box = {MAIN: Folder((msg(2, "<other@x>"), msg(5, "<k@x>"))), "Work": Folder((msg(2, "<k@x>", "wrong"),), epoch=900)}
+    state = StateStore(spark, str(tmp_path / "state"))
+    got = streamed(spark, state, [spec("m")], box)
+    assert got == {"<other@x>": (2, "raw-<other@x>"), "<k@x>": (5, "raw-<k@x>")}
+    log = state.read("run_log").first()
+    assert (log["copied"], log["candidates"], log["missing_bodies"]) == (2, 2, 0)
+
+
+def test_a_stream_finds_its_source_by_role_and_epoch(spark, tmp_path):
+    """Two epochs share uids; the current one is told by the status table, and need not be the greater one."""
+    specs = [spec("m", source_folder="\\All")]
+    now, before = {MAIN: Folder((msg(1, "<a@x>"), msg(2, "<b@x>")), epoch=7, attrs=("\\All",))}, {
+        MAIN: Folder((msg(1, "<b@x>", "old b"), msg(2, "<a@x>", "old a")), epoch=8, attrs=("\\All",))}
+    tables, old = source(spark, {"m": now}), source(spark, {"m": before})
+    batch = tables.messages.join(tables.bodies, RECORD).unionByName(old.messages.join(old.bodies, RECORD))
+    state = StateStore(spark, str(tmp_path / "state"))
+    with pytest.raises(ValueError, match="folder listing"):
+        ingest_batch(spark, specs, batch, "s:0", state, batch, 1)
+    ingest_batch(spark, specs, batch, "s:0", state, batch.select(*RECORD, "raw"), 1, folders=tables.folders, status=tables.status)
+    assert {r["key"]: r["raw"] for r in state.read("dest_messages").collect()} == {"<a@x>": "raw-<a@x>", "<b@x>": "raw-<b@x>"}
+    # Without a status table both epochs count, and a key is still copied once, with a body of its own.
+    both = StateStore(spark, str(tmp_path / "both"))
+    ingest_batch(spark, specs, batch, "s:0", both, batch.select(*RECORD, "raw"), 1, folders=tables.folders)
+    rows = {r["key"]: r["raw"] for r in both.read("dest_messages").collect()}
+    assert both.read("ledger").count() == 2 and rows["<a@x>"] == "raw-<a@x>" and rows["<b@x>"] == "old b"
+
+
+def test_a_pass_after_a_stream_finds_what_the_stream_did_not_see(spark, tmp_path):
+    whole = {MAIN: Folder(tuple(msg(i, f"<m{i}@x>") for i in range(1, 7)))}
+    state = StateStore(spark, str(tmp_path / "state"))
+    streamed(spark, state, [spec("m", archive_on=True)], {MAIN: Folder(whole[MAIN].msgs[4:])})
+    foreign = [("m", "f1", "DEST", "<f@x>")]
+    log = reconcile(spark, [spec("m", archive_on=True)], source(spark, {"m": whole}, foreign), state, 2).first()
+    assert (log["copied"], log["skipped_dup"]) == (4, 2)
+    # The stream has not repaired anything, so the pass still does.
+    assert log["moved_to_archive"] == 1
+
+
+def test_a_stream_without_a_body_counts_it_and_keeps_it(spark, tmp_path):
+    state = StateStore(spark, str(tmp_path / "state"))
+    streamed(spark, state, [spec("m")], {MAIN: Folder((msg(1, "<a@x>"), msg(2, "<b@x>", "")))})
+    log = state.read("run_log").first()
+    assert (log["copied"], log["missing_bodies"]) == (1, 1)
+    streamed(spark, state, [spec("m")], {MAIN: Folder((msg(3, "<c@x>"),))}, tag="s:1")
+    assert [r["key"] for r in state.read_batch("missing_bodies", 2).collect()] == ["<b@x>"]
+
+
 def test_trigger_takes_the_shortest_interval():
     class Writer:
         def trigger(self, **how):

@@ -51,7 +51,7 @@ class Step:
 
 def spec(mirror: str, **rules) -> MirrorSpec:
     base = {"source_folder": MAIN, "dest_folder": "DEST", "archive_folder": "ARCHIVE", "sent_folder": "SENT-DEST",
-            "sent_source": "SENTSRC"}
+            "sent_source": "SENTSRC", "seed": "never"}
     return MirrorSpec(mirror, **{**base, **rules})
 
 
@@ -73,7 +73,7 @@ def source(spark: SparkSession, mailboxes: dict[str, dict[str, Folder]], foreign
             for m in folder.msgs:
                 row = {"mirror": mirror, "folder": name, "epoch": folder.epoch, **m}
                 messages.append(tuple(row[c] for c in MESSAGES.names))
-                bodies.append((mirror, name, m["uid"], m["raw"]))
+                bodies.append((mirror, name, folder.epoch, m["uid"], m["raw"]))
     theirs = None
     if foreign:
         rows = [(mirror, copy, folder, key, False, 0, "", "", None, 0, [], [], "") for mirror, copy, folder, key in foreign]
