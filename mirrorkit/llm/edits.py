@@ -16,7 +16,7 @@ step (modulo ``PERIOD``) and their classes, so it takes a third of a loop turn p
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -192,7 +192,7 @@ def _parts(bounds: list[tuple[int, int, int]]):
         import pandas as pd
 
         rows = zip(none.tolist(), doc_id.tolist(), tie.tolist(), strict=True)
-        return pd.Series([len(keys) - bisect_right(keys, (-n, d, t)) for n, d, t in rows], dtype="int32")
+        return pd.Series([len(keys) - bisect_left(keys, (-n, d, t)) for n, d, t in rows], dtype="int32")
 
     return F.pandas_udf(part, "int")
 
