@@ -87,7 +87,7 @@ def plan_mix(
     of = plan.select(
         F.col("source").alias("s"), "source_size", "place", "target",
         F.ceil(bins * F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy())).cast("double").alias("bins"),
-        F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(epochs)).cast("int").alias("copies"),
+        F.least(F.ceil(F.try_divide("target", "source_size")), F.lit(epochs)).cast("int").alias("copies"),
         F.sum("target").over(Window.partitionBy()).alias("budget"),
     ).filter(F.col("target") > 0)
     spread = F.col("h").cast("double") / F.lit(float(1 << 64)) + 0.5
