@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,12 +87,8 @@ def fit_text_model(sample: list[tuple[str, str]], least_rows: int = LEAST_ROWS)
 
     def fitted(named: list[tuple[str, str]]) -> TextModel:
         counts = np.zeros((len(languages), 2 * BUCKETS))
-        texts = defaultdict(list)
-        for name, text in named:
-            texts[name].append(grams(text))
-        for k, name in enumerate(languages):
-            if texts[name]:
-                counts[k] = np.bincount(np.concatenate(texts[name]), minlength=2 * BUCKETS)
+        for name, text in named:  # one text at a time: all n-grams together would take far more room than the texts
+            counts[languages.index(name)] += np.bincount(grams(text), minlength=2 * BUCKETS)
         return TextModel(languages, counts)
 
     first = fitted(sample)
@@ -141,9 +137,14 @@ def text_evidence(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame,
     ``rows`` has ``id, key, declared, suffix, host, domain, text``.
     """
     small_batches(rows.sparkSession)
+    # About twice as many rows as wanted are left before they are sorted, however many there are in all:
+    # sorting sends each task's first rows to the driver.
+    order = F.xxhash64("text", F.lit(5))
+    share = min(1.0, 2 * fit_rows / max(rows.count(), 1))
+    near = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
     drawn = (
-        rows.filter(F.col("declared").isNotNull() & (F.length("text") <= FIT_CHARS))
-        .select("declared", "text", F.xxhash64("text", F.lit(5)).alias("order")).orderBy("order", "declared").limit(fit_rows)
+        rows.filter(F.col("declared").isNotNull() & (F.length("text") <= FIT_CHARS) & near)
+        .select("declared", "text", order.alias("order")).orderBy("order", "declared").limit(fit_rows)
     )
     model = fit_text_model(sorted((r.declared, r.text) for r in drawn.collect()))  # at most fit_rows texts
     kinds = "id long, key struct<a:long,b:long>, declared string, suffix string, host string, domain string, known array<double>"
