@@ -151,78 +151,89 @@ def text_evidence(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame,
     return stored(rows.mapInArrow(lambda batches: _score(batches, model), kinds), "language-evidence"), model.languages
 
 
-def _with_softmax(rows: DataFrame, mark: str, out: str, n: int) -> DataFrame:
-    """``out0 ...`` from the logs ``mark0 ...``; in steps, so that the generated code stays small."""
-    logs = [F.col(f"{mark}{k}") for k in range(n)]
-    rows = rows.withColumn("top", F.greatest(*logs) if n > 1 else logs[0])
-    rows = rows.withColumns({f"{out}{k}": F.exp(x - F.col("top")) for k, x in enumerate(logs)})
-    rows = rows.withColumn("all", sum((F.col(f"{out}{k}") for k in range(1, n)), F.col(f"{out}0")))
-    return rows.withColumns({f"{out}{k}": F.col(f"{out}{k}") / F.col("all") for k in range(n)}).drop("top", "all", *[f"{mark}{k}" for k in range(n)])
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    parts = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return parts / parts.sum(axis=1, keepdims=True)
+
+
+def _matrix(column, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A column of arrays of n numbers as a matrix, nulls as zeros, and which rows are null."""
+    gone = np.asarray(column.is_null())
+    out = np.zeros((len(column), n))
+    if not gone.all():
+        out[~gone] = np.asarray(column.drop_null().flatten()).reshape(-1, n)
+    return out, gone
+
+
+def _posteriors(batches, flat: list[float]):
+    """Text posteriors ``r``; a text without letters tells nothing and counts for nothing."""
+    import pyarrow as pa
+
+    for batch in batches:
+        known, blank = _matrix(batch.column("known"), len(flat))
+        share = _softmax(known + np.array(flat))
+        share[blank] = 0
+        keep = [name for name in batch.schema.names if name != "known"]
+        arrays = [batch.column(name) for name in keep]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(known + np.array(flat))), pa.array(blank), pa.array(list(share))], names=[*keep, "k", "blank", "r"])
+
+
+def _fused(batches, languages: list[str], total: list[float], kinds: dict[str, int]):
+    """Adds the logs of all evidence, each group's sums without the row's own share."""
+    import pyarrow as pa
+
+    n, total = len(languages), np.array(total)
+    prior = (total + EVIDENCE_WEIGHT) / (total.sum() + n * EVIDENCE_WEIGHT)
+    for batch in batches:
+        logs, _ = _matrix(batch.column("k"), n)
+        share, _ = _matrix(batch.column("r"), n)
+        others = {}
+        for name in ("declared", "suffix", "domain", "host"):
+            sums, gone = _matrix(batch.column(f"by_{name}"), n)
+            others[name] = np.maximum(sums - share, 0), gone
+        domain = (others["domain"][0] + DOMAIN_WEIGHT * prior) / (others["domain"][0].sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
+        host = (others["host"][0] + HOST_WEIGHT * domain) / (others["host"][0].sum(axis=1, keepdims=True) + HOST_WEIGHT)
+        logs = logs + np.log(host)
+        for name in ("declared", "suffix"):
+            sums, gone = others[name]
+            rate = (sums + EVIDENCE_WEIGHT) / (np.maximum(total - 1, 0) + EVIDENCE_WEIGHT * kinds[name])
+            logs = logs + np.where(gone[:, None], 0.0, np.log(rate))
+        post = _softmax(logs)
+        blank = np.asarray(batch.column("blank"))
+        best = post.argmax(axis=1)  # ties go to the language that is first by name
+        names = np.array(languages, dtype=object)
+        yield pa.RecordBatch.from_arrays([
+            batch.column("id"), batch.column("key"), batch.column("declared"),
+            pa.array(np.where(blank, UNKNOWN, names[share.argmax(axis=1)]), pa.string()),
+            pa.array(np.where(blank, UNKNOWN, names[best]), pa.string()),
+            pa.array(np.where(blank, 0.0, post[np.arange(len(best)), best])),
+        ], names=["id", "key", "declared", "text_language", "language", "confidence"])
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
-    """``id, key, declared, text_language, language, confidence`` from a stored evidence table."""
+    """``id, key, declared, text_language, language, confidence`` from a stored evidence table.
+
+    Spark groups, sums and joins; the arithmetic on a row's few numbers is done on Arrow batches.
+    """
     n = len(languages)
     flat = [math.log(UNKNOWN_PRIOR) if name == UNKNOWN else 0.0 for name in languages]
-    # Text posteriors; a text without letters tells nothing and counts for nothing.
-    rows = evidence.withColumns({f"k{k}": F.coalesce(F.get("known", F.lit(k)), F.lit(0.0)) + flat[k] for k in range(n)})
-    rows = _with_softmax(rows.withColumns({f"c{k}": F.col(f"k{k}") for k in range(n)}), "c", "r", n)
-    blank = F.col("known").isNull()
-    rows = stored(rows.select(
-        "id", "key", "declared", "suffix", "host", "domain", blank.alias("blank"), *[f"k{k}" for k in range(n)],
-        *[F.when(blank, 0.0).otherwise(F.col(f"r{k}")).alias(f"r{k}") for k in range(n)],
-    ), "language-posteriors")
-    sums = [F.sum(f"r{k}") for k in range(n)]
-    total = rows.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"t{k}") for k, s in enumerate(sums)]).first()  # one row
-    mass = sum(total) + n * EVIDENCE_WEIGHT
-    prior = [(total[k] + EVIDENCE_WEIGHT) / mass for k in range(n)]
-
-    def by(name: str, mark: str) -> DataFrame:
-        return stored(
-            rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"{mark}_of"))
-            .agg(*[s.alias(f"{mark}{k}") for k, s in enumerate(sums)], F.count(F.lit(1)).alias(f"{mark}_n")), f"language-by-{name}",
-        )
-
-    parts = {"declared": ("d", by("declared", "d")), "suffix": ("s", by("suffix", "s")), "domain": ("o", by("domain", "o")), "host": ("h", by("host", "h"))}
-    kinds = {name: max(1, parts[name][1].count()) for name in ("declared", "suffix")}
-    for name, (mark, counts) in parts.items():
-        rows = rows.join(counts, F.col(name) == F.col(f"{mark}_of"), "left")
-
-    # What the others of each group add to each language.
-    rows = rows.withColumns({
-        f"w{mark}{k}": F.greatest(F.coalesce(F.col(f"{mark}{k}"), F.lit(0.0)) - F.col(f"r{k}"), F.lit(0.0))
-        for mark in "dsoh" for k in range(n)
-    }).drop(*[f"{mark}{k}" for mark in "dsoh" for k in range(n)])
-    rows = rows.withColumns({f"{mark}_all": sum((F.col(f"w{mark}{k}") for k in range(1, n)), F.col(f"w{mark}0")) for mark in "oh"})
-    rows = rows.withColumns({
-        f"p{k}": (F.col(f"wo{k}") + DOMAIN_WEIGHT * prior[k]) / (F.col("o_all") + DOMAIN_WEIGHT) for k in range(n)
-    })
-    rows = rows.withColumns({
-        f"p{k}": (F.col(f"wh{k}") + HOST_WEIGHT * F.col(f"p{k}")) / (F.col("h_all") + HOST_WEIGHT) for k in range(n)
-    })
-
-    def seen(name: str, mark: str, k: int) -> Column:
-        rate = (F.col(f"w{mark}{k}") + EVIDENCE_WEIGHT) / (max(total[k] - 1, 0) + EVIDENCE_WEIGHT * kinds[name])
-        return F.when(F.col(name).isNotNull(), F.log(rate)).otherwise(0.0)
-
-    rows = rows.select("id", "key", "declared", "blank", *[f"r{k}" for k in range(n)], *[
-        (F.col(f"k{k}") + F.log(f"p{k}") + seen("declared", "d", k) + seen("suffix", "s", k)).alias(f"l{k}") for k in range(n)
-    ])
-    rows = _with_softmax(rows, "l", "p", n)
-
-    def best(values: list[Column]) -> Column:
-        # Ties go to the language that is first by name.
-        return F.array_max(F.array(*[F.struct(v.alias("p"), F.lit(-k).alias("k")) for k, v in enumerate(values)]))
-
-    names = F.array(*[F.lit(name) for name in languages])
-    told = rows.select(
-        "id", "key", "declared", "blank", best([F.col(f"r{k}") for k in range(n)]).alias("t"), best([F.col(f"p{k}") for k in range(n)]).alias("b"),
+    names = "id long, key struct<a:long,b:long>, declared string, suffix string, host string, domain string"
+    rows = stored(
+        evidence.mapInArrow(lambda batches: _posteriors(batches, flat), f"{names}, k array<double>, blank boolean, r array<double>"),
+        "language-posteriors",
     )
-    return told.select(
-        "id", "key", "declared",
-        F.when(~F.col("blank"), F.get(names, -F.col("t.k"))).otherwise(UNKNOWN).alias("text_language"),
-        F.when(~F.col("blank"), F.get(names, -F.col("b.k"))).otherwise(UNKNOWN).alias("language"),
-        F.when(~F.col("blank"), F.col("b.p")).otherwise(0.0).alias("confidence"),
+    sums = F.array(*[F.coalesce(F.sum(F.get("r", F.lit(k))), F.lit(0.0)) for k in range(n)])
+    total = list(rows.agg(sums.alias("t")).first()["t"])  # one row
+    kinds = {}
+    for name in ("declared", "suffix", "domain", "host"):
+        counts = stored(
+            rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"{name}_of")).agg(sums.alias(f"by_{name}")), f"language-by-{name}",
+        )
+        kinds[name] = max(1, counts.count())
+        rows = rows.join(counts, F.col(name) == F.col(f"{name}_of"), "left").drop(f"{name}_of")
+    return rows.mapInArrow(
+        lambda batches: _fused(batches, languages, total, kinds),
+        "id long, key struct<a:long,b:long>, declared string, text_language string, language string, confidence double",
     )
 
 
