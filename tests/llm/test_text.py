@@ -119,7 +119,7 @@ def test_base_spans_by_brute_force(spark, odd, none):
         assert [rows[i][f"n_{k}"] for k, _ in BASE] == [sum(x[0] == k for x in want) for k, _ in BASE]
     got = pii_rows(odd)
     assert got.count() == len(ODD) and pii_rows(none).count() == 0
-    assert got.filter("doc_id = 6").first()["spans"] == "ip:28:39,card:44:63"
+    assert got.filter("doc_id = 6").first()["spans"] == "ip:23:34,card:39:58"
 
 
 def test_contexts_of_seeds_find_other_identifiers(spark):
