@@ -7,9 +7,10 @@
 * The host: its own mix of languages, smoothed toward that of its domain, which is smoothed toward the
   whole table's. A document's own share is taken out of its host's and domain's counts.
 
-The n-gram models are fitted on a bounded sample (``FIT_ROWS`` rows, lowest hash first), by declared
-language, and refitted once with the languages that the first models see. All other tables are grouped
-sums of text posteriors over all rows. Texts are read once; what follows works on a narrow table of
+Every declared language that has text with a letter is modelled, however small its share of the table. The
+n-gram models are fitted on a bounded sample of each (about ``FIT_TEXTS`` texts, lowest hash first), by
+declared language, and refitted once with the languages that the first models see. A model takes 1 MB of the
+driver and 0.5 MB of a Python worker. All other tables are grouped sums of text posteriors over all rows. Texts are read once; what follows works on a narrow table of
 likelihoods, where the small tables are joined by key, broadcast only while they are small.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 from mirrorkit.llm.common import free_name, small_batches, table, text_key
 from mirrorkit.session import stored
 
-FIT_ROWS = 4000
+FIT_TEXTS = 1000
 FIT_CHARS = 20_000
-LEAST_ROWS = 20
 BUCKETS = 1 << 16
 ADDED = 0.5
 TEMPER = 0.1
@@ -42,6 +42,7 @@ LEAST_CONFIDENCE = 0.5
 # Only letters tell: ASCII bytes that are none become spaces; bytes of longer code points stay.
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 _SPACES = re.compile(rb" +")
+_LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 
 
 def grams(text: str) -> np.ndarray:
@@ -60,12 +61,10 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray) -> None:
         self.languages = [*languages, UNKNOWN]
-        parts = []
-        for half in (counts[:, :BUCKETS], counts[:, BUCKETS:]):
-            parts.append(np.log((half + ADDED) / (half.sum(axis=1, keepdims=True) + ADDED * BUCKETS)))
-        known = np.concatenate(parts, axis=1)
-        flat = np.full((1, 2 * BUCKETS), -math.log(BUCKETS))
-        self.table = np.ascontiguousarray(np.concatenate([known, flat]).T.astype(np.float32))
+        self.table = np.full((2 * BUCKETS, len(languages) + 1), -math.log(BUCKETS), dtype=np.float32)
+        for k, row in enumerate(counts):
+            for half in (slice(0, BUCKETS), slice(BUCKETS, None)):
+                self.table[half, k] = np.log((row[half] + ADDED) / (row[half].sum() + ADDED * BUCKETS))
 
     def likelihoods(self, text: str) -> list[float] | None:
         """Tempered log likelihoods, greatest 0; None without letters."""
@@ -79,26 +78,25 @@ class TextModel:
         return (total - total.max()).tolist()
 
 
-def fit_text_model(sample: list[tuple[str, str]], least_rows: int = LEAST_ROWS) -> TextModel:
-    """Models of all languages declared by at least ``least_rows`` of the (declared, text) rows."""
-    rows = Counter(declared for declared, _ in sample)
-    languages = sorted(name for name, n in rows.items() if n >= least_rows) or sorted(rows)
-    sample = [(declared, text) for declared, text in sample if declared in languages]
+def fit_text_model(languages: list[str], sample: Callable[[], Iterable[tuple[str, str]]]) -> TextModel:
+    """Models of all ``languages``; each call of ``sample`` gives the same (declared, text) rows, one at a time."""
+    def count(text: str) -> np.ndarray:  # one text at a time: all n-grams together would take far more room than the texts
+        return np.bincount(grams(text), minlength=2 * BUCKETS).astype(np.uint32)
 
-    def fitted(named: list[tuple[str, str]]) -> TextModel:
-        counts = np.zeros((len(languages), 2 * BUCKETS))
-        for name, text in named:  # one text at a time: all n-grams together would take far more room than the texts
-            counts[languages.index(name)] += np.bincount(grams(text), minlength=2 * BUCKETS)
-        return TextModel(languages, counts)
-
-    first = fitted(sample)
-    seen = []
-    for declared, text in sample:
+    told = np.zeros((len(languages), 2 * BUCKETS), dtype=np.uint32)
+    if not languages:
+        return TextModel(languages, told)
+    for declared, text in sample():
+        told[languages.index(declared)] += count(text)
+    first, seen = TextModel(languages, told), np.zeros_like(told)
+    for _, text in sample():
         known = first.likelihoods(text)
         if known is not None:
-            best = first.languages[int(np.argmax(known[:-1]))] if len(known) > 1 else declared
-            seen.append((best, text))
-    return fitted(seen) if seen else first
+            seen[int(np.argmax(known[:-1]))] += count(text)
+    # A language that the first models see nowhere keeps its first model.
+    lost = ~seen.any(axis=1)
+    seen[lost] = told[lost]
+    return TextModel(languages, seen)
 
 
 def normal_language(value: Column) -> Column:
@@ -131,22 +129,34 @@ def _score(batches, model: TextModel):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.float64()))], names=[*names, "known"])
 
 
-def text_evidence(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[str]]:
+def fit_sample(rows: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, list[str]]:
+    """(stored ``declared, text``, about ``fit_texts`` texts or all there are of each language; the languages).
+
+    Of a language with n rows the texts whose hashes lie in the lowest fit_texts / n share are drawn, so
+    nothing is ranked and no language has a task of its own. Copies of a text are drawn once.
+    """
+    text = F.substring("text", 1, FIT_CHARS)
+    told = rows.select("declared", text.alias("text")).filter(
+        F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN) & F.col("text").rlike(_LETTER),
+    ).withColumn("order", F.xxhash64("text", F.lit(5)))
+    counts = stored(told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")), "language-declared")  # a row per language
+    near = F.col("order") / F.lit(2.0 ** 64) + 0.5 <= F.lit(float(fit_texts)) / F.col("n")
+    drawn = (
+        told.join(counts, "declared").filter(near)
+        .groupBy("declared", text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text")).select("declared", "text")
+    )
+    return stored(drawn, "language-sample"), sorted(r.declared for r in counts.collect())
+
+
+def text_evidence(rows: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, list[str]]:
     """(stored rows without texts but with likelihoods ``known``, the languages).
 
     ``rows`` has ``id, key, declared, suffix, host, domain, text``.
     """
     small_batches(rows.sparkSession)
-    # About twice as many rows as wanted are left before they are sorted, however many there are in all:
-    # sorting sends each task's first rows to the driver.
-    order = F.xxhash64("text", F.lit(5))
-    share = min(1.0, 2 * fit_rows / max(rows.count(), 1))
-    near = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
-    drawn = (
-        rows.filter(F.col("declared").isNotNull() & (F.length("text") <= FIT_CHARS) & near)
-        .select("declared", "text", order.alias("order")).orderBy("order", "declared").limit(fit_rows)
-    )
-    model = fit_text_model(sorted((r.declared, r.text) for r in drawn.collect()))  # at most fit_rows texts
+    sample, languages = fit_sample(rows, fit_texts)
+    # The driver holds one partition of the sample at a time.
+    model = fit_text_model(languages, lambda: ((r.declared, r.text) for r in sample.toLocalIterator()))
     kinds = "id long, key struct<a:long,b:long>, declared string, suffix string, host string, domain string, known array<double>"
     return stored(rows.mapInArrow(lambda batches: _score(batches, model), kinds), "language-evidence"), model.languages
 
@@ -237,9 +247,9 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     )
 
 
-def identified(rows: DataFrame, wanted: tuple[str, ...] | None = None, least: float = LEAST_CONFIDENCE, fit_rows: int = FIT_ROWS) -> DataFrame:
+def identified(rows: DataFrame, wanted: tuple[str, ...] | None = None, least: float = LEAST_CONFIDENCE, fit_texts: int = FIT_TEXTS) -> DataFrame:
     """The fused result with ``kept``: a wanted language (all of them by default) with enough confidence."""
-    evidence, languages = text_evidence(rows, fit_rows)
+    evidence, languages = text_evidence(rows, fit_texts)
     good = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least)
     if wanted is not None:
         good = good & F.col("language").isin(*wanted)
@@ -262,7 +272,8 @@ def document_languages(docs: DataFrame, wanted: tuple[str, ...] | None = None, l
     stands for the host. A text without letters (null and empty ones too) is ``und`` with confidence 0 and
     not kept; so is a text that the flat model fits best. A null ``lang`` or ``source`` is no evidence. A
     null ``doc_id`` stays null; equal rows get equal results, each its own. An empty table, or one without
-    declared languages, gives every row ``und``. Texts count whole.
+    declared languages, gives every row ``und``. Texts count whole. Every language declared by a text with
+    a letter in its first ``FIT_CHARS`` characters is modelled; ``und`` declares none.
     """
     told = identified(_document_rows(docs), wanted, least)
     return told.select(F.col("id").alias("doc_id"), "declared", "text_language", "language", "confidence", "kept")

@@ -175,6 +175,23 @@ def test_language_by_text_even_where_declared_wrongly(spark, odd, none):
     assert document_languages(none).count() == 0 and language_filter(none).count() == 0
 
 
+def rare_corpus(rng):
+    """12,000 rows, 30 of them in a language of its own words."""
+    fi = ["ja", "että", "mutta", "kanssa", "täällä", "talossa", "yhdessä"]
+    rows = [(i, t, lang, source, n) for j in range(100) for i, t, lang, source, n in [(j * 120 + r[0], *r[1:]) for r in corpus(rng)]]
+    for i in range(0, 12_000, 400):
+        rows[i] = (i, sentences(rng, fi, 30), "fi", "rare", 0)
+    return rows
+
+
+def test_language_of_a_small_share_is_modelled(spark):
+    rows = rare_corpus(np.random.default_rng(4))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in document_languages(docs).collect()}
+    assert {(got[i]["text_language"], got[i]["language"], got[i]["kept"]) for i in range(0, 12_000, 400)} == {("fi", "fi", True)}
+    assert language_filter(docs).filter("lang = 'fi'").count() == 30
+
+
 def test_hosts_decide_where_texts_do_not(spark):
     """A text that fits both languages goes with its host's others; with no host evidence, with what is declared."""
     rng = np.random.default_rng(2)
