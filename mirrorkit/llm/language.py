@@ -132,14 +132,14 @@ def _score(batches, model: TextModel):
 def fit_sample(rows: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, list[str]]:
     """(stored ``declared, text``, about ``fit_texts`` texts or all there are of each language; the languages).
 
-    Of a language with n rows the texts whose hashes lie in the lowest fit_texts / n share are drawn, so
-    nothing is ranked and no language has a task of its own. Copies of a text are drawn once.
+    Of a language with about n distinct texts those whose hashes lie in the lowest fit_texts / n share are
+    drawn, so nothing is ranked and no language has a task of its own. Copies of a text count once.
     """
     text = F.substring("text", 1, FIT_CHARS)
     told = rows.select("declared", text.alias("text")).filter(
         F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN) & F.col("text").rlike(_LETTER),
     ).withColumn("order", F.xxhash64("text", F.lit(5)))
-    counts = stored(told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")), "language-declared")  # a row per language
+    counts = stored(told.groupBy("declared").agg(F.approx_count_distinct("order").alias("n")), "language-declared")  # a row per language
     near = F.col("order") / F.lit(2.0 ** 64) + 0.5 <= F.lit(float(fit_texts)) / F.col("n")
     drawn = (
         told.join(counts, "declared").filter(near)

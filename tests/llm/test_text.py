@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorkit.llm import licenses, quality, toxicity
-from mirrorkit.llm.language import document_languages, language_filter, page_languages
+from mirrorkit.llm.language import _document_rows, document_languages, fit_sample, language_filter, page_languages
 from mirrorkit.llm.licenses import license_scan
 from mirrorkit.llm.mixing import mix, mix_shares
 from mirrorkit.llm.pii import Bootstrap, find_spans, pii_rows, redact
@@ -192,6 +192,24 @@ def test_language_of_a_small_share_is_modelled(spark):
     assert language_filter(docs).filter("lang = 'fi'").count() == 30
 
 
+def test_copies_take_no_place_in_the_language_sample(spark):
+    """60,000 rows of 24 texts: each text is drawn once, and each language is known."""
+    rng = np.random.default_rng(6)
+    texts = [(lang, sentences(rng, words, 30)) for words, lang in zip((
+        ["the", "with", "house"], ["der", "mit", "straße"], ["ja", "että", "kanssa"]), ("en", "de", "fi"), strict=True) for _ in range(8)]
+    few = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "at int, text string, lang string")
+    # The first text is hot: a third of all rows.
+    at = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 24).cast("int")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), at.alias("at"), F.lit("s").alias("source"), F.lit(0).alias("n_chars")).join(few, "at")
+    sample, languages = fit_sample(_document_rows(docs))
+    assert languages == ["de", "en", "fi"]
+    drawn = sorted((r.declared, r.text) for r in sample.collect())
+    present = {(r.lang, r.text) for r in docs.select("lang", "text").distinct().collect()}
+    assert len(present) > 16 and drawn == sorted(present)
+    told = document_languages(docs).groupBy("declared", "text_language", "kept").count().collect()
+    assert sorted((r["declared"], r["text_language"], r["kept"]) for r in told) == [(x, x, True) for x in languages]
+
+
 def test_hosts_decide_where_texts_do_not(spark):
     """A text that fits both languages goes with its host's others; with no host evidence, with what is declared."""
     rng = np.random.default_rng(2)
