@@ -1,8 +1,10 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a window more.
 
 A base dictionary is trained on ordinary text. Letter sequences that toxic documents use in far more
-contexts than ordinary ones are found by their information gain; the words that hold them follow the base
-in the toxic dictionary, and as many neutral bytes follow it in the ordinary one. A text is cut into
+contexts than ordinary ones are found by their information gain; the words that hold them, all of them,
+follow the base in the toxic dictionary, and as many neutral bytes follow it in the ordinary one. No
+dictionary is trained on toxic text: most of a toxic document is ordinary, and the README has the figures
+of both ways. So a margin mostly tells whether a window holds a telling word. A text is cut into
 windows of a few words, each is compressed with both, and the margins in bytes are compared with margins
 of labelled documents that took no part in building the dictionaries: a table of log likelihood ratios,
 the largest margins and their density become a probability by a weighted logistic fit.
@@ -29,12 +31,11 @@ FIT_CHARS = 20_000
 WINDOW = 6
 LEVEL = 3
 BASE_BYTES = 100_000
-TOXIC_BYTES = 4096
 THRESHOLD = 0.3
 
-# A sequence tells if toxic text has it RATIO times as often and its gain is LEAST_GAIN of the best one's.
+# A sequence tells if toxic text has it RATIO times as often and its gain is at least LEAST_GAIN, whatever others have.
 RATIO = 20
-LEAST_GAIN = 0.05
+LEAST_GAIN = 20.0
 LEAST_CONTEXTS = 4
 _EDGE = 20
 _NOT_WORD = re.compile(r"\W+")
@@ -79,13 +80,11 @@ def telling_words(toxic: list[str], ordinary: list[str]) -> list[str]:
         for sequence in _sequences(word):
             if sequence in count:
                 against[sequence] += n
-    gain = {}
+    telling = set()
     for sequence, n in count.items():
         ratio = (n / n_mine) / ((against[sequence] + 1) / n_other)
-        if ratio > RATIO:
-            gain[sequence] = n * np.log(ratio)
-    best = max(gain.values(), default=0)
-    telling = {sequence for sequence, g in gain.items() if g >= LEAST_GAIN * best}
+        if ratio > RATIO and n * np.log(ratio) >= LEAST_GAIN:
+            telling.add(sequence)
     return sorted((w for w in mine if not telling.isdisjoint(_sequences(w))), key=lambda w: (mine[w], w))
 
 
@@ -165,7 +164,7 @@ def fit(sample: list[tuple[int, str, int]], shares: dict[int, float]) -> Model:
         base = zstandard.train_dictionary(BASE_BYTES, plain[:: max(1, len(plain) // 40_000)]).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         base = b"".join(plain)[-BASE_BYTES:]
-    telling = f" {' '.join(telling_words(parts[0, 1], parts[0, 0]))} ".encode("utf-8", "surrogatepass")[-TOXIC_BYTES:]
+    telling = f" {' '.join(telling_words(parts[0, 1], parts[0, 0]))} ".encode("utf-8", "surrogatepass")
     model = Model(base + b"\0" * len(telling), base + telling)
     codecs = model.codecs()
     margins = {toxic: [model.margins(codecs, text) for text in parts[1, toxic]] for toxic in (0, 1)}

@@ -255,6 +255,21 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.toxicity(none, known).count() == 0
 
 
+def test_rare_toxic_words_tell_beside_very_common_ones():
+    """One word in 2000 contexts, 700 in 5 each: more than 4096 bytes, each far below the first one's evidence."""
+    rare = ["".join(chr(97 + (k // 26 ** j * 7 + j) % 26) for j in range(3)) * 3 for k in range(700)]
+    toxic_texts = [" ".join(f"a{i} vreksnip" for i in range(j, 2000, 8)) for j in range(4)]
+    toxic_texts += [" ".join(f"b{k % 97} {word} c{j}" for k, word in enumerate(rare)) for j in range(5)]
+    ordinary = [" ".join(f"{x}{(i * 7 + j) % 2000}" for i in range(4000) for x in "abc") for j in range(20)]
+    alone = toxic_texts[:4] + [f"b{j} grolbwarz c{j}" for j in range(5)]
+    assert "grolbwarz" in toxicity.telling_words(alone, ordinary)  # 5 contexts beside 2000
+    telling = toxicity.telling_words(toxic_texts, ordinary)
+    assert "vreksnip" in telling and set(rare) <= set(telling)
+    sample = [(half, text, toxic) for half in (0, 1) for toxic, texts in ((1, toxic_texts), (0, ordinary)) for text in texts]
+    held = toxicity.fit(sample, {0: 1.0, 1: 1.0}).toxic.decode("utf-8", "replace").split()
+    assert set(rare) <= set(held)
+
+
 # Mixing
 
 
