@@ -2,8 +2,10 @@
 
 1. Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers; checks on ranges,
    digit counts and the Luhn sum drop matches that are none. What is left are the seeds.
-2. Every seed and every other word that holds a digit or an at sign is an occurrence with its context:
-   the two words before and the one after. Contexts make lexical patterns of three forms.
+2. Every seed, every other word that holds a digit or an at sign and every run of such words on a line is
+   an occurrence with its context: the two words before and the one after. A run stands for its first word,
+   which has the same words before it; next to a seed, the other words of a run have the context of the run
+   as well. Contexts make lexical patterns of three forms.
 3. Patterns and instances form a graph. A pattern's confidence for a kind is the mean score of its
    distinct instances (unknown ones count as zero); patterns with enough support and confidence pass
    their confidence on to their unknown instances. This is repeated a few times.
@@ -35,6 +37,8 @@ _PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 # A word with a digit or an at sign.
 MARKED = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+# Two or more of them on one line.
+RUN = rf"{MARKED}(?:[\x20\x09]++[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+)++"
 
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 OCCURRENCE = "array<struct<kind:int,start:int,end:int,surface:string,left2:string,left1:string,right1:string>>"
@@ -81,7 +85,7 @@ def _is_kind(kind: int, value: Column) -> Column:
 
 
 def _places(text: Column, pattern: str, kind: Column, good) -> Column:
-    """Matches of a pattern with places in code points and the words around them.
+    """Matches of a pattern with places in code points and the words around them, other matches included.
 
     The texts between matches and the matches alternate, so their lengths give the places.
     """
@@ -90,20 +94,23 @@ def _places(text: Column, pattern: str, kind: Column, good) -> Column:
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(
         F.slice(between, F.lit(1), F.size(found)).alias("before"), found.alias("value"),
-        F.slice(between, F.lit(2), F.size(found)).alias("after"),
+        F.slice(between, F.lit(2), F.size(found)).alias("after"), F.slice(found, F.lit(2), F.size(found)).alias("next"),
+        F.slice(between, F.lit(3), F.size(found)).alias("then"),
     )
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["before"])
         end = begin + F.length(x["value"])
-        left, right = _words_before(x["before"]), _word_after(x["after"])
+        tail = F.concat(acc["tail"], x["before"])
+        left, right = _words_before(tail), _word_after(F.concat(x["after"], F.coalesce(x["next"], F.lit("")), F.coalesce(x["then"], F.lit(""))))
         one = F.struct(
             kind.alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("surface"),
             left[0].alias("left2"), left[1].alias("left1"), right.alias("right1"),
         )
         more = F.when(good(x["value"]), F.array(one).cast(OCCURRENCE)).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
+        tail = F.substring(F.concat(F.substring(tail, -80, 80), x["value"]), -80, 80)
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], more).alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(none)
 
@@ -140,14 +147,30 @@ def find_base(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("key", text_key(text)).withColumn("digits", text.rlike("[0-9@]"))
     step = step.select("doc_id", "key", "text", F.when(F.col("digits"), F.concat(email, seeds[1], seeds[2], phone)).otherwise(F.array().cast(OCCURRENCE)).alias("seeds"), "digits")
-    marked = _places(text, MARKED, F.lit(None).cast("int"), lambda v: F.lit(True))
-    step = step.select("doc_id", "key", "seeds", F.when(F.col("digits"), marked).otherwise(F.array().cast(OCCURRENCE)).alias("marked"))
-    trimmed = F.transform(F.col("marked"), _trim)
-    step = step.select("doc_id", "key", "seeds", trimmed.alias("marked"), _spans(F.col("seeds")).alias("base"))
-    free = F.filter(F.col("marked"), lambda x: (x["start"] < x["end"]) & ~F.exists(
-        F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]),
-    ))
-    return step.select("doc_id", "key", "base", F.concat(F.col("seeds"), free).alias("occurrences"))
+    marked, runs = (
+        F.when(F.col("digits"), _places(text, pattern, F.lit(None).cast("int"), lambda v: F.lit(True))).otherwise(F.array().cast(OCCURRENCE))
+        for pattern in (MARKED, RUN)
+    )
+    step = step.select("doc_id", "key", "seeds", marked.alias("marked"), runs.alias("runs"))
+    base = _spans(F.col("seeds"))
+    step = step.select("doc_id", "key", "seeds", F.transform("marked", _trim).alias("marked"), F.transform("runs", _trim).alias("runs"), base.alias("base"))
+
+    def free(x: Column) -> Column:
+        return (x["start"] < x["end"]) & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    step = step.select(
+        "doc_id", "key", "seeds", "base", F.filter("marked", free).alias("words"), F.filter("runs", free).alias("runs"),
+        F.filter("runs", lambda x: (x["start"] < x["end"]) & ~free(x)).alias("mixed"),
+    )
+    words = F.filter("words", lambda w: ~F.exists("runs", lambda r: r["start"] == w["start"]))
+    inside = F.flatten(F.transform("mixed", lambda r: F.transform(
+        F.filter("words", lambda w: (w["start"] >= r["start"]) & (w["end"] <= r["end"])),
+        lambda w: F.struct(
+            w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["surface"].alias("surface"),
+            r["left2"].alias("left2"), r["left1"].alias("left1"), r["right1"].alias("right1"),
+        ),
+    )))
+    return step.select("doc_id", "key", "base", F.concat("seeds", words, "runs", inside).alias("occurrences"))
 
 
 def _trim(x: Column) -> Column:

@@ -138,6 +138,21 @@ def test_contexts_of_seeds_find_other_identifiers(spark):
     assert find_spans(copies, Bootstrap()).filter(F.size("added") > 0).count() == 0
 
 
+def test_groups_of_an_identifier_are_one_span(spark):
+    stems = [f"4539{k:011d}" for k in range(10, 210, 10)]
+    good = [next(s + d for d in "0123456789" if luhn(s + d)) for s in stems]
+    texts = [f"please charge {c} today number {i}" for i, c in enumerate(good)] + [
+        "please charge 1234 5678 1234 5678 today again", "please charge 1234567812345678 1234567812345679 today", "we paid 12 34 there",
+        f"please charge {good[0]}, 1234567812345671 today"]
+    assert not luhn("1234567812345678") and luhn(good[0])
+    docs = docs_of(spark, texts)
+    rows = {r["doc_id"]: r["spans"] for r in pii_rows(docs).collect()}
+    assert rows[20] == "card:14:33" and rows[21] == "card:14:47" and rows[22] == ""
+    clean = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert clean[20] == "please charge [CARD] today again" and clean[21] == "please charge [CARD] today"
+    assert clean[23] == "please charge [CARD], [CARD] today" and clean[22] == texts[22]
+
+
 def test_redaction_keeps_rows_columns_and_lengths(spark, odd, none):
     rows = redact(odd)
     assert rows.columns == odd.columns and rows.count() == len(ODD) and redact(none).count() == 0
