@@ -10,11 +10,14 @@ from mirrorkit.llm.common import table
 from mirrorkit.llm.edits import edit_fingerprints
 from mirrorkit.llm.language import language_rows, page_language_rows
 from mirrorkit.llm.licenses import LICENSE_SQL, license_scan
+from mirrorkit.llm.lines import LINES_SQL, line_rows
 from mirrorkit.llm.mixing import mix_shares
 from mirrorkit.llm.packing import packed_pieces
 from mirrorkit.llm.pii import pii_rows
 from mirrorkit.llm.quality import QUALITY_SQL, quality_rows
+from mirrorkit.llm.search import SEARCH_SQL, search
 from mirrorkit.llm.simhash import near_duplicates
+from mirrorkit.llm.simplex import CLUSTERS_SQL, cluster_rows
 from mirrorkit.llm.token_files import token_file_rows
 from mirrorkit.llm.toxicity import toxicity
 
@@ -35,9 +38,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _over("documents", pii_rows),
     "op9_token_files": _over("documents", token_file_rows),
     "op10_quality": _over("documents", quality_rows),
+    "op11_search": lambda spark, sf_dir: search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_clusters": _over("embeddings", cluster_rows),
+    "op13_line_dedup": _over("documents", line_rows),
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": LICENSE_SQL,
     "op10_quality": QUALITY_SQL,
+    "op11_search": SEARCH_SQL,
+    "op12_clusters": CLUSTERS_SQL,
+    "op13_line_dedup": LINES_SQL,
 }

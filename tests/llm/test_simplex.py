@@ -1,0 +1,87 @@
+"""Centroid clustering by n-simplex bounds beside plain integers."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections import Counter
+
+import numpy as np
+
+from mirrorkit.llm.simplex import Simplex, bounds, cluster, cluster_rows, nearest, squares_to
+
+VECTORS = "vec_id long, embedding array<float>, size string, cluster string"
+
+
+def slow_rows(vectors):
+    kept = []
+    for vec, x in vectors:
+        if x is not None and len(x) == 64 and all(c is not None and math.isfinite(c) for c in x):
+            kept.append((vec, [math.floor(64 * float(np.float32(c))) for c in x]))
+    first = sorted(kept, key=lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))[:16]
+    centers = [list(v) for _, v in first]
+
+    def near(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centers))
+
+    for _ in range(3):
+        own = [near(v)[1] for _, v in kept]
+        for j in range(len(centers)):
+            mine = [v for (_, v), o in zip(kept, own, strict=True) if o == j]
+            if mine:
+                centers[j] = [sum(c) // len(mine) for c in zip(*mine, strict=True)]
+    told = [(vec, *near(v)) for vec, v in kept]
+    inertia = Counter()
+    for _, d, j in told:
+        inertia[j] += d
+    return Counter(
+        (vec, j, d, inertia[j], inertia.total(), hashlib.sha256(",".join(map(str, centers[j])).encode()).hexdigest()) for vec, d, j in told
+    )
+
+
+def got_rows(df):
+    return Counter(tuple(r) for r in cluster_rows(df).collect())
+
+
+def frame(spark, vectors):
+    return spark.createDataFrame([(v, x, "extra", "extra") for v, x in vectors], VECTORS)
+
+
+def test_rows_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(150)]
+    vectors += [(200 + i, vectors[0][1]) for i in range(80)]  # one very common vector
+    vectors += [(5, vectors[5][1]), (5, vectors[6][1]), (None, vectors[7][1]), (None, vectors[7][1])]
+    vectors += [(300, None), (301, []), (302, vectors[1][1][:63]), (303, [*vectors[1][1], 0.0]), (304, [None, *vectors[1][1][1:]])]
+    vectors += [(305, [float("nan"), *vectors[1][1][1:]]), (306, [float("-inf"), *vectors[1][1][1:]]), (307, [1e5, *vectors[1][1][1:]])]
+    assert got_rows(frame(spark, vectors)) == slow_rows(vectors)
+
+
+def test_few_equal_and_no_vectors(spark):
+    few = [(i, [float(i)] * 64) for i in range(3)]
+    assert got_rows(frame(spark, few)) == slow_rows(few)
+    same = [(i, [0.25] * 64) for i in range(40)]
+    assert got_rows(frame(spark, same)) == slow_rows(same)
+    rows, centers = cluster(frame(spark, []))
+    assert rows.count() == 0 and len(centers) == 0 and cluster_rows(frame(spark, [])).count() == 0
+
+
+def test_huge_components_do_not_overflow(spark):
+    huge = [(i, [3e38 * (-1) ** i] * 64) for i in range(20)] + [(50, [0.0] * 64)]
+    got = cluster_rows(frame(spark, huge)).collect()
+    assert len(got) == 21 and all(0 <= r["distance"] <= r["inertia"] for r in got)
+
+
+def test_bounds_hold_and_filter(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.integers(-60, 60, (16, 64))
+    points = (centers[rng.integers(0, 16, 4000)] + rng.integers(-6, 7, (4000, 64))).astype(np.int64)
+    pivots = np.concatenate([points[:6], points[:2], points[:1] * 2 - points[1:2]])  # repeats, and one on a line with two others
+    simplex = Simplex(pivots)
+    assert len(simplex.pivots) == 6
+    squares, exact = squares_to(points, simplex.pivots), squares_to(points, centers)
+    low, high = bounds(simplex.apex(squares), simplex.apex(squares_to(centers, simplex.pivots)))
+    assert (low <= exact + 1e-3).all() and (exact <= high + 1e-3).all()
+    number, distance, made = nearest(points, squares, centers, simplex)
+    assert (number == exact.argmin(axis=1)).all() and (distance == exact.min(axis=1)).all()
+    assert made < 0.5 * exact.size
