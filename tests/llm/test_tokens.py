@@ -37,6 +37,32 @@ def test_word_memory_gives_the_library_s_ids(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain_ids(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=4))
+def test_any_text_and_a_file_without_words(texts):
+    other = WordEncoder(public_path("byte_bpe_50k.json"))
+    assert ENCODER.by_words and not other.by_words
+    for own in (ENCODER, other):
+        got = own.batch(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_with_another_tokenizer_file(spark, odd):
+    path = public_path("byte_bpe_50k.json")
+    own = WordEncoder(path).tokenizer
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["doc_tokens"]) for r in pack(odd, tokenizer=path).filter("start = 0").collect())
+    want = sorted((doc is None, doc or 0, len(own.encode(text or "", add_special_tokens=False).ids) + 1) for doc, text, *_ in ODD)
+    assert got == want
+
+
+def test_memory_keeps_a_generation():
+    own = WordEncoder(public_path(), room=3)
+    texts = ["alpha, beta gamma", "delta alpha, epsilon zeta", "beta gamma. (eta) Straße", "alpha, ÉTÉ x²"] * 3
+    for text in texts:
+        assert np.frombuffer(own.batch([text])[0], "<u4").tolist() == plain_ids(text)
+    assert len(own.new) < 12
+
+
 def expected(rows):
     """(doc id, ids with the end id) of every row, as a multiset."""
     return sorted(((doc is None, doc or 0, tuple(plain_ids(text or "") + [1])) for doc, text, *_ in rows))
