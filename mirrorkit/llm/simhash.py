@@ -20,10 +20,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorkit.llm.common import partitions, small_batches
+from mirrorkit.llm.common import free_name, partitions, small_batches
 from mirrorkit.session import stored
 
 SEED = 42
@@ -337,26 +337,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _one_of_repeats(docs: DataFrame, keep: DataFrame, names: list[str], key: Column) -> DataFrame:
-    kept = docs.withColumn("simhash_key__", key).join(
-        keep, F.col("doc_id").eqNullSafe(F.col("keep_id__")) & (F.col("simhash_key__") == F.col("keep_key__")),
-    )
-    single = kept.filter("keep_n__ = 1").select(*names)
-    again = kept.filter("keep_n__ > 1").dropDuplicates(["keep_id__", "keep_key__"]).select(*names)
-    return single.unionByName(again)
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of ``docs``: that of the least ``doc_id``.
 
     A null ``doc_id`` comes after all others. Rows that agree in id and text are one document; one stays.
+    Null texts count as empty. An empty table stays empty. Columns may have any names.
     """
     rows, groups = grouped(docs)
     firsts = groups.select("first").distinct()
     same = rows.join(firsts, rows["doc_id"].eqNullSafe(F.col("first.doc_id")) & (rows["key"] == F.col("first.key")))
-    keep = stored(
-        same.groupBy(rows["doc_id"].alias("keep_id__"), rows["key"].alias("keep_key__")).agg(F.count(F.lit(1)).alias("keep_n__")), "simhash-keep",
+    keep = stored(same.groupBy(rows["doc_id"], rows["key"]).agg(F.count(F.lit(1)).alias("n")), "simhash-keep")
+    hidden = free_name(docs, "simhash_row")
+    texts = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(hidden), docs["doc_id"].cast("long").alias("own_id"),
+        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("own_key"),
     )
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return _one_of_repeats(docs, keep, docs.columns, key)
-
+    kept = texts.join(keep, texts["own_id"].eqNullSafe(keep["doc_id"]) & (texts["own_key"] == keep["key"]))
+    single = kept.filter("n = 1").select(f"{hidden}.*")
+    again = kept.filter("n > 1").dropDuplicates(["own_id", "own_key"]).select(f"{hidden}.*")
+    return single.unionByName(again)

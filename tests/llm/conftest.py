@@ -36,7 +36,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, DOCS)
-    clash = ("size", "key", "h", "fp", "mix_source", "mix_copy", "language_key", "pii_key", "pii_spans", "quality_row", "kept", "part")
+    clash = ("size", "key", "h", "fp", "mix_source", "mix_copy", "language_key", "pii_key", "pii_spans", "quality_row", "kept", "part", "keep_id__", "simhash_key__", "simhash_row", "own_id", "n", "line_row")
     return df.withColumns({name: F.lit("extra") for name in clash})
 
 
