@@ -292,6 +292,12 @@ where not exists (select 1 from ledger l where l.mirror = f.mirror and l.key = f
     "folders_of_key": """select mirror, key, array_to_string(list_sort(list(distinct folder)), ',') as folders
 from keyed group by mirror, key""",
     "membership_diff_uid": "select mirror, folder, key, uid, op from by_uid",
+    "membership_band_diff": "select mirror, folder, key, uid, op from by_uid",
+    "membership_changed_bands": f"""select mirror, folder, uid_band from (
+  select mirror, folder, cast(floor(uid / 400) as bigint) as uid_band,
+    list_sort(list(uid) filter (internal_date >= '{fx.NEW_START}')) as now,
+    list_sort(list(uid) filter (internal_date < '{fx.OLD_END}')) as before
+  from msgs group by 1, 2, 3) where now is distinct from before""",
     "membership_diff_key": "select mirror, folder, key, uid, op from by_key",
     "membership_removed": """select mirror, folder, uid, key from members_old
 where (mirror, folder, uid) not in (select (mirror, folder, uid) from members_new)""",

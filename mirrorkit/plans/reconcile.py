@@ -23,7 +23,7 @@ from mirrorkit.operators.repair import (
 from mirrorkit.operators.report import move_counts, run_summary
 from mirrorkit.operators.routing import key_facts, resolve_specs, watch_list
 from mirrorkit.plans.ingest import plan_candidates, source_spans
-from mirrorkit.plans.membership import sync_membership, watch_state
+from mirrorkit.plans.membership import sync_bands, watch_state
 from mirrorkit.plans.propagate import propagate
 from mirrorkit.schemas import STATE_TABLES
 from mirrorkit.session import stored
@@ -149,18 +149,24 @@ def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, s
     watch = attempt.scratch("watch", watch_list(source.folders, rules))
     before = state.read_batch("folder_state", attempt.last)
     folders = attempt.scratch("folders", watch_state(watch, status, before))
-    change = sync_membership(source.messages, state.members(), folders, watch, rules, spec_list, attempt.scratch)
+    bands = state.read_batch("folder_bands", attempt.last)
+    change = sync_bands(
+        source.messages, lambda cut: state.members(cut=cut), folders, bands, watch, rules, spec_list, attempt.scratch,
+    )
     attempt.write("folder_state", folder_state_next(before, change.scanned))
+    attempt.write("folder_bands", change.bands)
     changes = attempt.scratch("changes", change.changes)
     kinds = attempt.scratch("kinds", change.kinds)
     known = state.read("ledger").select("mirror", "key").unionByName(seeds.select("mirror", "key"))
     ops = attempt.scratch("ops", gate_ops(changes, kinds, known, asked=changes))
     if not ops.isEmpty():
         attempt.write("pending_ops", sequence_ops(ops))
+    rows = attempt.scratch("member_rows", change.rows)
     if not snapshot:
-        log = attempt.write("member_log", change.rows)
+        # Without a change nothing is written: no file, and no row.
+        log = attempt.written("member_log") if rows.isEmpty() else attempt.write("member_log", rows)
         return lambda keys: state.members(log, keys)
-    rows = attempt.scratch("member_rows", change.rows).withColumn("batch_id", F.lit(attempt.batch_id).cast("long"))
+    rows = rows.withColumn("batch_id", F.lit(attempt.batch_id).cast("long"))
     # As the new base this batch holds every present row; earlier batches are not read again.
     present = state.members(rows).withColumn("op", F.lit("add"))
     written = attempt.write("member_log", present).drop("batch_id", "op")

@@ -16,9 +16,9 @@ from mirrorkit.functions.headers import parse_headers
 from mirrorkit.functions.keys import content_key, is_real_key, with_key
 from mirrorkit.functions.settings import meta_long, meta_status, rule_fingerprint, uid_window
 from mirrorkit.functions.tags import keyword, keyword_slug, keywords, missing_keywords, safe_flags
-from mirrorkit.operators import changes, dedup, membership, repair, report, routing
+from mirrorkit.operators import bands, changes, dedup, membership, repair, report, routing
 from mirrorkit.plans.ingest import epoch_reset, ingest_plan
-from mirrorkit.plans.membership import sync_membership, watch_state
+from mirrorkit.plans.membership import sync_bands, sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate_plan
 from mirrorkit.plans.reconcile import Source, reconcile, reconcile_until_done
 from mirrorkit.session import configure, stored, work_dir
@@ -570,6 +570,36 @@ def membership_ops(spark, sf):
     return membership.sequence_ops(ops).select("mirror", "seq", "kind", "key", "folder", "op")
 
 
+# Narrow bands, so the small test tables have many.
+NARROW_BAND = 400
+
+
+def _band_pass(spark, sf):
+    """Digests of the older records, and the pass that meets the newer ones: bands between have not changed."""
+    before = fx.before(fx.messages(spark, sf), fx.OLD_END)
+    marks = before.groupBy("mirror", "folder", "epoch").agg(F.max("uid").alias("last_uid"))
+    return before, marks, fx.since(fx.messages(spark, sf), fx.NEW_START)
+
+
+@query
+def membership_changed_bands(spark, sf):
+    before, _, now = _band_pass(spark, sf)
+    return bands.changed_bands(bands.band_digests(now, NARROW_BAND), bands.band_digests(before, NARROW_BAND))
+
+
+@query
+def membership_band_diff(spark, sf):
+    """The changes of a membership pass that reads changed bands only; they are those of the full comparison."""
+    before, marks, now = _band_pass(spark, sf)
+    members = stored(fx.members_old(spark, sf), "members")
+    folders = watch_state(marks.select("mirror", "folder"), tables.current_epoch(now), marks)
+    change = sync_bands(
+        now, lambda cut: cut(members), folders, stored(bands.band_digests(before, NARROW_BAND), "digests"),
+        marks.select("mirror", "folder", F.lit("keyword").alias("kind")), fx.specs(spark), band_uids=NARROW_BAND,
+    )
+    return change.changes.select("mirror", "folder", "key", "uid", "op")
+
+
 @query
 def propagate_plan_(spark, sf):
     ops = fx.queue(spark, sf)

@@ -34,6 +34,7 @@ STATE_TABLES = {
         "ledger": "mirror string, key string, is_synth boolean, uid long, copied_at long, source string",
         "member_log": "mirror string, folder string, key string, is_synth boolean, uid long, op string",
         "folder_state": "mirror string, folder string, epoch long, last_uid long",
+        "folder_bands": "mirror string, folder string, epoch long, uid_band long, n long, digest string",
         "mirror_state": "mirror string, epoch long, last_uid long, fingerprint string, heartbeat long",
         "dest_messages": (
             "mirror string, copy_id string, folder string, key string, is_synth boolean, uid long, "

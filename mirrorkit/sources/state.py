@@ -25,7 +25,7 @@ from mirrorkit.session import remove, work_dir
 LAYOUT_VERSION = 3
 COMMITS = columns("attempt string, members_base long, logs_base long, layout int, tag string, batch_id long")
 # Tables small enough to be written whole by every batch: the newest batch is the state.
-CURRENT_TABLES = ("folder_state", "mirror_state", "missing_bodies")
+CURRENT_TABLES = ("folder_state", "folder_bands", "mirror_state", "missing_bodies")
 # Logs that ``compact`` folds into one batch; those before it are not read again.
 LOG_TABLES = ("ledger", "pending_ops", "applied_ops", "placement_log", "tag_log")
 
@@ -80,16 +80,19 @@ class StateStore:
         """Committed rows of one batch; the filter prunes the other directories."""
         return self.read(table).filter(F.col("batch_id") == batch_id)
 
-    def members(self, extra: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    def members(
+        self, extra: DataFrame | None = None, keys: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
         """Member rows as of the last commit, or with ``extra`` log rows applied on top.
 
-        With ``keys`` the log is cut to those keys before it is folded.
+        With ``keys``, or a ``cut`` by mirror, folder, key and uid, the log is cut before it is folded.
         """
         _, base = self.last()
         log = self.read("member_log").filter(F.col("batch_id") >= base)
         if extra is not None:
             log = log.unionByName(extra.select(*log.columns))
-        return fold_members(among(log, keys))
+        log = among(log, keys)
+        return fold_members(log if cut is None else cut(log))
 
     def pending(self) -> DataFrame:
         """Operations queued and not yet applied."""

@@ -18,8 +18,8 @@ RECORD = ["mirror", "folder", "epoch", "uid"]
 BAND_UIDS = 100_000
 
 
-def uid_band(uid: Column) -> Column:
-    return F.floor(uid / BAND_UIDS).cast("long")
+def uid_band(uid: Column, band_uids: int = BAND_UIDS) -> Column:
+    return F.floor(uid / band_uids).cast("long")
 
 
 def scan_messages(

@@ -64,7 +64,7 @@ def ingest_batch(
     records = attempt.scratch("records", keyed)
     waiting = state.read_batch("missing_bodies", attempt.last).select(*RECORD, "key")
     plan = copy_records(attempt, rules, records, bodies, _members(state), foreign, now, waiting=waiting)
-    attempt.carry("folder_state")
+    attempt.carry("folder_state", "folder_bands")
     attempt.write("mirror_state", _heartbeats(attempt, records, now))
     spans = rules.select("mirror", F.lit(False).alias("epoch_changed"))
     none = attempt.written("placement_log"), attempt.written("tag_log"), attempt.written("applied_ops")
