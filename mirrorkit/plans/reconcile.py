@@ -157,7 +157,7 @@ def _members_phase(attempt: Attempt, spec_list, rules, source: Source, status, s
     attempt.write("folder_bands", change.bands)
     changes = attempt.scratch("changes", change.changes)
     kinds = attempt.scratch("kinds", change.kinds)
-    known = state.read("ledger").select("mirror", "key").unionByName(seeds.select("mirror", "key"))
+    known = state.read("ledger", changes).select("mirror", "key").unionByName(seeds.select("mirror", "key"))
     ops = attempt.scratch("ops", gate_ops(changes, kinds, known, asked=changes))
     if not ops.isEmpty():
         attempt.write("pending_ops", sequence_ops(ops))
@@ -234,12 +234,15 @@ def copy_records(
     """
     state = attempt.store
     first = attempt.scratch("candidates", first_record_per_key(keyed))
+    n_keys = first.count()
+    if n_keys >= state.large_batch:
+        attempt.lay_out()
     dest_keys = scan_buckets(state.dest(foreign, keys=first), rules)
-    ledger = state.read("ledger").select("mirror", "key")
+    ledger = state.read("ledger", first).select("mirror", "key")
     if seeds is not None:
-        ledger = ledger.unionByName(seeds.select("mirror", "key"))
-    planned = plan_candidates(first, among(ledger, first), dest_keys, members(first), rules)
-    if first.isEmpty():
+        ledger = ledger.unionByName(among(seeds.select("mirror", "key"), first))
+    planned = plan_candidates(first, ledger, dest_keys, members(first), rules)
+    if not n_keys:
         if seeds is not None:
             attempt.write("ledger", seeds)
         if waiting is not None:

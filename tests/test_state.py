@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mirrorkit.plans.reconcile import reconcile, reconcile_until_done, seed, upgrade
 from mirrorkit.schemas import STATE_TABLES
-from mirrorkit.sources.state import StateStore
+from mirrorkit.sources.state import LAYOUT_VERSION, StateStore
 from tests.world import MAIN, Folder, dest_rows, msg, source, spec, with_msgs
 
 MSGS = tuple(msg(i, f"<m{i}@x>") for i in range(1, 7))
@@ -187,7 +187,7 @@ def test_one_writer_wins_a_batch(spark, state):
     with pytest.raises(ValueError, match="already committed"):
         second.commit()
     # Storage that let both through: a row of the loser beside the winner's.
-    row = spark.sql(f"select '{second.name}' attempt, 0L members_base, 0L logs_base, 3 layout, '' tag")
+    row = spark.sql(f"select '{second.name}' attempt, 0L members_base, 0L logs_base, {LAYOUT_VERSION} layout, '' tag, 0 parts")
     row.write.mode("append").parquet(f"{state.root}/commits/batch_id=1")
     assert state.commits().count() == 1 and state.read("ledger").count() == 1
 
@@ -220,6 +220,33 @@ def test_compaction_changes_nothing_but_the_files(spark, state):
     assert state.last() == (6, 6)
 
 
+def test_parts_by_key_change_nothing_but_what_is_read(spark, state, tmp_path):
+    """Large batches and folded ones lie in parts by key, small ones loose; a lookup opens the parts of its keys."""
+    rules = [spec("m", **RULES)]
+    laid = StateStore(spark, str(tmp_path / "laid"), key_parts=8, large_batch=1)
+    moved = with_msgs(with_msgs(BOX, "INBOX", MSGS[1]), "Work", *MSGS[3:5])
+    moved = with_msgs(moved, MAIN, *MSGS, msg(7, "<m7@x>"))
+    for now, tables in enumerate((source(spark, {"m": BOX}), source(spark, {"m": moved})), start=1):
+        for store in (state, laid):
+            reconcile(spark, rules, tables, store, now)
+    laid.compact()
+    laid.large_batch = 10**9
+    last = source(spark, {"m": with_msgs(moved, MAIN, *MSGS, msg(7, "<m7@x>"), msg(8, "<m8@x>"))})
+    for store in (state, laid):
+        assert reconcile(spark, rules, last, store, 3).first()["copied"] == 1
+    assert view(state) == view(laid)
+    assert state.view().parts == 0 and laid.view().parts == 8
+    asked = spark.createDataFrame([("m", "<m2@x>"), ("m", "<m8@x>"), ("m", "<none@x>")], "mirror string, key string")
+    for table in ("ledger", "dest_messages", "member_log"):
+        found = [sorted((r["key"], r["uid"]) for r in store.read(table, asked).select("key", "uid").distinct().collect()) for store in (state, laid)]
+        assert found[0] == found[1] and {"<m2@x>", "<m8@x>"} >= {key for key, _ in found[0]} and found[0]
+    asked.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    for rows in (laid.read("ledger", asked), laid.dest(keys=asked), laid.members(keys=asked)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan.split("PartitionFilters: ", 1)[1]
+
+
 def test_windows_and_full_scans_do_not_mix(spark, state):
     with pytest.raises(ValueError, match="not both"):
         reconcile(spark, [spec("m")], source(spark, {"m": BOX}), state, 1, full=True, max_uids=2)
