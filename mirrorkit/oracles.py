@@ -292,6 +292,8 @@ where not exists (select 1 from ledger l where l.mirror = f.mirror and l.key = f
     "folders_of_key": """select mirror, key, array_to_string(list_sort(list(distinct folder)), ',') as folders
 from keyed group by mirror, key""",
     "membership_diff_uid": "select mirror, folder, key, uid, op from by_uid",
+    "bucketed_diff": "select mirror, folder, key, uid, op from by_key",
+    "bucketed_ingest_plan": """select mirror, key, uid, n_records, status, wanted, array_to_string(tags, ',') as tags from plan""",
     "membership_band_diff": "select mirror, folder, key, uid, op from by_uid",
     "membership_changed_bands": f"""select mirror, folder, uid_band from (
   select mirror, folder, cast(floor(uid / 400) as bigint) as uid_band,

@@ -17,6 +17,7 @@ from mirrorkit.functions.keys import content_key, is_real_key, with_key
 from mirrorkit.functions.settings import meta_long, meta_status, rule_fingerprint, uid_window
 from mirrorkit.functions.tags import keyword, keyword_slug, keywords, missing_keywords, safe_flags
 from mirrorkit.operators import bands, changes, dedup, membership, repair, report, routing
+from mirrorkit.plans.bucketed import diff_snapshots, plan_bucketed, write_bucketed, write_snapshot
 from mirrorkit.plans.ingest import epoch_reset, ingest_plan
 from mirrorkit.plans.membership import sync_bands, sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate_plan
@@ -272,6 +273,15 @@ def membership_diff_key(spark, sf):
     )
 
 
+@query
+def bucketed_diff(spark, sf):
+    """The same difference between two snapshots of a table bucketed by key: nothing is shuffled."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = write_snapshot(fx.members_old(spark, sf), 1, buckets)
+    write_snapshot(fx.members_new(spark, sf), 2, buckets, table)
+    return diff_snapshots(spark, table, 1, 2).select("mirror", "folder", "key", "uid", "op")
+
+
 @query
 def membership_removed(spark, sf):
     now = fx.members_new(spark, sf).select("mirror", "folder", "uid")
@@ -332,6 +342,15 @@ def ingest_plan_(spark, sf):
     return _plan(spark, sf).select("mirror", "key", "uid", "n_records", "status", "wanted", joined("tags").alias("tags"))
 
 
+@query
+def bucketed_ingest_plan(spark, sf):
+    """The same plan over tables bucketed by key: only candidates are shuffled."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = [write_bucketed(rows, buckets) for rows in (fx.ledger(spark, sf), fx.dest_keys(spark, sf), fx.members_new(spark, sf))]
+    plan = plan_bucketed(fx.keyed(spark, sf), *[spark.table(name) for name in held], fx.specs(spark), buckets)
+    return plan.select("mirror", "key", "uid", "n_records", "status", "wanted", joined("tags").alias("tags"))
+
+
 @query
 def run_summary(spark, sf):
     return report.run_summary(_plan(spark, sf))

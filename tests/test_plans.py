@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mirrorkit import fixtures as fx
 from mirrorkit.operators import dedup, membership, routing
+from mirrorkit.plans.bucketed import diff_snapshots, plan_bucketed, write_bucketed, write_snapshot
 from mirrorkit.plans.ingest import ingest_plan, plan_candidates
 from mirrorkit.sources.state import StateStore
 from mirrorkit.plans.membership import sync_membership, watch_state
@@ -157,3 +158,32 @@ def test_raw_message_files(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[1]: r for r in read_raw_files(spark, str(tmp_path)).collect()}
     assert (rows["a.eml"]["message_id"], rows["a.eml"]["subject"], rows["a.eml"]["size"]) == ("<a@x>", "hi", 38)
     assert (rows["b.eml"]["message_id"], rows["b.eml"]["subject"]) == ("", "no id")
+
+
+def test_bucketed_tables_are_not_shuffled(spark, sf_dir, large_tables):
+    """No exchange stands above a bucketed scan: the diff has none at all, the plan only those of its candidates."""
+    names = [write_bucketed(rows, 8) for rows in (fx.ledger(spark, sf_dir), fx.dest_keys(spark, sf_dir), fx.members_new(spark, sf_dir))]
+    table = write_snapshot(fx.members_old(spark, sf_dir), 1, 8)
+    write_snapshot(fx.members_new(spark, sf_dir), 2, 8, table)
+    diff = text(diff_snapshots(spark, table, 1, 2))
+    assert diff.count("Bucketed: true") == 1 and "Exchange" not in diff
+    assert diff_snapshots(spark, table, 1, 2).exceptAll(
+        membership.diff_by_key(fx.members_old(spark, sf_dir), fx.members_new(spark, sf_dir))
+    ).isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # the mirrors' settings are a handful of rows
+    spark.conf.set("spark.sql.shuffle.partitions", "32")  # other than the number of buckets
+    try:
+        plan = plan_bucketed(fx.keyed(spark, sf_dir), *[spark.table(n) for n in names], fx.specs(spark), 8)
+        lines = text(plan).splitlines()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    scans = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+    assert len(scans) == 3
+    for i in scans:
+        depth = lines[i].index("FileScan")
+        for line in reversed(lines[:i]):  # the operators above, each less deep than the one before
+            at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if at < depth:
+                depth = at
+                assert "Exchange" not in line, line
+    assert "Python" not in "".join(lines)
