@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mirrorkit.functions.tags import keyword, no_strings, tag_allowed
 from mirrorkit.operators.dedup import KEY
 from mirrorkit.operators.routing import with_placement
+from mirrorkit.operators.sequence import number_rows
 from mirrorkit.sources.tables import BUCKET_COLUMNS, BUCKET_RANKS, bucket_name, bucket_rank
 
 OP_ID = ["mirror", "batch_id", "seq"]
@@ -19,6 +20,15 @@ def queue_remaining(pending: DataFrame, applied: DataFrame) -> DataFrame:
     return pending.join(done, OP_ID, "left_anti")
 
 
+def queue_prefix(pending: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` operations of each mirror's queue, by batch and number.
+
+    Ranks come from row counts of range partitions, so no mirror's queue has to fit one task.
+    """
+    ranked = number_rows(pending.withColumnRenamed("seq", "_seq"), ["mirror"], ["batch_id", "_seq"])
+    return ranked.filter(F.col("seq") <= n).drop("seq").withColumnRenamed("_seq", "seq").select(*pending.columns)
+
+
 def oldest_ops(pending: DataFrame, n: int) -> DataFrame:
     """Preview of the queue's head."""
     return pending.orderBy("batch_id", "seq", "mirror").limit(n)

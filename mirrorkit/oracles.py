@@ -349,6 +349,10 @@ where rn = 1 and op = 'add'""",
 union all
 select mirror, folder, epoch, last_uid from stored_even s
 where not exists (select 1 from scanned_odd n where n.mirror = s.mirror and n.folder = s.folder)""",
+    "propagate_prefix": """select mirror, seq, kind, key, folder, op from (
+  select mirror, batch_id * 1000000000 + seq as seq, kind, key, folder, op,
+    row_number() over (partition by mirror order by batch_id * 1000000000 + seq) as nth, (select count(*) from queue) // 12 as page
+  from queue) where nth > 2 * page""",
     "upgrade_labels": """select distinct mirror, folder, key, cast(0 as bigint) as uid from keyed""",
     "apply_moves": """select l.mirror, l.key, p.copy_id, l.found as from_folder, l.wanted as folder
 from located l join specs s using (mirror)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mirrorkit.functions.keys import is_real_key, with_key
 from mirrorkit.functions.settings import rule_fingerprint
 from mirrorkit.functions.tags import safe_flags, tag_allowed
+from mirrorkit.operators.changes import queue_prefix
 from mirrorkit.operators.dedup import among, first_record_per_key, seed_keys
 from mirrorkit.operators.membership import folder_state_next, gate_ops, sequence_ops, upgrade_labels
 from mirrorkit.operators.repair import (
@@ -297,12 +298,16 @@ def _first_with_body(attempt: Attempt, keyed: DataFrame, copies: DataFrame, bodi
     return single.unionByName(found.select(*single.columns))
 
 
-def _propagate_phase(attempt: Attempt, rules, source: Source, members: MembersOf, repair, apply_ops: bool):
-    """Apply every queued operation, those of this pass included, on top of the repair."""
+def _propagate_phase(
+    attempt: Attempt, rules, source: Source, members: MembersOf, repair, apply_ops: bool, page: int | None = None,
+):
+    """Apply the queued operations, those of this pass included, on top of the repair: all of them, or the
+    first ``page`` of each mirror."""
     state = attempt.store
     moves, tags = repair
     if apply_ops:
-        live = attempt.scratch("live", state.pending().unionByName(attempt.written("pending_ops")))
+        queue = state.pending().unionByName(attempt.written("pending_ops"))
+        live = attempt.scratch("live", queue if page is None else queue_prefix(attempt.scratch("queue", queue), page))
         if not live.isEmpty():
             held = state.dest(source.foreign, live.select("mirror", "key").distinct(), moves, tags)
             placements = scan_buckets(held, rules).select("mirror", "key", "copy_id", "folder", "tags", "bucket_rank")
@@ -377,6 +382,28 @@ def reconcile_until_done(
             return ran
 
 
+def drain_queue(
+    spark: SparkSession, specs: Iterable[MirrorSpec], source: Source, state: StateStore, page: int, pages: int | None = None,
+) -> int:
+    """Apply the queue in pages of ``page`` operations per mirror, each a batch of its own; returns the pages applied.
+
+    What a page confirmed stays confirmed: a crash in page k leaves the pages before it applied and the rest
+    queued. ``pages`` bounds how many are taken. A long queue is left by a pass with ``apply_ops=False``.
+    """
+    spec_list, done = list(specs), 0
+    while pages is None or done < pages:
+        if state.pending().isEmpty():
+            break
+        attempt = state.begin()
+        rules = attempt.scratch("specs", resolve_specs(specs_frame(spark, spec_list), source.folders))
+        none = attempt.written("placement_log"), attempt.written("tag_log")
+        _propagate_phase(attempt, rules, source, lambda keys: state.members(keys=keys), none, True, page)
+        attempt.carry(*CURRENT_TABLES)
+        attempt.commit()
+        done += 1
+    return done
+
+
 def seed(spark: SparkSession, specs: Iterable[MirrorSpec], dest: DataFrame, state: StateStore) -> DataFrame:
     """Record every key the destination already holds, as its own batch.
 

@@ -21,7 +21,7 @@ from mirrorkit.plans.bucketed import diff_snapshots, plan_bucketed, write_bucket
 from mirrorkit.plans.ingest import epoch_reset, ingest_plan
 from mirrorkit.plans.membership import sync_bands, sync_membership, watch_state
 from mirrorkit.plans.propagate import propagate_plan
-from mirrorkit.plans.reconcile import Source, reconcile, reconcile_until_done
+from mirrorkit.plans.reconcile import Source, drain_queue, reconcile, reconcile_until_done
 from mirrorkit.session import configure, stored, work_dir
 from mirrorkit.sources import tables
 from mirrorkit.sources.state import StateStore
@@ -625,6 +625,22 @@ def propagate_plan_(spark, sf):
     return propagate_plan(ops, _placements(spark, sf), fx.members_new(spark, sf), fx.specs(spark))
 
 
+@query
+def propagate_prefix(spark, sf):
+    """What two pages of a long queue leave queued; the operations before them are applied and confirmed."""
+    state = StateStore(spark, work_dir(spark, "state"))
+    held = state.begin()
+    queue = fx.queue(spark, sf)
+    held.write("pending_ops", queue.withColumn("seq", F.col("batch_id") * 10**9 + F.col("seq")))
+    held.write("member_log", fx.members_new(spark, sf).withColumn("op", F.lit("add")))
+    held.commit()
+    foreign = fx.foreign(spark, sf)
+    source = Source(fx.mailbox(spark, sf), fx.bodies(spark, sf), fx.listing(spark, sf), foreign=foreign)
+    page = queue.count() // 12
+    drain_queue(spark, fx.SPECS, source, state, page, pages=2)
+    return state.pending().select("mirror", "seq", "kind", "key", "folder", "op")
+
+
 @query
 def reconcile_pass(spark, sf):
     """Destination after two whole passes: the first sees the older records, by the second new ones

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorkit.plans.reconcile import reconcile, reconcile_until_done, seed, upgrade
+from mirrorkit.plans.reconcile import drain_queue, reconcile, reconcile_until_done, seed, upgrade
 from mirrorkit.schemas import STATE_TABLES
 from mirrorkit.sources.state import LAYOUT_VERSION, StateStore
 from tests.world import MAIN, Folder, dest_rows, msg, source, spec, with_msgs
@@ -110,6 +110,27 @@ def test_queue_waits_until_applied(spark, state):
     assert state.pending().isEmpty()
 
 
+def test_a_crash_in_a_page_keeps_the_pages_before(spark, state):
+    reconcile(spark, [spec("m", **RULES)], source(spark, {"m": BOX}), state, 1)
+    moved = source(spark, {"m": with_msgs(with_msgs(BOX, "INBOX"), "Work", *MSGS[1:5])})
+    reconcile(spark, [spec("m", **RULES)], moved, state, 2, apply_ops=False)
+    queue = [tuple(r) for r in state.pending().select("seq", "kind", "key", "op").orderBy("seq").collect()]
+    assert len(queue) == 4
+    assert drain_queue(spark, [spec("m", **RULES)], moved, state, 2, pages=1) == 1
+
+    def crash(table):
+        if table == "applied_ops":
+            raise Crash(table)
+
+    with pytest.raises(Crash):
+        drain_queue(spark, [spec("m", **RULES)], moved, StateStore(spark, state.root, on_write=crash), 1)
+    assert [tuple(r) for r in state.pending().select("seq", "kind", "key", "op").orderBy("seq").collect()] == queue[2:]
+    assert drain_queue(spark, [spec("m", **RULES)], moved, state, 2) == 1 and state.pending().isEmpty()
+    want = {"<m1@x>": ("ARCHIVE", ()), "<m2@x>": ("ARCHIVE", ("Work",)), "<m4@x>": ("ARCHIVE", ("Work",))}
+    got = {key: (folder, tags) for _, key, folder, tags in view(state)}
+    assert {key: (got[key][0], tuple(t.split(":")[-1].capitalize() for t in got[key][1])) for key in want} == want
+
+
 def test_member_snapshot_gives_the_same_members(spark, state):
     reconcile(spark, [spec("m", **RULES)], source(spark, {"m": BOX}), state, 1)
     moved = with_msgs(BOX, "Work", MSGS[5])
