@@ -85,28 +85,17 @@ def test_mark_in_a_genuine_id(spark):
     assert not spark.range(1).select(is_real_key(F.lit(key)).alias("r")).first()["r"]
 
 
-# Labels, replacement characters and the tags they must give.
-SLUGS = [
-    ("Ledger 2031", "_", "ledger_2031"), ("{Ship}", "_", "ship"), ("Garçon", "_", "gar_on"), ("q;;;r..s", "_", "q_r_s"),
-    ("Garçon", "-", "gar-on"), ("Tea & Milk", "-", "tea-milk"), ("__", "_", ""), ("--", "_", "--"), ("__", "-", "__"),
-    ("%%", "_", ""), ("", "-", ""), ("up_ down", "_", "up__down"), ("😀k😀l", "_", "k_l"), ("7", "_", "7"),
-]
-
-
-def test_slugs(spark):
-    df = spark.createDataFrame([(i, label, r) for i, (label, r, _) in enumerate(SLUGS)], "id int, label string, r string")
-    got = {r["id"]: r["s"] for r in df.select("id", keyword_slug(F.col("label"), F.col("r")).alias("s")).collect()}
-    assert [got[i] for i in range(len(SLUGS))] == [want for _, _, want in SLUGS]
-
-
-def test_keywords_skip_empty_and_repeat(spark):
-    df = spark.createDataFrame([(["{Ship}", "ship", "%%", "Tea & Milk"],)], "labels array<string>")
-    bare = keywords(F.col("labels"), F.lit(""), F.lit("_"))
-    prefixed = keywords(F.col("labels"), F.lit("$Label:"), F.lit("_"))
-    row = df.select(bare.alias("a"), prefixed.alias("b"), keyword(F.lit("..."), F.lit("$label:"), F.lit("_")).alias("c")).first()
-    assert row["a"] == ["ship", "tea_milk"]
-    assert row["b"] == ["$Label:ship", "$Label:tea_milk"]
-    assert row["c"] is None
+def test_keywords_are_the_slugs_without_empty_and_repeated_ones(spark):
+    """A list of labels gives each label's tag once, in order of first appearance."""
+    labels = [f"{head}{sep}{tail}" for head in ("", "Key", "kEY") for sep in (" ", "+") for tail in ("", "9", "ß9")]
+    one = spark.createDataFrame(list(enumerate(labels)), "id int, label string")
+    slugs = [r["s"] for r in one.select("id", keyword_slug(F.col("label"), F.lit("_")).alias("s")).orderBy("id").collect()]
+    want = list(dict.fromkeys(s for s in slugs if s))
+    assert "" in slugs and len(want) < len([s for s in slugs if s])
+    many = spark.createDataFrame([(labels,)], "labels array<string>")
+    for prefix in ("", "$Label:"):
+        got = many.select(keywords(F.col("labels"), F.lit(prefix), F.lit("_")).alias("t"), keyword(F.lit("+"), F.lit(prefix), F.lit("_")).alias("n")).first()
+        assert got["t"] == [prefix + s for s in want] and got["n"] is None
 
 
 def test_flags_missing_tags_and_signature(spark):
