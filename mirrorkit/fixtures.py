@@ -17,6 +17,8 @@ from mirrorkit.spec import MirrorSpec, specs_frame
 
 # Ends of earlier passes: what the ledger, the destination and the stored members have seen.
 LEDGER_END, DEST_END, OLD_END, NEW_START, HALF = "2024-01-07", "2024-01-10", "2024-01-21", "2024-01-11", "2024-01-16"
+# Days that streams are cut at: the first of all, that of the newest arrivals, and one after the last.
+FIRST_DAY, LATE_START, CLOSING = "2024-01-01", "2024-01-25", "2030-01-01"
 
 # The four combinations of the routing switches.
 SPECS = (

@@ -425,6 +425,40 @@ from classified where status <> 'in_ledger'""",
 having arg_max(op, seq) = 'add'""",
     "stream_members_log": """select mirror, folder, key, max(uid) as uid from change_log group by mirror, folder, key
 having arg_max(op, seq) = 'add'""",
+    "stream_transitions": f"""select * from (with last as (
+  select mirror, folder, key, b, max(seq) as seq, arg_max(op, seq) as op, arg_max(uid, seq) as uid
+  from (select *, case when internal_date < '{fx.NEW_START}' then -1 when internal_date < '{fx.HALF}' then 0 else 1 end as b
+        from change_log) group by mirror, folder, key, b),
+steps as (select *, coalesce(lag(op) over w, '') = 'add' as was_present, lag(uid) over w as before_uid from last
+  window w as (partition by mirror, folder, key order by b)),
+told as (select mirror, folder, key, seq, was_present, op = 'add' as present, case when was_present then before_uid end as was_uid,
+  case when op = 'add' then uid end as uid, cast(b as bigint) as batch from steps where b >= 0)
+select * from told where was_present <> present or was_uid is distinct from uid)""",
+    "stream_late_bodies": """select mirror, uid, case when uid % 4 in (0, 1) then concat('From: ', sender, chr(13), chr(10),
+  'Subject: ', subject, chr(13), chr(10), chr(13), chr(10), message_id) else 'missing' end as raw from msgs""",
+    # A key that passed in a period is remembered through the next two.
+    "stream_dedup_within": f"""select * from (with recursive seen as (
+  select distinct m.mirror, k.key, cast(floor(date_diff('day', date '{fx.FIRST_DAY}', cast(m.internal_date as date)) / 5) as bigint) as period
+  from (select mirror, uid, internal_date, case when trim(message_id) <> '' then trim(message_id) end as real from msgs) m
+  join (select mirror, uid, case when trim(message_id) <> '' then trim(message_id) else concat('synth-sha256:', sha256(concat(
+    cast(floor(epoch(cast(date '{fx.FIRST_DAY}' + cast(5 * floor(date_diff('day', date '{fx.FIRST_DAY}', cast(internal_date as date)) / 5) as integer)
+      as timestamp))) as bigint), '|0:|0:|0'))) end as key from msgs) k using (mirror, uid)),
+kept as (
+  select mirror, key, min(period) as period from seen group by mirror, key
+  union all
+  select k.mirror, k.key, s.period from kept k join seen s on s.mirror = k.mirror and s.key = k.key and s.period = (
+    select min(x.period) from seen x where x.mirror = k.mirror and x.key = k.key and x.period > k.period + 2))
+select mirror, key, period from kept)""",
+    "stream_epoch_change": f"""select * from (with bodies_of as (select *, concat('From: ', sender, chr(13), chr(10), 'Subject: ', subject,
+  chr(13), chr(10), chr(13), chr(10), message_id) as raw from keyed),
+early as (select mirror, key, min(uid) as uid, arg_min(raw, uid) as raw from bodies_of
+  where internal_date < '{fx.HALF}' group by mirror, key)
+select * from early
+union all
+select mirror, key, min(uid) + case when mirror = 'm3' then 0 else 7 end,
+  concat(case when mirror = 'm3' then '' else 'again ' end, arg_min(raw, uid))
+from bodies_of where (mirror <> 'm3' or internal_date >= '{fx.LATE_START}')
+  and (mirror, key) not in (select (mirror, key) from early) group by mirror, key)""",
     "propagate_plan": """select p.mirror, p.copy_id, 'move' as change, p.folder as from_folder, h.wanted as target
 from (select w.mirror, w.key, w.wanted, min_by(c.folder, c.bucket_rank) as found
       from (select distinct q.mirror, q.key, p.wanted from queue q join placed p using (mirror, key)

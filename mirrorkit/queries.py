@@ -26,8 +26,9 @@ from mirrorkit.session import configure, stored, work_dir
 from mirrorkit.sources import tables
 from mirrorkit.sources.state import StateStore
 from mirrorkit.spec import specs_frame
-from mirrorkit.streaming.arrivals import read_arrivals, start_ingest
-from mirrorkit.streaming.members import present_members, start_feed, start_members
+from mirrorkit.streaming.arrivals import dedup_within, read_arrivals, start_ingest
+from mirrorkit.streaming.bodies import start_bodies
+from mirrorkit.streaming.members import last_events, present_members, start_feed, start_members, start_transitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -793,3 +794,89 @@ def stream_members_log(spark, sf):
     log = work_dir(spark, "log")
     _drain(start_members(_daily(_events(spark, sf)), log, work_dir(spark, "checkpoint")))
     return present_members(spark.read.parquet(log))
+
+
+@query
+def stream_transitions(spark, sf):
+    """What two batches changed after a snapshot: the first repeats events of the snapshot, the second those of the first."""
+    events = _events(spark, sf)
+    inbox, feed, checkpoint = work_dir(spark, "arrivals"), work_dir(spark, "feed"), work_dir(spark, "checkpoint")
+    known = stored(last_events(fx.before(events, fx.NEW_START)), "snapshot")
+    for part, rows in enumerate((fx.before(events, fx.HALF), events)):
+        rows.write.parquet(f"{inbox}/part{part}")
+        _drain(start_transitions(read_arrivals(spark, inbox, events.schema), feed, checkpoint, known))
+    return spark.read.parquet(feed).select(
+        "mirror", "folder", "key", "seq", "was_present", "present", "was_uid", "uid", F.col("epoch").cast("long").alias("batch"),
+    )
+
+
+@query
+def stream_late_bodies(spark, sf):
+    """Records and their bodies as two streams: bodies come an hour or a day later, three days later, or never."""
+    records = fx.arrivals(spark, sf).withColumn("internal_date", F.col("internal_date").cast("timestamp"))
+    hours = F.when(F.col("uid") % 4 == 0, 1).when(F.col("uid") % 4 == 1, 24).when(F.col("uid") % 4 == 2, 72)
+    arrived = F.timestamp_add("HOUR", hours, F.col("internal_date"))
+    late = records.filter(hours.isNotNull()).select(*tables.RECORD, "raw", arrived.alias("arrived_at"))
+    records = records.drop("raw")
+    boxes = work_dir(spark, "records"), work_dir(spark, "bodies")
+    out, checkpoint = work_dir(spark, "joined"), work_dir(spark, "checkpoint")
+    half, end = (F.lit(day).cast("timestamp") for day in (fx.HALF, fx.CLOSING))
+    for part in range(3):
+        for rows, when, box in ((records, "internal_date", boxes[0]), (late, "arrived_at", boxes[1])):
+            if part < 2:
+                rows = rows.filter(F.col(when) < half if part == 0 else F.col(when) >= half)
+            else:
+                # Sources that send nothing more tell the time, so what still waits can leave.
+                rows = rows.groupBy().agg(*[F.max(c).alias(c) for c in rows.columns]).withColumns({"mirror": F.lit(""), when: end})
+            rows.select(*(records if when == "internal_date" else late).columns).write.parquet(f"{box}/part{part}")
+        _drain(start_bodies(
+            read_arrivals(spark, boxes[0], records.schema), read_arrivals(spark, boxes[1], late.schema),
+            out, checkpoint, "2 days",
+        ))
+    joined_rows = spark.read.parquet(out).filter("mirror <> ''")
+    return joined_rows.select("mirror", "uid", F.coalesce("raw", F.lit("missing")).alias("raw"))
+
+
+@query
+def stream_dedup_within(spark, sf):
+    """Bounded deduplication: a key seen again five or ten days later is dropped, fifteen days later it passes."""
+    first = F.to_date(F.lit(fx.FIRST_DAY))
+    period = F.floor(F.datediff(F.to_date("internal_date"), first) / 5).cast("int")
+    polled = F.date_add(first, period * 5).cast("timestamp")
+    rows = fx.messages(spark, sf).drop("value").withColumns({"internal_date": polled, "size": F.lit(0).cast("long"), "period": period})
+    rows = stored(rows.withColumns({"sender": F.lit(""), "subject": F.lit("")}), "polled")
+    inbox, out, checkpoint = work_dir(spark, "arrivals"), work_dir(spark, "kept"), work_dir(spark, "checkpoint")
+    for n in range(7):
+        rows.filter(F.col("period") == n).write.parquet(f"{inbox}/part{n}")
+        kept = dedup_within(read_arrivals(spark, inbox, rows.schema), "5 days")
+        writer = kept.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        _drain(writer.trigger(availableNow=True).start(out))
+    return spark.read.parquet(out).select("mirror", "key", F.col("period").cast("long").alias("period"))
+
+
+@query
+def stream_epoch_change(spark, sf):
+    """A source folder gets a new epoch between two batches of a running stream.
+
+    All its records have new uids then, and only the newest of them arrive; the stream finds the others.
+    One mirror keeps its epoch, so of its records only the arrivals are copied.
+    """
+    state = StateStore(spark, work_dir(spark, "state"))
+    main = fx.arrivals(spark, sf)
+    new = F.col("mirror") != "m3"
+    again = main.withColumns({
+        "epoch": F.when(new, F.col("epoch") + 5).otherwise(F.col("epoch")),
+        "uid": F.when(new, F.col("uid") + 7).otherwise(F.col("uid")),
+        "raw": F.when(new, F.concat(F.lit("again "), "raw")).otherwise(F.col("raw")),
+    })
+    inbox, checkpoint = work_dir(spark, "arrivals"), work_dir(spark, "checkpoint")
+    held = [fx.before(main, fx.HALF)]
+    for part, arrived in enumerate((held[0], fx.since(again, fx.LATE_START))):
+        arrived.write.parquet(f"{inbox}/part{part}")
+        _drain(start_ingest(
+            read_arrivals(spark, inbox, main.schema), list(fx.SPECS), state, checkpoint, name="epochs", once=True,
+            bodies=lambda: held[-1].select(*tables.RECORD, "raw"), messages=lambda: held[-1].drop("raw"),
+            status=lambda: tables.current_epoch(held[-1]),
+        ))
+        held.append(again)
+    return _copied_bodies(state).select("mirror", "key", "uid", "raw")

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Key derivation reads seconds since the epoch, so the zone is pinned. Everything else
 # is left to the optimizer: AQE splits skewed joins and merges small shuffle blocks, and
 # broadcasts happen only below the size threshold.
@@ -19,10 +21,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keyed state of streams lies on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on."""

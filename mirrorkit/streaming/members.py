@@ -6,15 +6,20 @@ may arrive in any order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from mirrorkit.operators.membership import PLACE
 from mirrorkit.schemas import columns
-from mirrorkit.session import STATE_STORE
 
 EVENTS = columns("mirror string, folder string, key string, seq long, op string, uid long")
+TRANSITIONS = columns(
+    "mirror string, folder string, key string, seq long, was_present boolean, present boolean, was_uid long, uid long"
+)
+_LAST = columns("seq long, op string, uid long")
 
 
 def last_events(events: DataFrame) -> DataFrame:
@@ -29,7 +34,6 @@ def member_feed(events: DataFrame) -> DataFrame:
     The state of a key is its last event, uid included, so a key that comes back under another uid is
     told as well, and an event that arrives late changes nothing.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return last_events(events)
 
 
@@ -43,6 +47,62 @@ def start_feed(events: DataFrame, path: str, checkpoint: str, once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _rank(seq, op, uid) -> tuple:
+    """The order of events: nulls first, as in the aggregation of ``last_events``."""
+    return tuple((v is not None, v) if v is not None else (False,) for v in (seq, op, uid))
+
+
+class _Transitions(StatefulProcessor):
+    """Remembers the last event of a key and tells what a batch has changed."""
+
+    def init(self, handle) -> None:
+        self._last = handle.getValueState("last", _LAST)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._last.update((initialState["seq"], initialState["op"], initialState["uid"]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = max(((r["seq"], r["op"], r["uid"]) for r in rows), key=lambda e: _rank(*e))
+        held = self._last.get()
+        if held is not None and _rank(*held) >= _rank(*last):
+            return
+        self._last.update(last)
+        was_present, present = held is not None and held[1] == "add", last[1] == "add"
+        was_uid, uid = held[2] if was_present else None, last[2] if present else None
+        if (was_present, was_uid) != (present, uid):
+            yield Row(**dict(zip(TRANSITIONS.names, (*key, last[0], was_present, present, was_uid, uid), strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def member_transitions(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """What every batch has changed: a row per key whose presence or uid is another than before.
+
+    Repeated events, events older than the one that decides, and removals of what was not there give no
+    row. ``snapshot`` has the last event of every key known before the stream starts, in the columns of
+    ``EVENTS``, one row per key (``last_events`` makes such rows); it fills the state of a new checkpoint.
+    A key without a uid is present with a null one. State is one row per key; rows of a key pass by one
+    at a time, so a hot key needs no memory.
+    """
+    known = None if snapshot is None else snapshot.select(*PLACE, *_LAST.names).groupBy(*PLACE)
+    return events.select(*PLACE, *_LAST.names).groupBy(*PLACE).transformWithState(
+        _Transitions(), TRANSITIONS, "Update", "None", known
+    )
+
+
+def start_transitions(
+    events: DataFrame, path: str, checkpoint: str, snapshot: DataFrame | None = None, once: bool = True
+) -> StreamingQuery:
+    """Write the transitions of every batch below ``path``. A batch overwrites its own directory."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = member_transitions(events, snapshot).writeStream.outputMode("update")
+    writer = writer.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def start_members(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """The same without state: every batch adds its last event per key to a log.
 

@@ -17,7 +17,8 @@ from tests.oracle import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 # Streams and whole passes take a while; their stories are tested on their own.
-SLOW = {"reconcile_pass", "reconcile_windows", "reconcile_missing_bodies", "seed_modes", "stream_equals_batch", "stream_dedup"}
+SLOW = {"reconcile_pass", "reconcile_windows", "reconcile_missing_bodies", "seed_modes", "stream_equals_batch", "stream_dedup",
+        "stream_epoch_change"}
 if os.environ.get("TEST_ALL_QUERIES"):
     SLOW = set()
 

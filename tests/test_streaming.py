@@ -12,10 +12,11 @@ from mirrorkit.session import work_dir
 from mirrorkit.sources.state import StateStore
 from mirrorkit.spec import MirrorSpec
 from mirrorkit.streaming.arrivals import dedup_within, ingest_batch, read_arrivals, start_ingest, with_trigger
-from mirrorkit.streaming.members import present_members, start_feed, start_members
+from mirrorkit.streaming.bodies import start_bodies, with_late_bodies, without_body
+from mirrorkit.streaming.members import present_members, start_feed, start_members, start_transitions
 from mirrorkit.sources.tables import RECORD
 from mirrorkit.streaming.progress import ProgressLog, observed, read_progress
-from tests.world import MAIN, Folder, dest_rows, frame, msg, source, spec
+from tests.world import MAIN, Folder, dest_rows, frame, msg, source, spec, with_msgs
 
 BOX = {
     MAIN: Folder(tuple([*(msg(i, f"<m{i % 5}@x>") for i in range(1, 9)), msg(9, "", "no id"), msg(10, "", "no id")])),
@@ -184,3 +185,130 @@ def test_trigger_takes_the_shortest_interval():
 def test_work_dirs_are_fresh(spark):
     assert work_dir(spark, "x") != work_dir(spark, "x")
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+EVENT_ROW = "mirror string, folder string, key string, seq long, op string, uid long"
+
+
+def told(spark, path):
+    rows = spark.read.parquet(path).collect()
+    return sorted((r["epoch"], r["key"], r["seq"], r["was_present"], r["present"], r["was_uid"] or 0, r["uid"] or 0) for r in rows)
+
+
+def test_transitions_tell_changes_only(spark, tmp_path):
+    box, out, ck = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    known = spark.createDataFrame([("m", "Work", "held", 1, "add", 1), ("m", "Work", "gone", 2, "remove", 2)], EVENT_ROW)
+    batches = [
+        # Nothing new, a removal of what was not there, a late event of a decided key, a first appearance.
+        [("held", 1, "add", 1), ("gone", 3, "remove", 2), ("held", 0, "remove", 1), ("new", 4, "add", 4)],
+        # The same again, another uid, one that comes and goes within the batch.
+        [("new", 4, "add", 4), ("held", 5, "add", 9), ("brief", 6, "add", 6), ("brief", 7, "remove", 6)],
+        # Out, and in without a uid.
+        [("held", 8, "remove", 9), ("gone", 9, "add", None), ("gone", 9, "add", None)],
+    ]
+    for rows in batches:
+        frame_of = spark.createDataFrame([("m", "Work", *r) for r in rows], EVENT_ROW)
+        frame_of.coalesce(1).write.mode("append").parquet(box)
+        start_transitions(read_arrivals(spark, box, frame_of.schema), out, ck, known).awaitTermination()
+    assert told(spark, out) == [
+        (0, "new", 4, False, True, 0, 4),
+        (1, "held", 5, True, True, 1, 9),
+        (2, "gone", 9, False, True, 0, 0), (2, "held", 8, True, False, 9, 0),
+    ]
+
+
+def test_a_running_stream_follows_a_new_epoch(spark, tmp_path):
+    """The new epoch is the smaller number, uids are dealt anew, and one record never arrives on its own."""
+    first = {MAIN: Folder((msg(1, "<a@x>"), msg(2, "<b@x>")), epoch=9)}
+    second = {MAIN: Folder((msg(1, "<b@x>"), msg(2, "<quiet@x>"), msg(3, "<a@x>"), msg(4, "<c@x>")), epoch=3)}
+    third = with_msgs(second, MAIN, *second[MAIN].msgs, msg(5, "<d@x>"))
+    state, box, ck = StateStore(spark, str(tmp_path / "state")), str(tmp_path / "in"), str(tmp_path / "ck")
+    now = {}
+    marks = []
+    for mailbox, arrived in ((first, (1, 2)), (second, (4,)), (third, (5,))):
+        now["tables"] = tables = source(spark, {"m": mailbox})
+        rows = tables.messages.filter(F.col("uid").isin(*arrived))
+        rows.coalesce(1).write.mode("append").parquet(box)
+        start_ingest(
+            read_arrivals(spark, box, rows.schema), [spec("m")], state, ck, once=True, clock=lambda: 1,
+            bodies=lambda: now["tables"].bodies, messages=lambda: now["tables"].messages, status=lambda: now["tables"].status,
+        ).awaitTermination()
+        mark = state.read_batch("mirror_state", state.last()[0]).first()
+        log = state.read_batch("run_log", state.last()[0]).first()
+        marks.append((mark["epoch"], mark["last_uid"], log["epoch_changed"], log["copied"]))
+    assert marks == [(9, 0, False, 2), (3, 4, True, 2), (3, 4, False, 1)]
+    got = sorted((r["key"], r["uid"]) for r in state.read("ledger").collect())
+    assert got == [("<a@x>", 1), ("<b@x>", 2), ("<c@x>", 4), ("<d@x>", 5), ("<quiet@x>", 2)]
+    # A pass finds nothing that the stream has left.
+    assert reconcile(spark, [spec("m")], now["tables"], state, 2).first()["copied"] == 0
+
+
+def test_following_epochs_needs_the_tables(spark, tmp_path):
+    tables = source(spark, {"m": BOX})
+    state = StateStore(spark, str(tmp_path / "state"))
+    with pytest.raises(ValueError, match="bodies and of folder status"):
+        start_ingest(tables.messages, [spec("m")], state, str(tmp_path / "ck"), messages=tables.messages)
+    with pytest.raises(ValueError, match="status of its folders"):
+        ingest_batch(spark, [spec("m")], tables.messages, "s:0", state, tables.bodies, 1, messages=tables.messages)
+
+
+DELIVERY = columns("mirror string, folder string, epoch long, uid long, raw string, arrived_at timestamp")
+
+
+def deliveries(spark, *rows):
+    """Bodies by (uid, text, minute of arrival)."""
+    base = datetime(2026, 1, 1, tzinfo=UTC)
+    return frame(spark, [("m", MAIN, 7, uid, raw, base + timedelta(minutes=at)) for uid, raw, at in rows], DELIVERY)
+
+
+def test_bodies_meet_their_records_within_the_wait(spark, tmp_path):
+    """In the same batch, in a later one, empty, too late, never; and copies are made of what was found."""
+    left, right, out = (str(tmp_path / name) for name in ("left", "right", "out"))
+    records = source(spark, {"m": {MAIN: Folder(tuple(msg(i, f"<m{i}@x>") for i in range(1, 6)))}}).messages
+    steps = [
+        (records, deliveries(spark, (1, "one", 2), (3, "", 3), (3, None, 3))),
+        (None, deliveries(spark, (2, "two", 10), (4, "four", 90), (1, "one", 11))),
+        (source(spark, {"": {MAIN: Folder((msg(600, "<end@x>"),))}}).messages, deliveries(spark, (600, "end", 600))),
+    ]
+    for theirs, bodies in steps:
+        if theirs is not None:
+            theirs.coalesce(1).write.mode("append").parquet(left)
+        bodies.coalesce(1).write.mode("append").parquet(right)
+        start_bodies(
+            read_arrivals(spark, left, records.schema), read_arrivals(spark, right, DELIVERY), out, str(tmp_path / "ck"),
+            "30 minutes", delay="5 minutes",
+        ).awaitTermination()
+    rows = spark.read.parquet(out).filter("mirror = 'm'").drop("epoch").withColumn("epoch", F.lit(7).cast("long"))
+    assert sorted((r["uid"], r["raw"] or "") for r in rows.collect()) == [
+        (1, "one"), (1, "one"), (2, "two"), (3, ""), (4, ""), (5, "")]
+    assert sorted(r["uid"] for r in without_body(rows).collect()) == [3, 4, 5]
+    # As arrivals of a mirror: what waited in vain is listed, the rest is copied, once.
+    state = StateStore(spark, str(tmp_path / "state"))
+    ingest_batch(spark, [spec("m")], rows, "s:0", state, rows.select(*RECORD, "raw").dropDuplicates(RECORD), 1)
+    assert sorted((r["key"], r["raw"]) for r in state.read("dest_messages").collect()) == [("<m1@x>", "one"), ("<m2@x>", "two")]
+    assert sorted(r["uid"] for r in state.read_batch("missing_bodies", 1).collect()) == [3, 4, 5]
+
+
+def test_late_bodies_keep_the_columns_of_records(spark):
+    records = source(spark, {"m": BOX}).messages
+    joined = with_late_bodies(records, deliveries(spark, (1, "one", 2)), "30 minutes")
+    assert joined.columns == [*records.columns, "raw"] and joined.count() == records.count()
+
+
+def test_bounded_dedup_forgets(spark, tmp_path):
+    """State leaves once its horizon has passed, and the key passes again."""
+    schema = columns("mirror string, folder string, epoch long, uid long, message_id string, sender string, subject string, "
+                     "internal_date timestamp, size long")
+    base, box, ck, out = datetime(2026, 1, 1, tzinfo=UTC), str(tmp_path / "in"), str(tmp_path / "ck"), str(tmp_path / "out")
+    held = []
+    for hour in range(5):
+        when = base + timedelta(hours=hour)
+        rows = [("m", "All", 1, hour, "<same@x>", "", "", when, 1), ("m", "All", 1, 100 + hour, f"<own{hour}@x>", "", "", when, 1)]
+        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(box)
+        writer = dedup_within(read_arrivals(spark, box, schema), "1 hour").writeStream.format("parquet")
+        query = writer.option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    kept = spark.read.parquet(out)
+    assert sorted(r["uid"] for r in kept.filter("uid < 100").collect()) == [0, 3]
+    assert kept.filter("uid >= 100").count() == 5 and max(held) <= 4
