@@ -209,6 +209,10 @@ _QUERIES = {
     "scan_uid_range": """select m.mirror, m.folder, m.epoch, m.uid, m.message_id, m.size
 from msgs m left join marks k using (mirror, folder)
 where k.epoch is null or k.epoch <> m.epoch or m.uid > k.last_uid""",
+    "scan_messages": """select mirror, folder, epoch, uid, message_id, size from msgs, (select count(*) as n from events)
+where mirror = 'm0' or (mirror = 'm1' and uid >= n // 3) or (mirror = 'm2' and uid <= n // 2)
+  or (mirror = 'm3' and uid between n // 4 and n // 2)""",
+    "sorted_files": "select mirror, folder, count(*) as n, cast(0 as bigint) as n_behind from msgs group by mirror, folder",
     "snapshot_uids": "select mirror, folder, uid from msgs",
     "parse_headers": f"""select conv_id, turn, concat('<', conv_id, '.', turn, '@c>') as message_id,
   concat(role, '@example.com') as sender, concat('turn ', turn) as subject, cast(strlen({_RAW}) as bigint) as size

@@ -6,9 +6,10 @@ Arrays leave as joined text, so results compare the same way in any engine.
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirrorkit import fixtures as fx
@@ -64,6 +65,35 @@ def scan_uid_range(spark, sf):
     return rows.select("mirror", "folder", "epoch", "uid", "message_id", "size")
 
 
+def _lake(spark, sf) -> str:
+    """The records as ``write_messages`` lays them out."""
+    path = f"{work_dir(spark, 'lake')}/messages"
+    tables.write_messages(fx.messages(spark, sf).drop("value"), path)
+    return path
+
+
+@query
+def scan_messages(spark, sf):
+    """Range scans of a laid-out table: a whole mirror, one from a uid on, one up to a uid, one between two."""
+    path = _lake(spark, sf)
+    n = fx.table(spark, sf, "events").count()
+    asked = (("m0", None, None), ("m1", n // 3, None), ("m2", None, n // 2), ("m3", n // 4, n // 2))
+    scans = [tables.scan_messages(spark, path, mirror, lo=lo, hi=hi) for mirror, lo, hi in asked]
+    return functools.reduce(DataFrame.unionByName, scans).select("mirror", "folder", "epoch", "uid", "message_id", "size")
+
+
+@query
+def sorted_files(spark, sf):
+    """Per folder: records, and those that lie in their file behind one with a greater uid."""
+    rows = spark.read.parquet(_lake(spark, sf)).select(
+        "mirror", "folder", "uid", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+    )
+    before = F.max("uid").over(Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("behind", F.coalesce(before > F.col("uid"), F.lit(False)).cast("long")).groupBy("mirror", "folder").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("behind").alias("n_behind")
+    )
+
+
 @query
 def snapshot_uids(spark, sf):
     return tables.snapshot_uids(fx.messages(spark, sf))
