@@ -6,20 +6,23 @@ may arrive in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from mirrorkit.operators.membership import PLACE
 from mirrorkit.schemas import columns
+from mirrorkit.session import remove
 
 EVENTS = columns("mirror string, folder string, key string, seq long, op string, uid long")
 TRANSITIONS = columns(
     "mirror string, folder string, key string, seq long, was_present boolean, present boolean, was_uid long, uid long"
 )
 _LAST = columns("seq long, op string, uid long")
+# Batches of a transition stream after which its logs are folded.
+FOLD_EVERY = 32
 
 
 def last_events(events: DataFrame) -> DataFrame:
@@ -47,59 +50,75 @@ def start_feed(events: DataFrame, path: str, checkpoint: str, once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _rank(seq, op, uid) -> tuple:
-    """The order of events: nulls first, as in the aggregation of ``last_events``."""
-    return tuple((v is not None, v) if v is not None else (False,) for v in (seq, op, uid))
+def member_transitions(last: DataFrame, known: DataFrame) -> DataFrame:
+    """What a batch has changed: a row per key whose presence or uid is another than before.
 
+    ``last`` are the last events of the batch's keys, written, one row per key; ``known`` any events from
+    before it, of which the last one of a key counts. Repeated events, events older than the one that
+    decides, and removals of what was not there give no row. A key without a uid is present with a null one.
 
-class _Transitions(StatefulProcessor):
-    """Remembers the last event of a key and tells what a batch has changed."""
-
-    def init(self, handle) -> None:
-        self._last = handle.getValueState("last", _LAST)
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._last.update((initialState["seq"], initialState["op"], initialState["uid"]))
+    ``known`` is first cut to the keys of the batch, by a broadcast while those are small. Both sides then
+    meet in one aggregation, so a hot key is one row per task. Nulls in a key are a value like any other.
+    """
+    asked = last.select(*[F.col(c).alias(f"_{c}") for c in PLACE])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE])
+    event = F.struct(*_LAST.names)
+    none = F.lit(None).cast(_LAST)
+    sides = known.join(asked, same, "left_semi").select(*PLACE, event.alias("_held"), none.alias("_last")).unionByName(
+        last.select(*PLACE, none.alias("_held"), event.alias("_last"))
+    )
+    met = sides.groupBy(*PLACE).agg(F.max("_held").alias("_held"), F.max("_last").alias("_last"))
+    newer = met.filter(F.col("_held").isNull() | (F.col("_last") > F.col("_held")))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = max(((r["seq"], r["op"], r["uid"]) for r in rows), key=lambda e: _rank(*e))
-        held = self._last.get()
-        if held is not None and _rank(*held) >= _rank(*last):
-            return
-        self._last.update(last)
-        was_present, present = held is not None and held[1] == "add", last[1] == "add"
-        was_uid, uid = held[2] if was_present else None, last[2] if present else None
-        if (was_present, was_uid) != (present, uid):
-            yield Row(**dict(zip(TRANSITIONS.names, (*key, last[0], was_present, present, was_uid, uid), strict=True)))
+    def shown(of: str) -> tuple[Column, Column]:
+        there = F.coalesce(F.col(f"{of}.op") == "add", F.lit(False))
+        return there, F.when(there, F.col(f"{of}.uid"))
 
-    def close(self) -> None:
-        pass
+    (was_present, was_uid), (present, uid) = shown("_held"), shown("_last")
+    told = newer.select(
+        *PLACE, "_last.seq", was_present.alias("was_present"), present.alias("present"), was_uid.alias("was_uid"), uid.alias("uid"),
+    ).select(*TRANSITIONS.names)
+    return told.filter((F.col("was_present") != F.col("present")) | ~F.col("was_uid").eqNullSafe(F.col("uid")))
 
 
-def member_transitions(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-    """What every batch has changed: a row per key whose presence or uid is another than before.
+def start_transitions(
+    events: DataFrame, path: str, checkpoint: str, snapshot: DataFrame | None = None, once: bool = True,
+    fold_every: int = FOLD_EVERY,
+) -> StreamingQuery:
+    """Write the transitions of every batch below ``path``. A batch overwrites its own directories, so a replay
+    changes nothing.
 
-    Repeated events, events older than the one that decides, and removals of what was not there give no
-    row. ``snapshot`` has the last event of every key known before the stream starts, in the columns of
-    ``EVENTS``, one row per key (``last_events`` makes such rows); it fills the state of a new checkpoint.
-    A key without a uid is present with a null one. State is one row per key; rows of a key pass by one
-    at a time, so a hot key needs no memory.
+    ``snapshot`` has the last event of every key known before the stream starts, in the columns of ``EVENTS``
+    (``last_events`` makes such rows); it is what a new checkpoint starts from. What is known lies in tables
+    below the checkpoint: ``log/epoch=N`` are the last events of batch N, ``base/epoch=N`` those of all keys
+    before it, folded anew every ``fold_every`` batches. A batch reads the base before it and the logs since.
     """
-    known = None if snapshot is None else snapshot.select(*PLACE, *_LAST.names).groupBy(*PLACE)
-    return events.select(*PLACE, *_LAST.names).groupBy(*PLACE).transformWithState(
-        _Transitions(), TRANSITIONS, "Update", "None", known
-    )
+    root = f"{checkpoint}/transitions"
 
+    def read(spark: SparkSession, start: int, end: int) -> DataFrame:
+        """What was known before batch ``end``, from the base of batch ``start`` on."""
+        tables = [f"{root}/base/epoch={start}", *[f"{root}/log/epoch={n}" for n in range(start, end)]]
+        return spark.read.schema(EVENTS).parquet(*tables)
 
-def start_transitions(
-    events: DataFrame, path: str, checkpoint: str, snapshot: DataFrame | None = None, once: bool = True
-) -> StreamingQuery:
-    """Write the transitions of every batch below ``path``. A batch overwrites its own directory."""
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark, start = batch.sparkSession, epoch - epoch % fold_every
+        if epoch == start:
+            if epoch:
+                base = last_events(read(spark, epoch - fold_every, epoch))
+            else:
+                base = spark.createDataFrame([], EVENTS) if snapshot is None else snapshot.select(*EVENTS.names)
+            base.write.mode("overwrite").parquet(f"{root}/base/epoch={epoch}")
+            # A replay of this batch folds the span before it again; what lies before that is read no more.
+            old = epoch - 2 * fold_every
+            if old >= 0:
+                for table in (f"base/epoch={old}", *[f"log/epoch={n}" for n in range(old, old + fold_every)]):
+                    remove(spark, f"{root}/{table}")
+        log = f"{root}/log/epoch={epoch}"
+        last_events(batch).write.mode("overwrite").parquet(log)
+        told = member_transitions(spark.read.schema(EVENTS).parquet(log), read(spark, start, epoch))
+        told.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    writer = member_transitions(events, snapshot).writeStream.outputMode("update")
-    writer = writer.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -217,6 +218,21 @@ def test_transitions_tell_changes_only(spark, tmp_path):
     ]
 
 
+def test_transitions_hold_over_folds_and_null_folders(spark, tmp_path):
+    box, out, ck = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    schema = columns(EVENT_ROW)
+    known = frame(spark, [("m", None, "far", 1, "add", 1)], schema)
+    for n in range(7):
+        rows = [("m", "Work", "turns", n, "add" if n % 2 == 0 else "remove", 1), ("m", None, "far", n if n < 6 else 9, "add" if n < 6 else None, 1)]
+        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(box)
+        start_transitions(read_arrivals(spark, box, schema), out, ck, known, fold_every=2).awaitTermination()
+    turns = [(n, "turns", n, n % 2 == 1, n % 2 == 0, n % 2, (n + 1) % 2) for n in range(7)]
+    assert told(spark, out) == sorted([*turns, (6, "far", 9, True, False, 1, 0)])
+    # What is known is a table: no row passes through a state store, and folded logs go.
+    assert not os.path.exists(f"{ck}/state")
+    assert sorted(d for d in os.listdir(f"{ck}/transitions/log") if "=" in d) == [f"epoch={n}" for n in range(4, 7)]
+
+
 def test_a_running_stream_follows_a_new_epoch(spark, tmp_path):
     """The new epoch is the smaller number, uids are dealt anew, and one record never arrives on its own."""
     first = {MAIN: Folder((msg(1, "<a@x>"), msg(2, "<b@x>")), epoch=9)}
