@@ -212,8 +212,12 @@ def beside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_files(rows: DataFrame, path: str) -> str:
-    """One Parquet file and more per day of ``internal_date``, as a stream would find them."""
-    rows.withColumn("day", F.to_date("internal_date")).write.partitionBy("day").parquet(path)
+    """One Parquet file per day of ``internal_date``, as a stream would find them, and more where a day is large.
+
+    Rows are dealt out by day first: written as they lie, every task would leave a file for every day. Adaptive
+    execution splits a day that is too much for one task.
+    """
+    rows.withColumn("day", F.to_date("internal_date")).hint("rebalance", F.col("day")).write.partitionBy("day").parquet(path)
     return path
 
 

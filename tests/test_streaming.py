@@ -6,6 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorkit.fixtures import daily_files
 from mirrorkit.operators.membership import latest_member_uid
 from mirrorkit.plans.reconcile import reconcile
 from mirrorkit.schemas import columns
@@ -196,6 +197,17 @@ def told(spark, path):
     return sorted((r["epoch"], r["key"], r["seq"], r["was_present"], r["present"], r["was_uid"] or 0, r["uid"] or 0) for r in rows)
 
 
+def test_daily_files_do_not_grow_with_the_tasks(spark, tmp_path):
+    start = datetime(2026, 1, 1, tzinfo=UTC)
+    rows = spark.range(600, numPartitions=6).select(
+        "id", F.timestamp_add("HOUR", (F.col("id") % 72).cast("int"), F.lit(start)).alias("internal_date"),
+    )
+    path = daily_files(rows, str(tmp_path / "days"))
+    assert spark.read.parquet(path).select("id", "internal_date").exceptAll(rows).isEmpty()
+    assert spark.read.parquet(path).count() == 600
+    assert len(list((tmp_path / "days").glob("day=*/*.parquet"))) == 3
+
+
 def test_transitions_tell_changes_only(spark, tmp_path):
     box, out, ck = (str(tmp_path / name) for name in ("in", "out", "ck"))
     known = spark.createDataFrame([("m", "Work", "held", 1, "add", 1), ("m", "Work", "gone", 2, "remove", 2)], EVENT_ROW)
