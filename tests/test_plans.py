@@ -188,3 +188,22 @@ def test_bucketed_tables_are_not_shuffled(spark, sf_dir, large_tables):
                 depth = at
                 assert "Exchange" not in line, line
     assert "Python" not in "".join(lines)
+
+
+def test_shuffled_joins_that_fit_are_not_sorted(spark, tmp_path):
+    spark.range(2000).withColumn("a", F.col("id") * 2).write.parquet(str(tmp_path / "a"))
+    spark.range(3000).withColumn("b", F.col("id") * 3).write.parquet(str(tmp_path / "b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = spark.read.parquet(str(tmp_path / "a")).join(spark.read.parquet(str(tmp_path / "b")), "id")
+        assert len(met.collect()) == 2000
+        assert "ShuffledHashJoin" in text(met) and "SortMergeJoin" not in text(met).split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        if adaptive is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
