@@ -54,12 +54,13 @@ def _stays() -> tuple[np.ndarray, bytes]:
     for step in [0, *range(PERIOD - 1, 0, -1)]:
         wait = np.where(go[step] == 1, 1, wait + 1)
         one[step] = wait
-    at, three = np.broadcast_to(np.arange(PERIOD).reshape(-1, 1, 1, 1), (PERIOD, *[CLASSES] * 3)), 0
-    for place in range(3):
-        classes = np.arange(CLASSES).reshape([-1 if k == place else 1 for k in range(3)])
-        stay = one[at % PERIOD, np.broadcast_to(classes, at.shape)]
-        at, three = at + stay, three + stay
-    return one, three.astype(np.uint8).tobytes()
+    # One first character at a time: the whole table in steps of 64 bits would take hundreds of MB per worker.
+    three = np.empty((PERIOD, CLASSES, CLASSES, CLASSES), dtype=np.uint8)
+    for first in range(CLASSES):
+        at = np.arange(PERIOD) + one[:, first]
+        after = at[:, None] + one[at % PERIOD]
+        three[:, first] = after[:, :, None] + one[after % PERIOD] - np.arange(PERIOD)[:, None, None]
+    return one, three.tobytes()
 
 
 @lru_cache(maxsize=64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mirrorkit.llm import simhash
-from mirrorkit.llm.edits import edit_fingerprints, edit_near_copies, edited, fingerprint, likeness
+from mirrorkit.llm.edits import PERIOD, _stays, edit_fingerprints, edit_near_copies, edited, fingerprint, likeness
 from mirrorkit.llm.simhash import Forest, components, deduplicated, near_duplicates, near_pairs
 from tests.llm.conftest import DOCS, ODD
 
@@ -125,6 +126,19 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_walk_table_is_small_while_it_is_made():
+    tracemalloc.start()
+    one, three = _stays.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # every Python worker makes it
+    for step, trio in ((0, (0, 1, 2)), (77, (31, 4, 4)), (127, (9, 30, 17))):
+        at = step
+        for kind in trio:
+            at += one[at % PERIOD, kind]
+        assert three[step << 15 | trio[0] << 10 | trio[1] << 5 | trio[2]] == at - step
+
+
 def test_one_document_of_each_group_stays(spark, odd, none):
     rows = list(enumerate(texts(40)))
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
