@@ -34,6 +34,8 @@ from mirrorkit.session import stored, work_dir
 END_ID = 2
 FRAME_IDS = 1 << 16
 LEVEL = 3
+# Rare words take most of the encoding, so more of them are remembered here, for some 120 MB a worker.
+ROOM = 600_000
 
 # Fixed values of zstandard's seekable format.
 SKIP_MAGIC = 0x184D2A50
@@ -170,14 +172,14 @@ def _write_part(batches, folder: str, path: str, end_id: int):
     part, store, writer, sink = TaskContext.get().partitionId(), None, None, None
     name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
     for batch in batches:
-        for doc_ids, ids in id_batches(batch, path, end_id):
+        for doc_ids, ids in id_batches(batch, path, end_id, room=ROOM):
             if writer is None:
                 from mirrorkit.llm.tokens import encoder
 
                 store, base = open_store(folder)
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(f"{base}/{name}")
-                writer = TokenWriter(sink, encoder(path).tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16)
+                writer = TokenWriter(sink, encoder(path, ROOM).tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16)
             for doc_id, own in zip(doc_ids, ids, strict=True):
                 writer.add(doc_id, np.frombuffer(own, dtype="<u4"))
     if writer is not None:

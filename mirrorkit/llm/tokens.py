@@ -32,6 +32,8 @@ WORD_PIECES = {
     ],
 }
 SPECIAL = "<|"
+# Words remembered in a generation.
+ROOM = 250_000
 
 # Letters that stay single letters in lower case, and what may follow them: trailing ASCII punctuation is a
 # piece of its own, unless an apostrophe may start a contraction or a special token's bracket is about.
@@ -60,7 +62,7 @@ class WordEncoder:
     ``room`` bounds the words remembered: when a generation is full, the one before it is forgotten.
     """
 
-    def __init__(self, path: str, room: int = 250_000) -> None:
+    def __init__(self, path: str, room: int = ROOM) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -138,15 +140,15 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, room: int = ROOM) -> WordEncoder:
     """The encoder of this Python worker; it lives on from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, room)
 
 
-def id_batches(batch, path: str, end_id: int, width: int = 128):
+def id_batches(batch, path: str, end_id: int, width: int = 128, room: int = ROOM):
     """Yield (doc ids, list of id bytes with the end id) for slices of an Arrow batch; null texts are empty."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
-    own = encoder(path)
+    own = encoder(path, room)
     for at in range(0, batch.num_rows, width):
         part = batch.slice(at, width)
         texts = [text or "" for text in part.column("text").to_pylist()]

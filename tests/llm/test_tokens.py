@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mirrorkit.llm.packing import Packer, balanced, pack, packed_pieces
 from mirrorkit.llm.token_files import TokenReader, TokenWriter, read_token_files, token_file_rows, write_token_files
-from mirrorkit.llm.tokens import WordEncoder, public_path
+from mirrorkit.llm.tokens import WordEncoder, encoder, id_batches, public_path
 from tests.llm.conftest import ODD
 
 ENCODER = WordEncoder(public_path(), room=50)
@@ -179,3 +180,11 @@ def test_token_files_hold_every_row_in_order(spark, odd, none):
     assert token_file_rows(none).count() == 0
     some = read_token_files(write_token_files(odd.filter(F.col("doc_id") > 1)), [6, 3]).collect()
     assert sorted(r["doc_id"] for r in some) == [3, 6]
+
+
+def test_the_ids_do_not_depend_on_the_words_remembered():
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [f"word{n % 7} Other{n}, again{n % 5}!" for n in range(40)]})
+    path = public_path()
+    found = [[ids for _, part in id_batches(texts, path, 2, width=8, room=room) for ids in part] for room in (4, 600_000)]
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert encoder(path, 4) is not encoder(path, 600_000)
